@@ -1,3 +1,3 @@
 """The registered queries with their SQL counterparts."""
 
-from wavecohort.catalog import grouped, tables, views  # noqa: F401
+from wavecohort.catalog import grouped, tables, transforms, views  # noqa: F401

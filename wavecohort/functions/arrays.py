@@ -19,8 +19,9 @@ EPS = 2.220446049250313e-16
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``.
 
-    Inside a lambda a plain subexpression is re-evaluated for every element;
-    binding it as the variable of a one-element ``transform`` avoids that.
+    A subexpression used twice, or inside a lambda, is re-evaluated each time, so
+    chained transforms would cost a product of their lengths.  Binding it as the
+    variable of a one-element ``transform`` avoids that.
     """
     return F.transform(F.array(value), body)[0]
 
@@ -34,14 +35,19 @@ def array_sum(x: Column) -> Column:
 
 
 def array_mean(x: Column) -> Column:
-    return F.try_divide(array_sum(x), F.size(x).cast("double"))
+    return let(x, lambda s: F.try_divide(array_sum(s), F.size(s).cast("double")))
 
 
 def array_std(x: Column) -> Column:
     """Sample standard deviation of the elements; 0 for one element, NULL for none."""
-    n = F.size(x).cast("double")
-    dev = let(array_mean(x), lambda m: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (v - m) * (v - m)))
-    return F.when(F.size(x) > 1, F.sqrt(F.try_divide(dev, n - 1))).when(F.size(x) == 1, F.lit(0.0))
+    def squares(s: Column, m: Column) -> Column:
+        return F.aggregate(s, F.lit(0.0), lambda acc, v: acc + (v - m) * (v - m))
+
+    def deviation(s: Column) -> Column:
+        spread = let(array_mean(s), lambda m: squares(s, m))
+        return F.when(F.size(s) > 1, F.sqrt(F.try_divide(spread, F.size(s) - 1.0))).when(F.size(s) == 1, F.lit(0.0))
+
+    return let(x, deviation)
 
 
 def l2_norm(x: Column) -> Column:
@@ -51,7 +57,8 @@ def l2_norm(x: Column) -> Column:
 def l2_normalize(x: Column) -> Column:
     """x / ||x||; a signal whose norm is not finite or below machine epsilon is returned as it is."""
     usable = lambda n: (~F.isnan(n)) & (n < F.lit(float("inf"))) & (n >= F.lit(EPS))
-    return let(l2_norm(x), lambda n: F.when(usable(n), F.transform(x, lambda v: v / n)).otherwise(x))
+    scaled = lambda s, n: F.when(usable(n), F.transform(s, lambda v: v / n)).otherwise(s)
+    return let(x, lambda s: let(l2_norm(s), lambda n: scaled(s, n)))
 
 
 def bin_signal(x: Column, width: int, omit_nan: bool = False) -> Column:
@@ -60,18 +67,21 @@ def bin_signal(x: Column, width: int, omit_nan: bool = False) -> Column:
         raise ValueError("bin width must be at least 1")
     if width == 1:
         return x
-    bins = F.floor(F.size(x) / F.lit(width)).cast("int")
 
-    def one(i: Column) -> Column:
-        part = F.slice(x, i * width + 1, F.lit(width))
+    def one(s: Column, i: Column) -> Column:
+        part = F.slice(s, i * width + 1, F.lit(width))
         if omit_nan:
             kept = F.filter(part, lambda v: ~F.isnan(v))
             return F.coalesce(array_mean(kept), F.lit(float("nan")))
         return array_sum(part) / F.lit(float(width))
 
-    return F.when(bins < 1, F.raise_error(F.lit("bin width exceeds the signal length"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(bins, F.lit(1)) - 1), one)
-    )
+    def binned(s: Column) -> Column:
+        last = F.floor(F.size(s) / F.lit(width)).cast("int") - 1
+        return F.when(last < 0, F.raise_error(F.lit("bin width exceeds the signal length"))).otherwise(
+            F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: one(s, i))
+        )
+
+    return let(x, binned)
 
 
 def check_window(window: int, poly: int, order: int = 0) -> None:
@@ -127,14 +137,19 @@ def sg_smooth(x: Column, window: int, poly: int) -> Column:
     check_window(window, poly)
     hat = _clean(smooth_weights(window, poly))
     h = window // 2
-    head = [_weighted([(hat[j, k], F.get(x, F.lit(k))) for k in range(window)]) for j in range(h)]
-    tail = [
-        _weighted([(hat[j, k], F.get(x, F.size(x) - window + k)) for k in range(window)])
-        for j in range(h + 1, window)
-    ]
-    starts = F.sequence(F.lit(0), F.greatest(F.size(x) - window, F.lit(0)))
-    middle = F.transform(starts, lambda i: _weighted([(hat[h, k], F.get(x, i + k)) for k in range(window)]))
-    return F.when(F.size(x) < window, x).otherwise(F.concat(F.array(*head), middle, F.array(*tail)) if h else middle)
+
+    def smoothed(s: Column) -> Column:
+        end = F.size(s) - window
+        head = [_weighted([(hat[j, k], F.get(s, F.lit(k))) for k in range(window)]) for j in range(h)]
+        tail = [_weighted([(hat[j, k], F.get(s, end + k)) for k in range(window)]) for j in range(h + 1, window)]
+        middle = F.transform(
+            F.sequence(F.lit(0), F.greatest(end, F.lit(0))),
+            lambda i: _weighted([(hat[h, k], F.get(s, i + k)) for k in range(window)]),
+        )
+        whole = F.concat(F.array(*head), middle, F.array(*tail)) if h else middle
+        return F.when(end < 0, s).otherwise(whole)
+
+    return let(x, smoothed)
 
 
 def sg_derivative(x: Column, window: int = 5, poly: int = 2, order: int = 2) -> Column:

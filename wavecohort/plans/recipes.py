@@ -64,11 +64,14 @@ class Recipe:
 
 def checked(df: DataFrame, features: str, width: int | None = None) -> Column:
     """The signal, or a failing row when it is not finite or of another width."""
-    x = F.col(features).cast("array<double>")
-    ok = A.nonfinite_count(x) == 0
-    if width is not None:
-        ok = ok & (F.size(x) == width)
-    return F.when(ok, x).otherwise(F.raise_error(F.lit("signal is not finite or has an unexpected width")))
+
+    def guarded(x: Column) -> Column:
+        ok = A.nonfinite_count(x) == 0
+        if width is not None:
+            ok = ok & (F.size(x) == width)
+        return F.when(ok, x).otherwise(F.raise_error(F.lit("signal is not finite or has an unexpected width")))
+
+    return A.let(F.col(features).cast("array<double>"), guarded)
 
 
 def zscore_fit(df: DataFrame, keys: Sequence[str] = (), features: str = "features") -> DataFrame:
