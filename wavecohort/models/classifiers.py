@@ -16,7 +16,7 @@ from wavecohort.models.linear import LinearModel, Stats
 from wavecohort.operators.moments import features_matrix, moments, signal_shift
 from wavecohort.plans.recipes import Recipe, recipe_fit
 
-LINEAR = ("PCA-LDA", "PLS-DA")
+LINEAR = ("PCA-LDA", "PLS-DA", "PLS-PM1")
 MLLIB = {"SVM-RBF": mllib.svm_fit, "RandomForest": mllib.forest_fit, "Logistic": mllib.logistic_fit}
 CLASSIFIERS = (*LINEAR, *MLLIB)
 
@@ -167,6 +167,8 @@ def fit(classifier: str, recipe: str, train: DataFrame, label: str, classes: Seq
     """Fit a classifier after a recipe on training rows.  Runs jobs."""
     check_name(classifier)
     conf = settings(config, classes)
+    if classifier == "PLS-PM1" and len(classes) != 2:
+        raise ValueError("PLS-PM1 takes two classes")
     if classifier in LINEAR:
         model = linear.fit_linear(classifier, Recipe(recipe), class_stats(train, label, features), list(classes), conf)
         return FittedLinear(model, tuple(classes), recipe)

@@ -210,13 +210,19 @@ class LinearModel:
             prob = z / z.sum(axis=1, keepdims=True)
             return prob.argmax(axis=1), prob
         fit = z[:, 0]
+        if self.kind == "PLS-PM1":
+            low = 1.0 / (1.0 + np.exp(-fit))
+            return (fit < 0).astype(int), np.column_stack([low, 1.0 - low])
         nearest = np.clip(np.sign(fit) * np.floor(np.abs(fit) + 0.5), 1, n_classes).astype(int) - 1
         close = np.exp(-np.abs(fit[:, None] - np.arange(1, n_classes + 1)))
         return nearest, close / close.sum(axis=1, keepdims=True)
 
 
 def fit_linear(kind: str, recipe, parts: Mapping, classes: Sequence, config: Mapping) -> LinearModel:
-    """Fit 'PCA-LDA' or 'PLS-DA' after a recipe, expressed on the raw signal.
+    """Fit 'PCA-LDA', 'PLS-DA' or 'PLS-PM1' after a recipe, expressed on the raw signal.
+
+    'PLS-DA' regresses the class number, 'PLS-PM1' +1 for the first of two
+    classes and -1 for the other.
 
     ``parts`` holds the training statistics of the classes present, ``classes``
     the declared order; a class without training rows is never predicted.
@@ -238,8 +244,10 @@ def fit_linear(kind: str, recipe, parts: Mapping, classes: Sequence, config: Map
         weights[:, where] = t.T @ pca.coeff @ w
         intercept[where] = b + (c @ (offset - pca.mean)) @ w
         return LinearModel(kind, weights, intercept)
-    if kind == "PLS-DA":
+    if kind in ("PLS-DA", "PLS-PM1"):
         numbers = [classes.index(k) + 1 for k in present]
+        if kind == "PLS-PM1":
+            numbers = [1.0 if k == classes[0] else -1.0 for k in present]
         pls, mean_y = plsda_moments(mapped, config["pls_ncomp"], numbers)
         beta = pls.beta[:, 0]
         centre = pooled(list(mapped.values())).mean

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -24,7 +25,7 @@ from wavecohort.operators.folds import fold_arrays, leaked_groups, stratified_gr
 from wavecohort.operators.moments import moments, signal_shift
 from wavecohort.plans.recipes import FittedRecipe, Recipe
 
-_MODEL_SCHEMA = ("repeat int, fold int, recipe string, classifier string, n_out int, "
+_MODEL_SCHEMA = ("repeat int, fold int, recipe string, classifier string, kind string, n_out int, "
                  "weights array<double>, intercept array<double>")
 
 
@@ -46,15 +47,24 @@ def with_folds(signals: DataFrame, folds: DataFrame, group: str, repeats: int) -
     return signals.join(fold_arrays(folds, group, repeats), group)
 
 
-def fold_models(table: DataFrame, label: str, shift: np.ndarray, recipes: Sequence[str], classifiers: Sequence[str],
-                classes: Sequence, config: Mapping, scaling: bool = False) -> DataFrame:
-    """Fit every recipe and linear classifier for every fold from moments, one task per repeat.
+@dataclass(frozen=True)
+class Variant:
+    """A classifier with settings, under the name its predictions carry."""
+
+    name: str
+    kind: str
+    config: Mapping
+
+
+def fold_models(table: DataFrame, label: str, shift: np.ndarray, recipes: Sequence[str], variants: Sequence[Variant],
+                classes: Sequence, scaling: bool = False) -> DataFrame:
+    """Fit every recipe and linear variant for every fold from moments, one task per repeat.
 
     A task gets folds x classes moment rows.  With ``scaling`` the frozen mean
     and deviation of each recipe are listed too, for classifiers fitted elsewhere.
     """
     classes, recipes = list(classes), [Recipe(r) for r in recipes]
-    kinds = [c for c in classifiers if c in LINEAR]
+    fits = [v for v in variants if v.kind in LINEAR]
 
     def one_repeat(pdf: pd.DataFrame) -> pd.DataFrame:
         stats = {(r.fold, getattr(r, label)): Stats.of(int(r.n), r.s, r.ss, shift) for r in pdf.itertuples()}
@@ -66,14 +76,14 @@ def fold_models(table: DataFrame, label: str, shift: np.ndarray, recipes: Sequen
                 if seen:
                     parts[c] = linear.pooled(seen)
             for recipe in recipes:
-                for kind in kinds:
-                    m = linear.fit_linear(kind, recipe, parts, classes, config)
-                    out.append((fold, recipe.code, kind, len(m.intercept), m.weights.T.ravel(), m.intercept))
+                for v in fits:
+                    m = linear.fit_linear(v.kind, recipe, parts, classes, v.config)
+                    out.append((fold, recipe.code, v.name, v.kind, len(m.intercept), m.weights.T.ravel(), m.intercept))
                 if scaling:
                     train = linear.pooled(list(parts.values()))
                     mu, sigma = linear.scale_params(linear.before_scale(recipe, len(train.mean)), train)
-                    out.append((fold, recipe.code, "scale", 1, sigma, mu))
-        frame = pd.DataFrame(out, columns=["fold", "recipe", "classifier", "n_out", "weights", "intercept"])
+                    out.append((fold, recipe.code, "scale", "scale", 1, sigma, mu))
+        frame = pd.DataFrame(out, columns=["fold", "recipe", "classifier", "kind", "n_out", "weights", "intercept"])
         frame.insert(0, "repeat", int(pdf["repeat"].iloc[0]))
         return frame
 
@@ -88,55 +98,64 @@ def load_models(models: DataFrame) -> tuple[dict, dict]:
     linear_models: dict = {}
     scales: dict = {}
     for r in models.collect():
-        if r.classifier == "scale":
+        if r.kind == "scale":
             scales[(r.repeat, r.fold, r.recipe)] = (tuple(r.intercept), tuple(r.weights))
             continue
         w = np.asarray(r.weights, dtype=float).reshape(r.n_out, -1).T
-        model = LinearModel(r.classifier, np.ascontiguousarray(w), np.asarray(r.intercept, dtype=float))
+        model = LinearModel(r.kind, np.ascontiguousarray(w), np.asarray(r.intercept, dtype=float))
         linear_models.setdefault((r.repeat, r.fold), []).append((r.recipe, r.classifier, model))
     return linear_models, scales
 
 
-def cv_grid(signals: DataFrame, recipes: Sequence[str], classifiers: Sequence[str], label: str, classes: Sequence,
-            group: str = "group_id", keep: Sequence[str] = ("signal_id", "sample_id", "group_id"), k: int = 5,
-            repeats: int = 1, seed: int = 42, config: Mapping | None = None, features: str = "features",
-            threads: int = 4, folds: DataFrame | None = None) -> DataFrame:
+def cv_variants(signals: DataFrame, recipes: Sequence[str], variants: Sequence[Variant], label: str, classes: Sequence,
+                group: str = "group_id", keep: Sequence[str] = ("signal_id", "sample_id", "group_id"), k: int = 5,
+                repeats: int = 1, seed: int = 42, features: str = "features", threads: int = 4,
+                folds: DataFrame | None = None) -> DataFrame:
     """Flat predictions (recipe, classifier, repeat, fold, ids, y_true, y_pred, scores).
 
-    Every signal is predicted once per repeat and configuration, by a model that
-    saw no signal of its group.  Fits run at once; scoring stays lazy.
+    Every signal is predicted once per repeat and variant, by a model that saw
+    no signal of its group.  Fits run at once; scoring stays lazy.
     """
-    for c in classifiers:
-        check_name(c)
-    conf = settings(config, classes)
+    for v in variants:
+        check_name(v.kind)
     if folds is None:
         folds = stratified_group_folds(signals, group, label, k, repeats, seed)
     rows = with_folds(signals, folds, group, repeats)
     shift = signal_shift(signals, features)
     table = moments(rows, [label], shift, features, fold_array="folds")
-    other = [c for c in classifiers if c in MLLIB]
-    models, scales = load_models(fold_models(table, label, shift, recipes, classifiers, classes, conf, bool(other)))
+    other = [v for v in variants if v.kind in MLLIB]
+    models, scales = load_models(fold_models(table, label, shift, recipes, variants, classes, bool(other)))
     parts = []
     if models:
         parts.append(score_rows(rows, models, keep, label, classes, features, fold_array="folds"))
     if other:
-        parts += _mllib_folds(rows, recipes, other, label, classes, keep, conf, features, scales, len(shift), threads)
+        parts += _mllib_folds(rows, other, label, classes, keep, features, scales, len(shift), threads)
     return reduce(DataFrame.unionByName, parts)
 
 
-def _mllib_folds(rows, recipes, classifiers, label, classes, keep, conf, features, scales, width, threads):
+def cv_grid(signals: DataFrame, recipes: Sequence[str], classifiers: Sequence[str], label: str, classes: Sequence,
+            config: Mapping | None = None, **options) -> DataFrame:
+    """:func:`cv_variants` for recipes x classifiers under one set of settings."""
+    for c in classifiers:
+        check_name(c)
+    conf = settings(config, classes)
+    return cv_variants(signals, recipes, [Variant(c, c, conf) for c in classifiers], label, classes, **options)
+
+
+def _mllib_folds(rows, variants, label, classes, keep, features, scales, width, threads):
     def one(task):
-        (repeat, fold, code), name = task
+        (repeat, fold, code), v = task
         mu, sigma = scales[(repeat, fold, code)]
         recipe = Recipe(code)
         fitted = FittedRecipe(recipe, width, mu if recipe.scale else (), sigma if recipe.scale else ())
         test_fold = F.col("folds")[repeat - 1] == fold
         train = fitted.transform(rows.where(~test_fold).select(label, F.col(features).alias("features")))
-        model = FittedMllib(name, fitted, MLLIB[name](train, label, classes, conf))
+        model = FittedMllib(v.name, fitted, MLLIB[v.kind](train, label, classes, v.config))
         out = model.predict(rows.where(test_fold), keep, label, features)
         return out.withColumns({"repeat": F.lit(repeat).cast("long"), "fold": F.lit(fold).cast("long")})
 
-    tasks = [(key, name) for key in sorted(scales) for name in classifiers if key[2] in recipes]
+    # each task only submits Spark jobs; the fits themselves are distributed
+    tasks = [(key, v) for key in sorted(scales) for v in variants]
     with ThreadPoolExecutor(max_workers=threads) as pool:
         return list(pool.map(one, tasks))
 
