@@ -1,3 +1,3 @@
 """The registered queries with their SQL counterparts."""
 
-from wavecohort.catalog import grouped, scores, tables, transforms, views  # noqa: F401
+from wavecohort.catalog import fits, grouped, scores, tables, transforms, views  # noqa: F401

@@ -26,6 +26,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def doubles(values: Sequence[float]) -> Column:
+    """A constant array as one literal.
+
+    ``array(lit, lit, ...)`` would put every number into the plan, and planning
+    would pay for each of them; a split text folds to a single constant.
+    """
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 def as_signal(x: Column) -> Column:
     return x.cast("array<double>")
 

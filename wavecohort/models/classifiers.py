@@ -24,6 +24,8 @@ CLASSIFIERS = (*LINEAR, *MLLIB)
 DEFAULTS = {
     "pca_variance_threshold": 0.95,
     "pca_max_components": 15,
+    "lda_gamma": 0.0,
+    "lda_delta": 0.0,
     "pls_ncomp": 10,
     "svm_C": 1.0,
     "svm_kernel_scale": "auto",

@@ -127,10 +127,8 @@ def components_for(explained: np.ndarray, variance: float) -> int:
 
 
 def invert(cov: np.ndarray) -> np.ndarray:
-    """Inverse, or the pseudo-inverse of a singular matrix."""
-    if np.linalg.matrix_rank(cov) < len(cov):
-        return np.linalg.pinv(cov)
-    return np.linalg.inv(cov)
+    """Inverse of a covariance; the pseudo-inverse when it is singular."""
+    return np.linalg.pinv(cov, rcond=1e-12, hermitian=True)
 
 
 def weighted_priors(counts: Mapping, positive, cost: float) -> dict:
@@ -140,15 +138,21 @@ def weighted_priors(counts: Mapping, positive, cost: float) -> dict:
     return {c: w / total for c, w in weights.items()}
 
 
-def lda_weights(parts: Mapping, priors: Mapping | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(d x K, K): linear discriminant per class, in the order of ``parts``."""
+def lda_weights(parts: Mapping, priors: Mapping | None = None, gamma: float = 0.0,
+                delta: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(d x K, K): linear discriminant per class, in the order of ``parts``.
+
+    ``gamma`` moves the pooled covariance towards its diagonal, ``delta`` drops
+    coefficients smaller in magnitude.
+    """
     stats = list(parts.values())
-    n = sum(s.n for s in stats)
-    within = sum(s.scatter for s in stats) / max(n - len(stats), 1)
-    inverse = invert(within)
-    share = priors or {c: s.n / n for c, s in parts.items()}
-    w = np.column_stack([inverse @ s.mean for s in stats])
-    b = np.array([-0.5 * s.mean @ w[:, k] + np.log(share[c]) for k, (c, s) in enumerate(parts.items())])
+    both = pooled(stats)
+    within = sum(s.scatter for s in stats) / max(both.n - len(stats), 1)
+    inverse = invert((1.0 - gamma) * within + gamma * np.diag(np.diag(within)))
+    share = priors or {c: s.n / both.n for c, s in parts.items()}
+    w = np.column_stack([inverse @ (s.mean - both.mean) for s in stats])
+    w = np.where(np.abs(w) < delta, 0.0, w)
+    b = np.array([np.log(share[c]) - 0.5 * (s.mean + both.mean) @ w[:, k] for k, (c, s) in enumerate(parts.items())])
     return w, b
 
 
@@ -237,7 +241,8 @@ def fit_linear(kind: str, recipe, parts: Mapping, classes: Sequence, config: Map
         priors = None
         if config.get("cost_penalty"):
             priors = weighted_priors({k: s.n for k, s in mapped.items()}, config["positive"], config["cost_penalty"])
-        w, b = lda_weights({k: s.mapped(c, -c @ pca.mean) for k, s in mapped.items()}, priors)
+        scores = {k: s.mapped(c, -c @ pca.mean) for k, s in mapped.items()}
+        w, b = lda_weights(scores, priors, config["lda_gamma"], config["lda_delta"])
         weights = np.zeros((len(train.mean), len(classes)))
         intercept = np.full(len(classes), -np.inf)
         where = [classes.index(k) for k in present]

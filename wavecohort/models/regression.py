@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavecohort.functions import arrays as A
 from wavecohort.models import linear
 from wavecohort.models.linear import Pls
 from wavecohort.operators.outliers import pca, project, total_stats
@@ -25,7 +26,7 @@ class FittedPls:
     def predict(self, df: DataFrame, keep: Sequence[str], features: str = "features") -> DataFrame:
         """(keep, fitted array): mean of Y plus (x - mean) . beta."""
         p = project(df, keep, self.x_mean, self.pls.beta, features)
-        means = F.array(*[F.lit(float(v)) for v in self.y_mean])
+        means = A.doubles(self.y_mean)
         return p.select(*keep, F.zip_with("pc", means, lambda a, m: a + m).alias("fitted"))
 
     def x_scores(self, df: DataFrame, keep: Sequence[str], features: str = "features") -> DataFrame:

@@ -21,7 +21,7 @@ def explode_signals(samples: DataFrame, spectra: str = "spectra", keep: Sequence
 
 def long_form(signals: DataFrame, axis: Sequence[float], keys: Sequence[str], features: str = "features") -> DataFrame:
     """One row per (signal, axis point)."""
-    points = F.array(*[F.lit(float(a)) for a in axis])
+    points = A.doubles(axis)
     checked = F.when(F.size(features) == len(axis), F.col(features)).otherwise(
         F.raise_error(F.lit("signal length differs from the axis length"))
     )
@@ -34,7 +34,7 @@ def long_form(signals: DataFrame, axis: Sequence[float], keys: Sequence[str], fe
 def axis_table(df: DataFrame, axis: Sequence[float]) -> DataFrame:
     """(pos, axis) rows of a fixed axis."""
     spark = df.sparkSession
-    points = F.array(*[F.lit(float(a)) for a in axis])
+    points = A.doubles(axis)
     return spark.range(1).select(F.posexplode(points).alias("pos", "axis")).select(
         F.col("pos").cast("long").alias("pos"), "axis"
     )

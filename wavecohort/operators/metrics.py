@@ -7,6 +7,7 @@ which combine map-side.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wavecohort.functions.arrays import array_mean, entropy_bits
 from wavecohort.functions.labels import interpretation_flag
-from wavecohort.operators.ordered import quantile_splits, running_sum, with_value_bucket
+from wavecohort.operators.ordered import running_sum, with_value_bucket
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -114,7 +115,7 @@ def score_cells(preds: DataFrame, keys: Sequence[str], score: str, positive: Col
         F.sum(F.when(F.col("_p"), F.col("_w")).otherwise(zero)).alias("pos"),
         F.sum(F.when(~F.col("_p"), F.col("_w")).otherwise(zero)).alias("neg"),
     )
-    bucketed = with_value_bucket(cells, score, quantile_splits(preds, score), "_vb")
+    bucketed = with_value_bucket(cells, score, "_vb", weight=F.col("pos") + F.col("neg"))
     return running_sum(
         bucketed, keys, "_vb", [F.col(score)], {"neg_below": F.col("neg"), "pos_below": F.col("pos")},
         inclusive=False, totals=True,
@@ -195,7 +196,7 @@ def evaluate(preds: DataFrame, keys: Sequence[str], classes: Sequence, true: str
              scores: str = "scores") -> DataFrame:
     """Accuracy, macro metrics and AUC per key, at the grain of the rows given.
 
-    Reads the rows three times (counts, cut points, score cells): give it a stored or cached table.
+    Reads the rows twice (pair counts and score cells): give it a stored or cached table.
     """
     counts = count_metrics(preds, keys, classes, true, pred)
     if len(classes) == 2:
@@ -339,16 +340,22 @@ def two_level_eval(preds: DataFrame, keys: Sequence[str], group: str, classes: S
     return rows.unionByName(evaluate(rolled, keys, classes).withColumn("level", F.lit("group")))
 
 
-def _poisson_one(u: Column) -> Column:
-    total, p, out = 0.0, 2.718281828459045 ** -1, None
-    steps = []
+def _poisson_one(draw: Column) -> Column:
+    """Poisson(1) by inversion of a uniform given as eight hexadecimal digits.
+
+    Digits compare like the numbers they stand for, so the bounds are written in
+    digits and nothing is parsed.
+    """
+    total, p, out = 0.0, math.exp(-1.0), None
     for k in range(13):
         total += p
-        steps.append((total, k))
+        bound = math.ceil(total * 2**32)
+        if bound >= 2**32:
+            break
+        hit = draw < F.lit(f"{bound:08x}")
+        out = F.when(hit, F.lit(k)) if out is None else out.when(hit, F.lit(k))
         p /= k + 1
-    for bound, k in steps:
-        out = F.when(u < bound, F.lit(k)) if out is None else out.when(u < bound, F.lit(k))
-    return out.otherwise(F.lit(13)).cast("long")
+    return out.otherwise(F.lit(k)).cast("long")
 
 
 def bootstrap_weights(df: DataFrame, ident: Sequence[str], n: int, seed: int = 42) -> DataFrame:
@@ -362,7 +369,7 @@ def bootstrap_weights(df: DataFrame, ident: Sequence[str], n: int, seed: int = 4
     draws = F.array(*[
         F.struct(
             (F.col("_block") * 4 + i + 1).alias("replicate"),
-            _poisson_one(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)).alias("w"),
+            _poisson_one(F.substring("_h", 8 * i + 1, 8)).alias("w"),
         )
         for i in range(4)
     ])

@@ -13,33 +13,36 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HASH_PREFIX = 3  # hex digits: 4096 buckets
-VALUE_BUCKETS = 512
+from wavecohort.functions.arrays import doubles
 
+HASH_PREFIX = 3  # hex digits: 4096 buckets
+BUCKETS = 1024  # a power of two
 
-def quantile_splits(df: DataFrame, col: str, buckets: int = VALUE_BUCKETS) -> list[float]:
-    """At most ``buckets - 1`` cut points that spread the rows evenly.  Runs one scan of one column."""
-    probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = df.select(F.col(col).cast("double").alias("v")).where(~F.isnan("v")).approxQuantile(
-        "v", probabilities, 1.0 / (4 * buckets)
-    )
-    return sorted({c for c in cuts if c not in (float("inf"), float("-inf"))})
 
+def with_value_bucket(df: DataFrame, col: str, out: str, weight: Column | None = None) -> DataFrame:
+    """Add an order-preserving bucket number that spreads the rows evenly.
 
-def with_value_bucket(df: DataFrame, col: str, splits: Sequence[float], out: str) -> DataFrame:
-    """Add an order-preserving bucket number; NaN goes to the last one, as it sorts last in Spark."""
-    if not splits:
-        return df.withColumn(out, F.isnan(F.col(col).cast("double")).cast("int"))
-    bounds = [float("-inf"), *splits, float("inf")]
-    cut = Bucketizer(splits=bounds, inputCol="_bucket_in", outputCol=out, handleInvalid="keep")
-    return cut.transform(df.withColumn("_bucket_in", F.col(col).cast("double"))).drop("_bucket_in").withColumn(
-        out, F.col(out).cast("int")
-    )
+    The cut points are approximate quantiles of the column over all rows, one
+    array of fixed length, so the broadcast is bounded.  A bucket is the number
+    of cut points not above the value, found by bisection in generated code.
+    NaN falls into the last bucket, as it sorts last in Spark.  ``weight`` must
+    be positive on every row; naming the other aggregated columns in it lets
+    both uses of ``df`` share one shuffle.
+    """
+    value = F.col(col).cast("double")
+    seen = value if weight is None else F.when(weight > 0, value)
+    shares = doubles([i / BUCKETS for i in range(1, BUCKETS)])
+    cuts = df.agg(F.percentile_approx(seen, shares, 4 * BUCKETS).alias("_cuts")).withColumn("_k", F.lit(0))
+    steps, at, step = [], "0", BUCKETS // 2
+    while step:
+        steps.append(f"{at} + IF(get(_cuts, {at} + {step - 1}) <= _v, {step}, 0) AS _b{step}")
+        at, step = f"_b{step}", step // 2
+    joined = df.select("*", F.lit(0).alias("_k"), value.alias("_v")).join(F.broadcast(cuts), "_k")
+    return joined.selectExpr(*df.columns, "_v", "_cuts", *steps).select(*df.columns, F.col(at).alias(out))
 
 
 def running_sum(
@@ -97,31 +100,27 @@ def hash_rank(
 def row_rank(
     df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str] = (), out: str = "rn", totals: bool = False
 ) -> DataFrame:
-    """1-based row number by a numeric column; runs one scan for the cut points."""
-    bucketed = with_value_bucket(df, order, quantile_splits(df, order), "_vb")
+    """1-based row number by a numeric column."""
+    bucketed = with_value_bucket(df, order, "_vb")
     by = [F.col(order), *[F.col(t) for t in tie]]
     return running_sum(bucketed, keys, "_vb", by, {out: F.lit(1).cast("long")}, totals=totals)
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, splits: Sequence[float] | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values per group with their count, the rows below them and the group's size.
 
     Equal values collapse before the window, so ties cost nothing.
     Columns: keys, value, ``cnt``, ``below``, ``n``.
     """
-    if splits is None:
-        splits = quantile_splits(df, value)
     cells = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
-    cells = with_value_bucket(cells, value, splits, "_vb")
+    cells = with_value_bucket(cells, value, "_vb", weight=F.col("cnt"))
     ranked = running_sum(cells, keys, "_vb", [F.col(value)], {"below": F.col("cnt")}, inclusive=False, totals=True)
     return ranked.withColumnRenamed("below_total", "n")
 
 
-def group_median(
-    df: DataFrame, keys: Sequence[str], value: str, out: str = "median", splits: Sequence[float] | None = None
-) -> DataFrame:
+def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
     """Exact median per group; a NaN in the group makes it NaN."""
-    ranked = value_ranks(df, keys, value, splits)
+    ranked = value_ranks(df, keys, value)
     low = F.floor((F.col("n") + 1) / 2)
     high = F.floor((F.col("n") + 2) / 2)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavecohort.functions import arrays as A
 from wavecohort.models import linear
 from wavecohort.models.linear import Pca, Stats
 from wavecohort.operators.moments import features_matrix, moments, signal_shift
@@ -227,7 +228,7 @@ def mahalanobis_test_info(train: DataFrame, test: DataFrame, label: str, keep: S
 def t2_q(signals: DataFrame, fit: Pca, keep: Sequence[str], features: str = "features") -> DataFrame:
     """(keep, t2, q) of each row under a fit."""
     p = project(signals, keep, fit.mean, fit.coeff, features, residual=True)
-    lam = F.array(*[F.lit(float(max(v, 1e-300))) for v in fit.latent])
+    lam = A.doubles([max(float(v), 1e-300) for v in fit.latent])
     return p.select(*keep, F.aggregate(F.zip_with("pc", lam, lambda t, v: t * t / v), F.lit(0.0), lambda a, b: a + b).alias("t2"), "q")
 
 

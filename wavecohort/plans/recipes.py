@@ -114,8 +114,7 @@ class FittedRecipe:
     def apply(self, x: Column) -> Column:
         y = self.recipe.before_scale(x)
         if self.recipe.scale:
-            lit = lambda vs: F.array(*[F.lit(v) for v in vs])
-            y = A.zscore_apply(y, lit(self.mu), lit(self.sigma))
+            y = A.zscore_apply(y, A.doubles(self.mu), A.doubles(self.sigma))
         return self.recipe.after_scale(y)
 
     def transform(self, df: DataFrame, features: str = "features", recipe: str | None = None) -> DataFrame:

@@ -21,12 +21,12 @@ GRIDS = {
     },
     "RandomForest": {"rf_ntrees": (50, 100, 200, 500), "rf_max_depth": (5, 10, 20, 30)},
 }
-# The wider search, one range per tuned setting.
+# The wider search, as points inside the documented ranges.
 WIDE_GRIDS = {
-    "PCA-LDA": {"pca_max_components": (5, 10, 15, 20)},
+    "PCA-LDA": {"lda_delta": (0.0, 0.25, 0.5, 1.0), "lda_gamma": (0.0, 0.25, 0.5, 0.75, 1.0)},
     "PLS-DA": {"pls_ncomp": tuple(range(1, 16))},
-    "SVM-RBF": {"svm_C": (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0), "svm_gamma": (0.001, 0.01, 0.1, 1.0, 10.0)},
-    "RandomForest": {"rf_ntrees": (50, 100, 200, 300), "rf_min_leaf_size": (1, 2, 5, 10)},
+    "SVM-RBF": {"svm_C": (0.1, 1.0, 10.0, 100.0), "svm_kernel_scale": (0.001, 0.01, 0.1, 1.0, 10.0)},
+    "RandomForest": {"rf_ntrees": (50, 100, 200, 500), "rf_min_leaf_size": (1, 5, 10, 25, 50)},
 }
 
 
