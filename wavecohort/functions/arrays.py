@@ -35,9 +35,6 @@ def doubles(values: Sequence[float]) -> Column:
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
-def as_signal(x: Column) -> Column:
-    return x.cast("array<double>")
-
 
 def array_sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)

@@ -166,17 +166,16 @@ def roc_points(preds: DataFrame, keys: Sequence[str], score: str, positive: Colu
 
 def count_metrics(preds: DataFrame, keys: Sequence[str], classes: Sequence, true: str = "y_true",
                   pred: str = "y_pred") -> DataFrame:
-    """n, accuracy and the four macro metrics per key, from one pass over the rows.
+    """n, accuracy and the four macro metrics per key, from one pass and one shuffle.
 
-    Rows collapse to (true, predicted) counts map-side; the rest is arithmetic on one row per key.
+    A task sends one row of counts per key; the rest is arithmetic on one row per key.
     """
-    counted = pair_counts(preds, keys, true, pred)
     n, t, p = F.col("n"), F.col(true), F.col(pred)
-    add = lambda cond: F.sum(F.when(cond, n).otherwise(F.lit(0)))
-    cells = [F.sum(n).alias("n"), add(t == p).alias("_hit")]
+    add = count_if
+    cells = [F.count(F.lit(1)).alias("n"), add(t == p).alias("_hit")]
     for i, c in enumerate(classes):
         cells += [add((t == c) & (p == c)).alias(f"_tp{i}"), add(t == c).alias(f"_t{i}"), add(p == c).alias(f"_p{i}")]
-    wide = counted.groupBy(*keys).agg(*cells)
+    wide = preds.groupBy(*keys).agg(*cells)
     sens, spec, prec, f1 = [], [], [], []
     for i in range(len(classes)):
         tp, nt, np_ = F.col(f"_tp{i}"), F.col(f"_t{i}"), F.col(f"_p{i}")

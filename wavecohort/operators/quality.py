@@ -121,15 +121,15 @@ def within_correlation(signals: DataFrame, sample: str, features: str = "feature
         centred,
         lambda c: A.let(A.l2_norm(c), lambda n: F.when(n > A.EPS, F.transform(c, lambda v: v / n)).otherwise(c)),
     )
-    rows = signals.select(sample, unit.alias("u"), (A.l2_norm(centred) <= A.EPS).cast("long").alias("flat"))
+    rows = signals.select(sample, unit.alias("_u"), (A.l2_norm(centred) <= A.EPS).cast("long").alias("_flat"))
     sums = rows.groupBy(sample).agg(
-        Summarizer.sum(array_to_vector("u")).alias("s"), F.count(F.lit(1)).alias("n"), F.sum("flat").alias("n_flat")
+        Summarizer.sum(array_to_vector("_u")).alias("_s"), F.count(F.lit(1)).alias("n"), F.sum("_flat").alias("_n_flat")
     )
-    total = A.let(vector_to_array("s"), lambda s: F.aggregate(s, F.lit(0.0), lambda acc, v: acc + v * v))
+    total = A.let(vector_to_array("_s"), lambda s: F.aggregate(s, F.lit(0.0), lambda acc, v: acc + v * v))
     pairs = (F.col("n") * (F.col("n") - 1)).cast("double")
     return sums.select(
         sample, "n",
-        F.when((F.col("n") > 1) & (F.col("n_flat") == 0), (total - F.col("n")) / pairs).alias("within_corr"),
+        F.when((F.col("n") > 1) & (F.col("_n_flat") == 0), (total - F.col("n")) / pairs).alias("within_corr"),
     )
 
 
