@@ -1,10 +1,12 @@
 """Array transforms, recipes and quality rules on small signals."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from wavecohort.functions import arrays as A
+from wavecohort.functions import batch
 from wavecohort.models import linear
 from wavecohort.operators import cleaning as C
 from wavecohort.operators import quality as Q
@@ -67,7 +69,7 @@ def test_smoothing_edges(spark):
 def test_derivative(spark):
     x = rng.normal(size=(2, 25))
     taps = np.array([2, -1, -2, -1, 2]) / 7
-    assert np.allclose(A.derivative_taps(5, 2, 2), taps)
+    assert np.allclose(batch.derivative_taps(5, 2, 2), taps)
     got = run(spark, x, A.sg_derivative)
     assert np.allclose(got, [np.convolve(r, taps, mode="same") for r in x])
     slope = run(spark, [np.arange(10.)], lambda c: A.sg_derivative(c, 5, 2, 1))
@@ -186,3 +188,15 @@ def test_nested_means(spark):
     df = spark.createDataFrame([([list(map(float, r)) for r in m],)], "x array<array<double>>")
     row = df.select(A.matrix_mean(F.col("x")).alias("a"), A.matrix_median(F.col("x")).alias("b")).head()
     assert np.allclose(row.a, m.mean(axis=0)) and np.allclose(row.b, np.median(m, axis=0))
+
+
+def test_batches_of_mixed_lengths_and_missing_values(spark):
+    rows = [(0, [1.0] * 9), (1, [2.0] * 4), (2, None), (3, [float("nan")] + [1.0] * 8)]
+    df = spark.createDataFrame(rows, "i long, features array<double>").coalesce(1)
+    got = {r.i: r.y for r in df.select("i", A.sg_smooth(F.col("features"), 5, 2).alias("y")).collect()}
+    assert np.allclose(got[0], 1) and got[1] == [2.0] * 4 and got[2] is None
+    assert np.isnan(got[3][:3]).all() and np.allclose(got[3][3:], 1)
+    pp2 = {r.i: r.y for r in df.where("i <> 2").select("i", R.PP2.apply(F.col("features")).alias("y")).collect()}
+    assert not np.isnan(pp2[3]).any()
+    with pytest.raises(ValueError, match="length"):
+        batch.features_matrix(pa.array([[1.0, 2.0], [1.0]]))

@@ -1,19 +1,19 @@
 """Row-local transforms of one signal (``array<double>`` in, array or scalar out).
 
-All of them are built-in higher-order functions: no shuffle, no Python worker,
-and usable unchanged on a streaming DataFrame.
+Built-in higher-order functions, apart from the two Savitzky-Golay filters,
+which run on Arrow batches.  No shuffle, and usable unchanged on a streaming
+DataFrame.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: double machine epsilon, the threshold below which a norm counts as zero.
-EPS = 2.220446049250313e-16
+from wavecohort.functions import batch
+from wavecohort.functions.batch import EPS
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -99,79 +99,19 @@ def check_window(window: int, poly: int, order: int = 0) -> None:
         raise ValueError("derivative order must be between 0 and the polynomial order")
 
 
-def local_fit(window: int, poly: int) -> np.ndarray:
-    """Rows map ``window`` neighbouring points to the coefficients of their least-squares polynomial.
-
-    Abscissae are -h..h with unit spacing.
-    """
-    h = window // 2
-    design = np.vander(np.arange(-h, h + 1, dtype=float), poly + 1, increasing=True)
-    return np.linalg.pinv(design)
-
-
-def smooth_weights(window: int, poly: int) -> np.ndarray:
-    """``window x window`` hat matrix: row ``j`` gives the fitted value at point ``j`` of a window."""
-    h = window // 2
-    design = np.vander(np.arange(-h, h + 1, dtype=float), poly + 1, increasing=True)
-    return design @ local_fit(window, poly)
-
-
-def derivative_taps(window: int, poly: int, order: int) -> np.ndarray:
-    """Taps whose dot product with a window is the ``order``-th derivative at its centre."""
-    return float(np.prod(np.arange(1, order + 1))) * local_fit(window, poly)[order]
-
-
-def _weighted(terms: Sequence[tuple[float, Column]]) -> Column:
-    total = None
-    for weight, term in terms:
-        if weight == 0.0:
-            continue
-        piece = term * F.lit(float(weight))
-        total = piece if total is None else total + piece
-    return F.lit(0.0) if total is None else total
-
-
-def _clean(weights: np.ndarray) -> np.ndarray:
-    return np.where(np.abs(weights) < 1e-15, 0.0, weights)
-
-
 def sg_smooth(x: Column, window: int, poly: int) -> Column:
     """Savitzky-Golay smoothing; edge points come from the fit of the first / last full window.
 
     A signal shorter than the window is returned unchanged.
     """
     check_window(window, poly)
-    hat = _clean(smooth_weights(window, poly))
-    h = window // 2
-
-    def smoothed(s: Column) -> Column:
-        end = F.size(s) - window
-        head = [_weighted([(hat[j, k], F.get(s, F.lit(k))) for k in range(window)]) for j in range(h)]
-        tail = [_weighted([(hat[j, k], F.get(s, end + k)) for k in range(window)]) for j in range(h + 1, window)]
-        middle = F.transform(
-            F.sequence(F.lit(0), F.greatest(end, F.lit(0))),
-            lambda i: _weighted([(hat[h, k], F.get(s, i + k)) for k in range(window)]),
-        )
-        whole = F.concat(F.array(*head), middle, F.array(*tail)) if h else middle
-        return F.when(end < 0, s).otherwise(whole)
-
-    return let(x, smoothed)
+    return batch.batch_column(x, lambda m: batch.smooth(m, window, poly))
 
 
 def sg_derivative(x: Column, window: int = 5, poly: int = 2, order: int = 2) -> Column:
     """Local-polynomial derivative with unit spacing; outside the signal counts as zero."""
     check_window(window, poly, order)
-    taps = _clean(derivative_taps(window, poly, order))
-    h = window // 2
-    zeros = F.array_repeat(F.lit(0.0), h)
-    padded = F.concat(zeros, x, zeros)
-    return let(
-        padded,
-        lambda p: F.transform(
-            F.sequence(F.lit(0), F.size(p) - window),
-            lambda i: _weighted([(taps[k], F.get(p, i + k)) for k in range(window)]),
-        ),
-    )
+    return batch.batch_column(x, lambda m: batch.derivative(m, window, poly, order))
 
 
 def diff_signal(x: Column, order: int = 1) -> Column:

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from wavecohort.models import linear, mllib
 from wavecohort.models.linear import LinearModel, Stats
-from wavecohort.operators.moments import features_matrix, moments, signal_shift
+from wavecohort.functions.batch import features_matrix, list_array
+from wavecohort.operators.moments import moments, signal_shift
 from wavecohort.plans.recipes import Recipe, recipe_fit
 
 LINEAR = ("PCA-LDA", "PLS-DA", "PLS-PM1")
@@ -118,9 +119,7 @@ def score_rows(rows: DataFrame, models: Mapping[tuple[int, int], Sequence[tuple[
                         best, prob = model.scores(sub, k)
                         m = len(idx)
                         cols = [pa.array([recipe] * m), pa.array([classifier] * m), pa.array(np.full(m, repeat)),
-                                pa.array(np.full(m, int(f))), *ids, true, lookup.take(pa.array(best)),
-                                pa.ListArray.from_arrays(pa.array(np.arange(0, m * k + 1, k, dtype=np.int32)),
-                                                         pa.array(prob.ravel()))]
+                                pa.array(np.full(m, int(f))), *ids, true, lookup.take(pa.array(best)), list_array(prob)]
                         yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return taken.mapInArrow(score, schema)

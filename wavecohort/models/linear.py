@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from wavecohort.functions.arrays import smooth_weights
+from wavecohort.functions.batch import smooth_weights
 
 
 @dataclass(frozen=True)

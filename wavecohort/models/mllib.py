@@ -10,7 +10,6 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wavecohort.functions import arrays as A
 from wavecohort.functions.labels import index_label, label_index
-from wavecohort.operators.moments import features_matrix
+from wavecohort.functions.batch import batch_column
 
 
 def labelled(df: DataFrame, label: str, features: str, classes: Sequence, weight: Column | None = None) -> DataFrame:
@@ -56,16 +55,7 @@ class RandomFeatures:
         omega, phase = self.omega, self.phase
         factor = np.sqrt(2.0 / len(phase))
 
-        @F.arrow_udf("array<double>")
-        def project(x: pa.Array) -> pa.Array:
-            m = features_matrix(x)
-            if m.shape[0] == 0:
-                return pa.array([], pa.list_(pa.float64()))
-            z = factor * np.cos(m @ omega + phase)
-            ends = np.arange(0, z.size + 1, z.shape[1], dtype=np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(z.ravel()))
-
-        return project(F.col(features).cast("array<double>"))
+        return batch_column(F.col(features), lambda m: factor * np.cos(m @ omega + phase))
 
 
 def auto_scale(df: DataFrame, features: str = "features") -> float:

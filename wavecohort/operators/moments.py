@@ -15,24 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavecohort.functions.batch import features_matrix
+
 # A task keeps one accumulator per key up to this size; beyond it, it sends what it has and starts again.
 STATE_BYTES = 256 * 1024 * 1024
 SHIFT_ROWS = 256
 
 
-def features_matrix(column) -> np.ndarray:
-    """An Arrow list column of equal-length rows as a matrix, without copying row by row."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    if n == 0:
-        return flat.reshape(0, 0)
-    if len(flat) % n:
-        raise ValueError("signals differ in length")
-    return flat.reshape(n, -1)
-
-
 def signal_shift(signals: DataFrame, features: str = "features") -> np.ndarray:
     """A vector near the mean, taken from a few rows.
 

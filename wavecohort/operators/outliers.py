@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from wavecohort.functions import arrays as A
 from wavecohort.models import linear
 from wavecohort.models.linear import Pca, Stats
-from wavecohort.operators.moments import features_matrix, moments, signal_shift
+from wavecohort.functions.batch import features_matrix, list_array
+from wavecohort.operators.moments import moments, signal_shift
 
 
 def stats_rows(table: DataFrame, keys: Sequence[str], shift: np.ndarray) -> dict:
@@ -93,8 +94,7 @@ def project(signals: DataFrame, keep: Sequence[str], mean: np.ndarray, coeff: np
                 continue
             x = features_matrix(batch.column(n_keep)) - mean
             t = x @ coeff
-            ends = pa.array(np.arange(0, t.size + 1, t.shape[1], dtype=np.int32))
-            cols = [*[batch.column(i) for i in range(n_keep)], pa.ListArray.from_arrays(ends, pa.array(t.ravel()))]
+            cols = [*[batch.column(i) for i in range(n_keep)], list_array(t)]
             if residual:
                 rest = x - t @ coeff.T
                 cols.append(pa.array(np.einsum("ij,ij->i", rest, rest)))

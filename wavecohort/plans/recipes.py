@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavecohort.functions import arrays as A
+from wavecohort.functions import batch
 from wavecohort.operators.aggregates import points, to_array
 
 
@@ -51,28 +53,14 @@ class Recipe:
             raise ValueError("bin width exceeds the signal length")
         return out - self.difference
 
-    def before_scale(self, x: Column) -> Column:
+    def before_scale(self, x: np.ndarray) -> np.ndarray:
+        """Binning and smoothing of a batch of signals."""
         if self.bin > 1:
-            x = A.bin_signal(x, self.bin)
+            x = batch.bin_mean(x, self.bin)
         if self.smooth > 0:
-            x = A.sg_smooth(x, *self.smooth_window())
+            x = batch.smooth(x, *self.smooth_window())
         return x
 
-    def after_scale(self, x: Column) -> Column:
-        return A.diff_signal(x, self.difference)
-
-
-def checked(df: DataFrame, features: str, width: int | None = None) -> Column:
-    """The signal, or a failing row when it is not finite or of another width."""
-
-    def guarded(x: Column) -> Column:
-        ok = A.nonfinite_count(x) == 0
-        if width is not None:
-            ok = ok & (F.size(x) == width)
-        return F.when(ok, x).otherwise(F.raise_error(F.lit("signal is not finite or has an unexpected width")))
-
-    return A.let(F.col(features).cast("array<double>"), guarded)
-
 
 def zscore_fit(df: DataFrame, keys: Sequence[str] = (), features: str = "features") -> DataFrame:
     """(keys, mu, sigma): mean and sample std per axis point as arrays; a zero std becomes 1.
@@ -111,17 +99,21 @@ class FittedRecipe:
     mu: tuple[float, ...] = ()
     sigma: tuple[float, ...] = ()
 
-    def apply(self, x: Column) -> Column:
-        y = self.recipe.before_scale(x)
+    def kernel(self, x: np.ndarray) -> np.ndarray:
+        y = self.recipe.before_scale(batch.require_finite(x, self.width_in))
         if self.recipe.scale:
-            y = A.zscore_apply(y, A.doubles(self.mu), A.doubles(self.sigma))
-        return self.recipe.after_scale(y)
+            y = (y - np.asarray(self.mu)) / np.asarray(self.sigma)
+        return np.diff(y, self.recipe.difference, axis=1)
+
+    def apply(self, x: Column) -> Column:
+        """All steps in one pass over an Arrow batch."""
+        return batch.batch_column(x, self.kernel)
 
     def transform(self, df: DataFrame, features: str = "features", recipe: str | None = None) -> DataFrame:
         """Transform rows of any split or stream; ``recipe`` guards against mixing up parameters."""
         if recipe is not None and recipe != self.recipe.code:
             raise ValueError(f"parameters belong to {self.recipe.code}, not {recipe}")
-        return df.withColumn(features, self.apply(checked(df, features, self.width_in)))
+        return df.withColumn(features, self.apply(F.col(features)))
 
     def to_row(self, spark: SparkSession) -> DataFrame:
         """The parameters as a one-row table."""
@@ -140,12 +132,11 @@ class FittedRecipe:
 def recipe_fit(train: DataFrame, code: str, features: str = "features") -> FittedRecipe:
     """Learn a recipe's parameters from training rows.  Runs one aggregation; its result has the axis length."""
     recipe = Recipe(code)
-    x = checked(train, features)
     if not recipe.scale:
         first = train.select(F.size(features).alias("w")).head()
         return FittedRecipe(recipe, first["w"])
-    rows = train.select(F.size(features).alias("w"), recipe.before_scale(x).alias("features"))
-    row = zscore_fit(rows, ["w"]).head(2)
+    ready = batch.batch_column(F.col(features), lambda x: recipe.before_scale(batch.require_finite(x)))
+    row = zscore_fit(train.select(F.size(features).alias("w"), ready.alias("features")), ["w"]).head(2)
     if len(row) != 1:
         raise ValueError("training signals differ in length")
     return FittedRecipe(recipe, row[0]["w"], tuple(row[0]["mu"]), tuple(row[0]["sigma"]))
@@ -204,15 +195,18 @@ class Preset:
         if self.norm not in ("L2", "None", "SNV", "MinMax"):
             raise ValueError(f"unknown normalisation: {self.norm}")
 
-    def apply(self, x: Column) -> Column:
+    def kernel(self, x: np.ndarray) -> np.ndarray:
         if self.bin > 1:
-            x = A.bin_signal(x, self.bin, omit_nan=True)
+            x = batch.bin_mean(x, self.bin, omit_nan=True)
         if self.smooth is not None:
-            x = A.sg_smooth(x, *self.smooth)
-        x = norm_type(x, self.norm)
-        if self.derivative is not None:
-            x = A.sg_derivative(x, *self.derivative)
-        return x
+            x = batch.smooth(x, *self.smooth)
+        if self.norm != "None":
+            x = batch.unit(x)
+        return x if self.derivative is None else batch.derivative(x, *self.derivative)
+
+    def apply(self, x: Column) -> Column:
+        """All steps in one pass over an Arrow batch."""
+        return batch.batch_column(x, self.kernel)
 
 
 PP1 = Preset()
