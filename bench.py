@@ -18,7 +18,7 @@ from wavecohort.session import local_session
 HEADLINE = [
     "long_form", "feature_ranges", "mean_signal", "median_signal", "recipe_fit_transform", "preset_pp1", "preset_pp2",
     "qc_funnel", "qc_within_corr", "dedup_lowest_session", "join_metadata", "stratified_group_folds_orders", "moments",
-    "cv_grid", "cv_grid_lines", "cv_summary", "lda_predict", "plsda_predict", "pca_project", "mahalanobis_within",
+    "cv_grid", "cv_grid_lines", "cv_summary", "cv_flagship", "lda_predict", "plsda_predict", "pca_project", "mahalanobis_within",
     "patient_rollup", "vote_rollup_conf", "auc_binary", "auc_ovr", "two_level_eval", "fold_metrics", "summarize",
     "auc_bootstrap_ci", "grid_search", "random_forest",
 ]

@@ -22,6 +22,7 @@ from wavecohort.operators import summary as S
 from wavecohort.operators.moments import moments as gather
 from wavecohort.operators.moments import signal_shift
 from wavecohort.plans import cv, evaluate, tuning
+from wavecohort.session import cut_lineage
 from wavecohort.sources import sinks
 
 KEEP = ("signal_id", "sample_id", "group_id")
@@ -327,8 +328,13 @@ def cv_grid_mllib(spark, sf):
 @register("cv_summary")
 def cv_summary(spark, sf):
     """The flagship: folds, fits, predictions, roll-up and summary."""
-    preds = embedding_cv(spark, sf).persist()
-    return S.summarize(S.fold_metrics(preds, V.CLASSES))
+    return S.summarize(S.fold_metrics(cut_lineage(embedding_cv(spark, sf)), V.CLASSES))
+
+
+@register("cv_flagship")
+def cv_flagship(spark, sf):
+    """The whole linear half of the published grid: 4 recipes x 2 classifiers x 10 repeats x 5 folds, 400 fits."""
+    return S.summarize(S.fold_metrics(cut_lineage(embedding_cv(spark, sf, repeats=10)), V.CLASSES))
 
 
 @register("fold_leaks", """SELECT CAST(1 AS BIGINT) AS repeat, CAST(k AS BIGINT) AS fold, CAST(0 AS BIGINT) AS n_leaked, (SELECT count(*) FROM embeddings) AS n_rows FROM range(1, 6) t(k)""")
@@ -384,7 +390,7 @@ def best_then_test(spark, sf):
     s = V.signals(spark, sf)
     train, test = s.where(is_train()), s.where(~is_train())
     recipes, names = ["10200X", "10220X"], ["PCA-LDA", "PLS-DA"]
-    preds = cv.cv_grid(train, recipes, names, "y", V.CLASSES, k=3)
+    preds = cut_lineage(cv.cv_grid(train, recipes, names, "y", V.CLASSES, k=3))
     summary = S.summarize(S.fold_metrics(preds, V.CLASSES)).where(F.col("level") == "group")
     _, out = evaluate.best_then_test(summary, "mean_macro_f1", recipes, names, train, test, "y", V.CLASSES)
     return evaluate.test_report(out, [], 3)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from wavecohort.catalog import views as V
@@ -16,15 +14,10 @@ from wavecohort.operators import folds as K
 from wavecohort.operators import sets as S
 from wavecohort.operators import summary as Y
 from wavecohort.plans import cv
-from wavecohort.session import checkpoint_dir
+from wavecohort.session import scratch_path as scratch
 from wavecohort.sources import sinks, tables
 
 
-def scratch(spark, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def raw_samples(spark, sf):
     """Sample rows with the column names of the source tables."""
     return V.positions(spark, sf).select(

@@ -24,6 +24,7 @@ from wavecohort.models.linear import LinearModel, Stats
 from wavecohort.operators.folds import fold_arrays, leaked_groups, stratified_group_folds
 from wavecohort.operators.moments import moments, signal_shift
 from wavecohort.plans.recipes import FittedRecipe, Recipe
+from wavecohort.session import cut_lineage, scratch_path
 
 _MODEL_SCHEMA = ("repeat int, fold int, recipe string, classifier string, kind string, n_out int, "
                  "weights array<double>, intercept array<double>")
@@ -129,7 +130,7 @@ def cv_variants(signals: DataFrame, recipes: Sequence[str], variants: Sequence[V
     if models:
         parts.append(score_rows(rows, models, keep, label, classes, features, fold_array="folds"))
     if other:
-        parts += _mllib_folds(rows, other, label, classes, keep, features, scales, len(shift), threads)
+        parts.append(_mllib_folds(rows, other, label, classes, keep, features, scales, len(shift), threads))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -143,21 +144,33 @@ def cv_grid(signals: DataFrame, recipes: Sequence[str], classifiers: Sequence[st
 
 
 def _mllib_folds(rows, variants, label, classes, keep, features, scales, width, threads):
+    """One fit and one scoring job per (repeat, fold, recipe, variant).
+
+    Signals are stored once with their folds, so that no fit repeats the join,
+    and every fit writes its predictions, so that the plan stays small and a
+    finished fold is never computed again.
+    """
+    rows = cut_lineage(rows.select(*dict.fromkeys([*keep, label, "folds"]), F.col(features).alias("features")), "cv-rows")
+    path = scratch_path(rows.sparkSession, "cv-predictions")
+
     def one(task):
-        (repeat, fold, code), v = task
+        number, ((repeat, fold, code), v) = task
         mu, sigma = scales[(repeat, fold, code)]
         recipe = Recipe(code)
         fitted = FittedRecipe(recipe, width, mu if recipe.scale else (), sigma if recipe.scale else ())
         test_fold = F.col("folds")[repeat - 1] == fold
-        train = fitted.transform(rows.where(~test_fold).select(label, F.col(features).alias("features")))
+        train = fitted.transform(rows.where(~test_fold).select(label, "features"))
         model = FittedMllib(v.name, fitted, MLLIB[v.kind](train, label, classes, v.config))
-        out = model.predict(rows.where(test_fold), keep, label, features)
-        return out.withColumns({"repeat": F.lit(repeat).cast("long"), "fold": F.lit(fold).cast("long")})
+        out = model.predict(rows.where(test_fold), keep, label)
+        out.withColumns({"repeat": F.lit(repeat).cast("long"), "fold": F.lit(fold).cast("long")}).write.parquet(
+            f"{path}/fit={number}")
+        return out.schema
 
     # each task only submits Spark jobs; the fits themselves are distributed
-    tasks = [(key, v) for key in sorted(scales) for v in variants]
+    tasks = list(enumerate((key, v) for key in sorted(scales) for v in variants))
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        return list(pool.map(one, tasks))
+        schema = list(pool.map(one, tasks))[0]
+    return rows.sparkSession.read.schema(schema).parquet(*[f"{path}/fit={n}" for n, _ in tasks])
 
 
 def sample_level_cv(signals: DataFrame, recipes: Sequence[str], classifiers: Sequence[str], label: str,
