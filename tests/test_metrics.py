@@ -51,7 +51,7 @@ def test_confusion(spark):
 
 def test_vote(spark):
     df = preds(spark, "111222", "112112", groups=[1, 1, 1, 2, 2, 2])
-    rolled = M.group_rollup(df, [], "group_id", 2)
+    rolled = M.group_rollup(df, [], "group_id", [1, 2])
     assert rolled.count() == 2 and one(M.accuracy(rolled, []))["accuracy"] == .5
 
 
@@ -75,7 +75,7 @@ def test_ties(spark):
     df = preds(spark, "1111122222", "1111222221", [.1] * 4 + [.9] * 5 + [.4], [1, 1, 1, 2, 2, 2, 3, 3, 4, 4])
     assert one(M.evaluate(df, [], [1, 2]))["accuracy"] == pytest.approx(.8)
     assert one(M.auc_binary(df, [], 2))["auc"] == pytest.approx(.88)
-    rolled = M.group_rollup(df, [], "group_id", 2)
+    rolled = M.group_rollup(df, [], "group_id", [1, 2])
     assert {r.group_id: r.y_pred for r in rolled.collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
     got = one(M.evaluate(rolled, [], [1, 2]))
     assert got["accuracy"] == pytest.approx(.5) and got["auc"] == pytest.approx(1.0)

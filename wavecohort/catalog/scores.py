@@ -126,7 +126,7 @@ def sql_rollup(name: str, src: str, keys: str) -> str:
 @register("patient_rollup", f"""WITH {sql_rollup('g', '{preds}', 'group_id')}, n AS (SELECT group_id, count(*) AS n_rows FROM {{preds}} GROUP BY group_id)
     SELECT group_id, n_rows, y_true, y_pred, {R('1-score', 'score_1')}, {R('score', 'score_2')} FROM g JOIN n USING (group_id)""")
 def patient_rollup(spark, sf):
-    return doubles(sinks.with_score_columns(M.group_rollup(V.preds(spark, sf), [], "group_id", 2), 2))
+    return doubles(sinks.with_score_columns(M.group_rollup(V.preds(spark, sf), [], "group_id", V.CLASSES), 2))
 
 
 def sql_eval(name: str, src: str, keys: list[str], classes: str = "[1, 3]") -> str:
@@ -149,7 +149,7 @@ SIX_COLS = ", ".join(R(c, c) for c in SIX)
 
 @register("patient_metrics", f"WITH {sql_rollup('g', '{preds}', 'recipe, group_id')}, {sql_eval('e', 'g', ['recipe'])} SELECT recipe, n, {SIX_COLS} FROM e")
 def patient_metrics(spark, sf):
-    return doubles(M.evaluate(M.group_rollup(V.preds(spark, sf), ["recipe"], "group_id", 2), ["recipe"], V.CLASSES))
+    return doubles(M.evaluate(M.group_rollup(V.preds(spark, sf), ["recipe"], "group_id", V.CLASSES), ["recipe"], V.CLASSES))
 
 
 @register("two_level_eval", f"""WITH {sql_eval('e', '{preds}', ['recipe'])}, {sql_rollup('g', '{preds}', 'recipe, group_id')}, {sql_eval('h', 'g', ['recipe'])}

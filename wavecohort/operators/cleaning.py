@@ -103,18 +103,23 @@ def validate_signals(
 
     Without ``width`` signals are compared with the longest one.
     """
-    size = F.size(features)
     wrong = F.col("widest") != F.col("narrowest") if width is None else F.col("off_width") > 0
-    counts = df.agg(
+    # flags first: the distinct counts below copy the columns they see, and signals are wide
+    flags = df.select(
+        F.col(sample).alias("_s"), F.col(label).alias("_l"), F.size(features).alias("_w"),
+        (A.nonfinite_count(F.col(features)) > 0).alias("_bad"),
+    )
+    total = lambda c: F.sum(c.cast("long"))
+    counts = flags.agg(
         F.count(F.lit(1)).alias("n_signals"),
-        F.countDistinct(sample).alias("n_samples"),
-        F.sum((size <= 0).cast("long")).alias("n_empty"),
-        F.max(size).alias("widest"),
-        F.min(size).alias("narrowest"),
-        F.sum((size != F.lit(width if width is not None else -1)).cast("long")).alias("off_width"),
-        F.sum((A.nonfinite_count(F.col(features)) > 0).cast("long")).alias("n_nonfinite"),
-        F.sum((~F.coalesce(F.col(label).isin(*allowed), F.lit(False))).cast("long")).alias("n_bad_label"),
-        F.countDistinct(label).alias("n_classes"),
+        F.countDistinct("_s").alias("n_samples"),
+        total(F.col("_w") <= 0).alias("n_empty"),
+        F.max("_w").alias("widest"),
+        F.min("_w").alias("narrowest"),
+        total(F.col("_w") != F.lit(width if width is not None else -1)).alias("off_width"),
+        total(F.col("_bad")).alias("n_nonfinite"),
+        total(~F.coalesce(F.col("_l").isin(*allowed), F.lit(False))).alias("n_bad_label"),
+        F.countDistinct("_l").alias("n_classes"),
     )
     return counts.select(
         "n_signals", "n_samples", "n_empty", wrong.alias("mixed_width"), "n_nonfinite", "n_bad_label",

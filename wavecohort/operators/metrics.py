@@ -209,16 +209,28 @@ def evaluate(preds: DataFrame, keys: Sequence[str], classes: Sequence, true: str
     return one(counts).join(one(area), "_k").drop("_k")
 
 
-def group_rollup(preds: DataFrame, keys: Sequence[str], group: str, n_scores: int, true: str = "y_true",
-                 pred: str = "y_pred", scores: str = "scores") -> DataFrame:
-    """One row per group: majority true and predicted label (smallest on ties) and mean scores.
+def majority(label: str, classes: Sequence) -> Column:
+    """Most frequent of the declared classes, the smallest on ties.
 
-    ``mode`` keeps one counter per class, so a large group combines map-side.
+    One counter per class keeps the aggregation hashed and in generated code,
+    where ``mode`` would fall back to sorting for many groups.
     """
-    means = F.array(*[F.avg(F.col(scores)[i]) for i in range(n_scores)])
+    order = sorted(classes)
+    counts = [count_if(F.col(label) == c) for c in order]
+    top = F.greatest(*counts) if len(counts) > 1 else counts[0]
+    out = None
+    for c, n in zip(order, counts):
+        out = F.when(n == top, F.lit(c)) if out is None else out.when(n == top, F.lit(c))
+    return out
+
+
+def group_rollup(preds: DataFrame, keys: Sequence[str], group: str, classes: Sequence, true: str = "y_true",
+                 pred: str = "y_pred", scores: str = "scores") -> DataFrame:
+    """One row per group: majority true and predicted label and mean scores."""
+    means = F.array(*[F.avg(F.col(scores)[i]) for i in range(len(classes))])
+    typed = lambda c: majority(c, classes).cast(preds.schema[c].dataType).alias(c)
     return preds.groupBy(*keys, group).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.mode(true, True).alias(true), F.mode(pred, True).alias(pred),
-        means.alias(scores),
+        F.count(F.lit(1)).alias("n_rows"), typed(true), typed(pred), means.alias(scores),
     )
 
 
@@ -228,7 +240,7 @@ def vote_rollup(preds: DataFrame, keys: Sequence[str], group: str, low=1, high=3
     p_high = F.col(score)
     p_low = F.lit(1.0) - F.col(score)
     base = preds.groupBy(*keys, group).agg(
-        F.mode(true, True).alias("true_label"), F.count(F.lit(1)).alias("n_rows"),
+        majority(true, [low, high]).cast("long").alias("true_label"), F.count(F.lit(1)).alias("n_rows"),
         count_if(F.col(pred) == low).alias("n_low"), count_if(F.col(pred) == high).alias("n_high"),
         F.avg(p_low).alias("mean_p_low"), F.avg(p_high).alias("mean_p_high"),
         F.coalesce(F.stddev_samp(p_low), F.lit(0.0)).alias("std_p_low"),
@@ -248,7 +260,7 @@ def mean_posterior_rollup(preds: DataFrame, keys: Sequence[str], group: str, low
                           true: str = "y_true") -> DataFrame:
     """Label with the larger mean probability, the first on ties."""
     mean = preds.groupBy(*keys, group).agg(
-        F.mode(true, True).alias("y_true"), F.avg(1.0 - F.col(score)).alias("p_low"), F.avg(score).alias("p_high")
+        majority(true, [low, high]).cast("long").alias("y_true"), F.avg(1.0 - F.col(score)).alias("p_low"), F.avg(score).alias("p_high")
     )
     return mean.withColumn(
         "y_pred", F.when(F.col("p_high") > F.col("p_low"), F.lit(high)).otherwise(F.lit(low)).cast("long")
@@ -324,7 +336,7 @@ def metrics_long(wide: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -
 def compare_rollups(preds: DataFrame, group: str, low=1, high=3, score: str = "score") -> DataFrame:
     """Accuracy, sensitivity and specificity of vote and mean-probability roll-ups, and their differences."""
     scored = preds.withColumn("scores", F.array(1.0 - F.col(score), F.col(score)))
-    vote = binary_metrics_npv(group_rollup(scored, [], group, 2), [], high)
+    vote = binary_metrics_npv(group_rollup(scored, [], group, [low, high]), [], high)
     mean = binary_metrics_npv(mean_posterior_rollup(preds, [], group, low, high, score), [], high)
     names = ["accuracy", "sensitivity", "specificity"]
     v = vote.select(F.lit(0).alias("_k"), *[F.col(n).alias(f"vote_{n}") for n in names])
@@ -333,10 +345,15 @@ def compare_rollups(preds: DataFrame, group: str, low=1, high=3, score: str = "s
 
 
 def two_level_eval(preds: DataFrame, keys: Sequence[str], group: str, classes: Sequence) -> DataFrame:
-    """The same metrics per row and after the roll-up to groups, side by side."""
-    rows = evaluate(preds, keys, classes).withColumn("level", F.lit("signal"))
-    rolled = group_rollup(preds, keys, group, len(classes))
-    return rows.unionByName(evaluate(rolled, keys, classes).withColumn("level", F.lit("group")))
+    """The same metrics per row and after the roll-up to groups, side by side.
+
+    Both grains go through one evaluation with the level as a key.
+    """
+    cols = [*keys, "y_true", "y_pred", "scores"]
+    rolled = group_rollup(preds, keys, group, classes)
+    both = preds.select(F.lit("signal").alias("level"), *cols).unionByName(
+        rolled.select(F.lit("group").alias("level"), *cols))
+    return evaluate(both, ["level", *keys], classes)
 
 
 def _poisson_one(draw: Column) -> Column:

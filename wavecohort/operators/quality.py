@@ -182,5 +182,4 @@ def outlier_removal_summary(flags: DataFrame, flag: str) -> DataFrame:
 def session_agreement(points: DataFrame, sample: str, session: str, reference: DataFrame) -> DataFrame:
     """Pearson r between a sample's mean signal in each session and a reference signal (pos, ref)."""
     mean = points.groupBy(sample, session, "pos").agg(F.avg("value").alias("m"))
-    # one row per axis point
-    return mean.join(F.broadcast(reference), "pos").groupBy(sample, session).agg(F.corr("m", "ref").alias("r"))
+    return mean.join(reference, "pos").groupBy(sample, session).agg(F.corr("m", "ref").alias("r"))

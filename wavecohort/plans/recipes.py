@@ -81,10 +81,10 @@ def zscore_apply(df: DataFrame, params: DataFrame, keys: Sequence[str], features
     """Scale rows with frozen parameters.
 
     ``params`` has one row per key of the configuration grid and arrays of axis
-    length, so its size does not depend on the data; the planner still decides.
+    length; the planner decides how to join it.  Without keys it is one row.
     """
     if not keys:
-        df, params, keys = df.withColumn("_k", F.lit(0)), params.withColumn("_k", F.lit(0)), ["_k"]
+        df, params, keys = df.withColumn("_k", F.lit(0)), F.broadcast(params.withColumn("_k", F.lit(0))), ["_k"]
     return df.join(params, list(keys)).withColumn(
         features, A.zscore_apply(F.col(features), F.col("mu"), F.col("sigma"))
     ).drop("mu", "sigma", "_k")
