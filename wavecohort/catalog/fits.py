@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavecohort.catalog import views as V
-from wavecohort.catalog.scores import R, doubles
+from wavecohort.catalog.scores import FOLD_KEYS, STAT_NAMES, SUM_COLS, R, doubles, sql_eval, sql_rollup
 from wavecohort.catalog.tables import scratch
 from wavecohort.catalog.transforms import TRAIN, is_train
 from wavecohort.catalog.views import r6, register, rounded
@@ -270,8 +270,21 @@ fitted("svm_platt", "SVM-RBF", {"svm_platt": True})
 fitted("random_forest", "RandomForest", FOREST)
 fitted("rf_weighted", "RandomForest", FOREST, penalty=5.0)
 fitted("logistic_baseline", "Logistic")
-fitted("fit_predict", "PCA-LDA")
-fitted("cost_sensitive_train", "PLS-DA", penalty=5.0)
+
+
+@register("cost_sensitive_train", f"WITH {LINES}, {sql_ols(NUM, 'l', 'l')} {PLS_OUT}")
+def cost_sensitive_train(spark, sf):
+    """The penalty leaves partial least squares as it is."""
+    rows = lines(spark, sf)
+    return scored(evaluate.cost_sensitive_fit("PLS-DA", "10200X", rows, "y", V.CLASSES).predict(rows, LINE_KEEP, "y"), "order_id", "line_no")
+
+
+@register("fit_predict", f"WITH {LINES}, tr AS (SELECT * FROM l WHERE {TRAIN}), {sql_lda('tr', 'l')} {LDA_OUT}")
+def fit_predict(spark, sf):
+    rows = lines(spark, sf)
+    model = C.fit("PCA-LDA", "10200X", rows.where(is_train_line()), "y", V.CLASSES)
+    return scored(model.predict(rows, LINE_KEEP, "y"), "order_id", "line_no")
+
 
 
 @register("sink_model_params", f"SELECT 'PCA-LDA' AS classifier, '10200X' AS recipe, CAST(2 AS BIGINT) AS n_outputs, max(CAST(len(features) AS BIGINT)) AS width FROM {{signals}}")
@@ -310,6 +323,18 @@ def cv_grid_lines(spark, sf):
     return line_cv(spark, sf).select("classifier", "repeat", "fold", "order_id", "line_no", "y_true", "y_pred", r6(F.col("scores")[1]).alias("score"))
 
 
+LINE_SUMMARY = f"""{LINE_FOLDS}, p2 AS (SELECT '10200X' AS recipe, pr.* FROM pr), {sql_eval('e', 'p2', FOLD_KEYS)},
+    {sql_rollup('g', 'p2', ', '.join(FOLD_KEYS) + ', group_id')}, {sql_eval('h', 'g', FOLD_KEYS)},
+    pf AS (SELECT 'signal' AS level, * FROM e UNION ALL SELECT 'group' AS level, * FROM h),
+    su AS (SELECT level, recipe, classifier, {SUM_COLS} FROM pf GROUP BY level, recipe, classifier)"""
+
+
+@register("cv_summary_lines", f"WITH {LINE_SUMMARY} SELECT level, recipe, classifier, {', '.join(R(c, c) for c in STAT_NAMES)} FROM su")
+def cv_summary_lines(spark, sf):
+    """Folds, fits, predictions, roll-up and summary, checked from end to end."""
+    return doubles(S.summarize(S.fold_metrics(cut_lineage(line_cv(spark, sf)), V.CLASSES)))
+
+
 def embedding_cv(spark, sf, recipes=("10200X", "10210X", "10220X", "11220X"), repeats=2):
     return cv.cv_grid(V.signals(spark, sf), list(recipes), ["PCA-LDA", "PLS-DA"], "y", V.CLASSES, k=5, repeats=repeats)
 

@@ -320,7 +320,9 @@ def fill_missing_category(spark, sf):
         "custkey", L.fill_missing_category(F.nullif(F.trim("sex_text"), F.lit(""))).alias("sex"))
 
 
-@register("column_profile")
+@register("column_profile", """SELECT row_number() OVER () AS position, column_name AS name,
+    CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS type
+    FROM (DESCRIBE lineitem)""")
 def column_profile(spark, sf):
     return tables.column_profile(V.table(spark, sf, "lineitem"))
 

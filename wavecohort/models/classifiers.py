@@ -118,7 +118,7 @@ def score_rows(rows: DataFrame, models: Mapping[tuple[int, int], Sequence[tuple[
                     for recipe, classifier, model in models[(repeat, int(f))]:
                         best, prob = model.scores(sub, k)
                         m = len(idx)
-                        cols = [pa.array([recipe] * m), pa.array([classifier] * m), pa.array(np.full(m, repeat)),
+                        cols = [pa.repeat(recipe, m), pa.repeat(classifier, m), pa.array(np.full(m, repeat)),
                                 pa.array(np.full(m, int(f))), *ids, true, lookup.take(pa.array(best)), list_array(prob)]
                         yield pa.RecordBatch.from_arrays(cols, names=names)
 
