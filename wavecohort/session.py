@@ -32,14 +32,21 @@ def local_session(cores: str = "8", app: str = "wavecohort", memory: str = "12g"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only when none is set (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder named by the cluster in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (one machine) sets a new temporary
+    folder and keeps to it; on a cluster that is an error, because executors
+    would write to their own disks.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    return tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
