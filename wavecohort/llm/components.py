@@ -23,7 +23,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while True:
         pairs = stored(_star(_star(pairs, True), False), "star")
-        now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first()
+        now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now == before:
             break
         before = now
