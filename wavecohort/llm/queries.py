@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecohort.llm import contamination, quality, simhash
+from wavecohort.llm import contamination, mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,3 +47,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id and the span of every benchmark item that a document contains."""
     return contamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    taken = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["words"])
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
