@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecohort.llm import contamination, mixing, quality, simhash
+from wavecohort.llm import contamination, mixing, quality, simhash, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,3 +55,15 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     taken = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["words"])
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files written."""
+    return tokenfiles.token_files(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
