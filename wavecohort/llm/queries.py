@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecohort.llm import contamination, mixing, quality, simhash, tokenfiles
+from wavecohort.llm import contamination, mixing, quality, recompression, simhash, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +67,10 @@ def tokenizer_path() -> str:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files written."""
     return tokenfiles.token_files(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+
+
+@register
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    found = recompression.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
