@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecohort.llm import text as X
@@ -227,11 +227,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal rows give equal rows.  An empty table gives an empty result.
     """
     rows = stored(fingerprints(docs, [id_col], text_col, size), "fingerprints")
+    return rows.join(classes(rows, id_col, leaves), "fp").select(id_col, "fp", "component_id")
+
+
+def classes(rows: DataFrame, id_col: str, leaves: int = LEAVES) -> DataFrame:
+    """(fp, root, component_id): one row for each fingerprint of ``rows`` (id_col, fp); root is the class's fingerprint."""
     known = stored(rows.groupBy("fp").agg(F.min(id_col).alias("_least")), "distinct")
     top = max(4, int(np.ceil(np.log2(max(1, known.count()) / leaves))))
-    classes = components(links(known, top))
-    rooted = known.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "_least", F.coalesce("root", "fp").alias("root"))
+    found = components(links(known, top))
+    rooted = stored(known.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "_least", F.coalesce("root", "fp").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    return rooted.join(named, "root").select("fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
+    """One row of ``docs`` for each class, all columns unchanged: the one with the class's id.
+
+    Of several rows with that id the one with the least hash of all columns
+    stays.  A class of rows without id keeps one row in the same way; in other
+    classes rows without id go.
+    """
+    rows = stored(fingerprints(docs, [id_col], text_col, size), "fingerprints")
+    of_fp = stored(classes(rows, id_col), "classes")
+    named = rows.join(of_fp, "fp").filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    order = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
+    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(order))
+    kept = docs.join(named, id_col, "left_semi").withColumn("_turn", turn).filter("_turn = 1").select(*docs.columns)
+    nameless = fingerprints(docs.filter(F.col(id_col).isNull()), docs.columns, text_col, size)
+    nameless = nameless.join(of_fp.filter("component_id is null").select(F.col("fp"), F.col("root").alias("_root")), "fp")
+    turn = F.row_number().over(Window.partitionBy("_root").orderBy(order))
+    return kept.union(nameless.withColumn("_turn", turn).filter("_turn = 1").select(*docs.columns))
