@@ -1,0 +1,90 @@
+import hashlib
+import re
+
+import pytest
+
+from tests.llm import fixtures as D
+from wavecohort.llm import queries, secrets
+
+KEY = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+BASE = (
+    ("assign", re.compile(KEY + "[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), lambda m: len(m[2]) >= 12),
+    ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+    ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+)
+
+
+def base(t):
+    hits = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(BASE) for m in p.finditer(t or "") if ok(m))
+    return [f"{BASE[k][0]}:{a}:{z}" for a, k, z in hits]
+
+
+def test_query_equals_plain_patterns(spark, sf):
+    texts = {r.doc_id: r.text for r in D.documents(spark, sf).collect()}
+    got = queries.QUERIES["op4_secret_scan"](spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = base(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s and not s.startswith("guess")] == want
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex"))
+
+
+def test_odd_rows(spark):
+    got = [(r.doc_id, [(s.kind, s.start, s.end) for s in r.spans]) for r in secrets.scan(D.odd(spark)).collect()]
+    assert sorted(((i, [f"{k}:{a}:{z}" for k, a, z in s if k != "guess"]) for i, s in got), key=str) == sorted(
+        ((r[0], base(r[1])) for r in D.ROWS), key=str)
+    spans = dict(got)[11]
+    text = next(r[1] for r in D.ROWS if r[0] == 11)
+    assert [text[a:z] for k, a, z in spans if k == "guess"] == ["x8Kq2vLz9QwErTy7"]
+    assert secrets.scan(D.empty(spark)).collect() == []
+
+
+def brute_cost(value, rank):
+    """Least cost over all cuts of a short value, by trying every segmentation."""
+    n = len(value)
+    best = float("inf")
+    for cut in range(1 << (n - 1)):
+        ends = [k + 1 for k in range(n - 1) if cut >> k & 1] + [n]
+        total, low, last = 0.0, 0, ""
+        for high in ends:
+            part = value[low:high]
+            kind, cost = "", float("inf")
+            if len(part) == 1:
+                kind, cost = "brute", secrets._brute(part)
+            if len(part) >= 3 and part in rank:
+                kind, cost = "word", secrets.log10(rank[part])
+            if len(part) >= 3 and len(set(part)) == 1:
+                c = secrets._brute(part[0]) + secrets.log10(len(part))
+                kind, cost = ("repeat", c) if c < cost else (kind, cost)
+            total += cost + (secrets.log10(2) if low and not (kind == last == "brute") else 0)
+            low, last = high, kind
+        best = min(best, total)
+    return best
+
+
+@pytest.mark.parametrize("value", ["catcat1x", "aaaqcat", "x9dogaaa", "qzqv", "dogcatz", "catdog"])
+def test_segmentation_is_of_least_cost(value):
+    rank = {"cat": 40, "dog": 7, "catdog": 9000}
+    cost, parts = secrets.guess_cost(value, rank)
+    assert cost <= brute_cost(value, rank) + 1e-9
+    assert "".join(value[a:z] for _, a, z in parts) == value
+
+
+@pytest.mark.parametrize("value, kind", [
+    ("password", "word"), ("P@ssw0rd", "word"), ("qwertyuiop", "walk"), ("aaaaaaaaaaaa", "repeat"), ("abcabcabcabc", "repeat"),
+    ("abcdefghij", "sequence"), ("2019-07-31", "date"), ("x8Kq2vLz9Q", "brute")])
+def test_segments_have_the_expected_kind(value, kind):
+    cost, parts = secrets.guess_cost(value, secrets.ranks([]))
+    assert parts[0][0] == kind and (cost >= secrets.STRONG) == (kind == "brute")
+
+
+def test_long_values_take_linear_time():
+    assert secrets.guess_cost("a" * 20_000, {})[0] < secrets.STRONG
+    assert secrets.guess_cost("qaws" * 5_000, {})[0] < secrets.STRONG + 1
+    assert secrets.guess_cost("", {}) == (0.0, [])
+
+
+def test_vocabulary_counts_all_texts(spark):
+    df = spark.createDataFrame([("zeta alpha alpha Beta",), (None,), ("beta, gamma alpha ab",)], "text string")
+    assert secrets.vocabulary(df, size=3) == ["alpha", "beta", "gamma"]

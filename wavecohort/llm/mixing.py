@@ -65,11 +65,11 @@ def split_tree(draws: np.ndarray, shards: int, rng: np.random.Generator) -> np.n
     return np.concatenate([split_tree(part, left, rng), split_tree(draws - part, shards - left, rng)], axis=1)
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """``docs`` with _source, _size (words) and _key (the permutation's hash)."""
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *more) -> DataFrame:
+    """_source, _size (words) and _key (the permutation's hash) of every row, and ``more``."""
     body = F.col(text_col).cast("string")
     return docs.select(
-        "*", F.col(source_col).cast("string").alias("_source"),
+        *more, F.col(source_col).cast("string").alias("_source"),
         F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
         F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), body).alias("_key"))
 
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "parts")]
-    narrow = stored(_sized(docs.select(*dict.fromkeys([id_col, text_col, source_col])), id_col, text_col, source_col, seed).select("_source", "_size", "_key"), "sizes")
+    narrow = stored(_sized(docs, id_col, text_col, source_col, seed), "sizes")
     sizes = {r["_source"]: int(r["n"]) for r in narrow.groupBy("_source").agg(F.sum("_size").alias("n")).collect()}
     goal = targets(sizes, weights, most)
     plan = []
@@ -125,7 +125,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     table = stored(drawn.join(dealt, same(drawn, dealt) & (drawn["_block"] == dealt["_block"]), "left")
                    .drop(dealt["_source"], dealt["_block"]), "draws")
 
-    rows = with_block(_sized(docs.select(*own), id_col, text_col, source_col, seed))
+    rows = with_block(_sized(docs, id_col, text_col, source_col, seed, F.struct(*own).alias("_row")))
     rows = rows.join(table, same(rows, table) & (rows["_block"] == table["_block"]), "left").drop(table["_source"], table["_block"])
     entered = (F.col("_left") > 0) & (F.col("_left") < F.col("_words"))
     whole = rows.filter(~entered).withColumn("_extra", F.when(F.col("_left") > 0, F.col("_size")).otherwise(F.lit(0).cast("long")))
@@ -137,7 +137,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     part = F.transform("_dealt", lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"), words(d).alias("words")))
     empty = F.array().cast("array<struct<copy:bigint,shard:int,words:bigint>>")
     return whole.unionByName(partly).select(
-        *own, F.col("_size").alias("size"), "source_size", "target",
+        *[F.col("_row")[c].alias(c) for c in own], F.col("_size").alias("size"), "source_size", "target",
         F.coalesce(F.filter(part, lambda p: p["words"] > 0), empty).alias("parts"))
 
 
@@ -147,10 +147,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     A document that is taken several times gives several rows; a cut document
     keeps its first words, joined by single spaces.
     """
-    taken = mix(docs, id_col, text_col, seed=seed, **options).withColumn("_part", F.explode("parts"))
     own = docs.columns
-    cut = F.array_join(F.slice(F.filter(F.split(F.col(text_col), GAP), lambda w: w != ""), 1, F.col("_part.words").cast("int")), " ")
-    body = F.when(F.col("_part.words") < F.col("size"), cut).otherwise(F.col(text_col))
-    place = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col("_part.copy"))
-    out = taken.select(*[body.alias(c) if c == text_col else F.col(c) for c in own], F.col("_part.shard").alias("_shard"), place.alias("_place"))
-    return out.repartitionByRange("_shard", "_place").sortWithinPartitions("_shard", "_place").select(*own)
+    boxed = docs.select(F.struct(*own).alias("_row"), F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string").alias("_text"),
+                        F.col(options.pop("source_col", "source")).alias("_from"))
+    taken = mix(boxed, "_id", "_text", "_from", seed=seed, **options).withColumn("_part", F.explode("parts"))
+    cut = F.array_join(F.slice(F.filter(F.split("_text", GAP), lambda w: w != ""), 1, F.col("_part.words").cast("int")), " ")
+    body = F.when(F.col("_part.words") < F.col("size"), cut).otherwise(F.col("_text"))
+    place = F.xxhash64(F.lit(seed), "_id", F.col("_part.copy"))
+    out = taken.select("_row", body.alias("_text"), F.col("_part.shard").alias("_shard"), place.alias("_place"))
+    out = out.repartitionByRange("_shard", "_place").sortWithinPartitions("_shard", "_place")
+    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in own])

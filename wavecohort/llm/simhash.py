@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavecohort.llm import text as X
 from wavecohort.llm.components import components
@@ -68,8 +69,8 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", size:
             fp = np.fromiter((fingerprint(whole[a:z], size) for a, z in zip(at, at[1:])), np.uint64, len(column))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], [*keep, "fp"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"{kinds}, fp long")
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
+    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 # --- one cell ------------------------------------------------------------------------
@@ -251,10 +252,13 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(fingerprints(docs, [id_col], text_col, size), "fingerprints")
     of_fp = stored(classes(rows, id_col), "classes")
     named = rows.join(of_fp, "fp").filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    order = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
-    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(order))
-    kept = docs.join(named, id_col, "left_semi").withColumn("_turn", turn).filter("_turn = 1").select(*docs.columns)
-    nameless = fingerprints(docs.filter(F.col(id_col).isNull()), docs.columns, text_col, size)
-    nameless = nameless.join(of_fp.filter("component_id is null").select(F.col("fp"), F.col("root").alias("_root")), "fp")
-    turn = F.row_number().over(Window.partitionBy("_root").orderBy(order))
-    return kept.union(nameless.withColumn("_turn", turn).filter("_turn = 1").select(*docs.columns))
+    # Whole rows travel as one column, so that none of their names can clash.
+    boxed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_body"))
+    order = F.xxhash64("_row")
+    turn = F.row_number().over(Window.partitionBy("_id").orderBy(order))
+    kept = boxed.join(named.withColumnRenamed(id_col, "_id"), "_id", "left_semi").withColumn("_turn", turn)
+    nameless = fingerprints(boxed.filter("_id is null"), ["_row"], "_body", size)
+    nameless = nameless.join(of_fp.filter("component_id is null").select("fp", "root"), "fp")
+    nameless = nameless.withColumn("_turn", F.row_number().over(Window.partitionBy("root").orderBy(order)))
+    both = kept.filter("_turn = 1").select("_row").union(nameless.filter("_turn = 1").select("_row"))
+    return both.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
