@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wavecohort.operators import aggregates as G
 from wavecohort.operators import cleaning as C
 from wavecohort.operators import folds as K
+from wavecohort.operators import metrics as M
 from wavecohort.operators import ordered as O
 from wavecohort.plans import cv
 
@@ -125,3 +126,28 @@ def test_mean_median_fallback(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, inf]), (1, [8.0, 4.0])], "s long, features array<double>")
     got = {r.pos: r.value for r in G.mean_or_median_points(df, ["s"]).collect()}
     assert got == {0: 4.0, 1: 3.0}
+
+
+def test_null_is_a_group_like_any_other(spark):
+    rows = [(None if k % 4 == 0 else f"g{k % 4}", float(k % 17)) for k in range(200)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.m for r in O.group_median(df, ["g"], "v", "m").collect()}
+    assert got == {g: float(np.median([v for h, v in rows if h == g])) for g in {g for g, _ in rows}}
+    ranked = O.hash_rank(df.withColumn("id", F.monotonically_increasing_id()), ["g"], F.col("id"), ["id"])
+    assert ranked.count() == 200 and ranked.where("g IS NULL").agg(F.max("rn")).head()[0] == 50
+    folds = K.stratified_group_folds(df.withColumn("y", F.lit(1)), "g", "y", 2, 2)
+    assert cv.with_folds(df, folds, "g", 2).count() == 200
+
+
+def test_a_group_without_a_declared_label_has_none(spark):
+    df = spark.createDataFrame([("a", 7), ("a", 7), ("b", 1), ("b", 7), ("c", None)], "g string, y long")
+    got = {r.g: r.y for r in df.groupBy("g").agg(M.majority("y", [1, 3]).alias("y")).collect()}
+    assert got == {"a": None, "b": 1, "c": None}
+
+
+def test_groups_with_mixed_labels_are_placed_once(spark):
+    rows = [(f"g{k % 30}", (k * 7 + k // 30) % 2, "free") for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, y int, cluster string")
+    got = K.balanced_group_split(df, "g", "y", "cluster", {"held": "test"}).collect()
+    assert len(got) == 30 and len({r.g for r in got}) == 30 and sum(r.n for r in got) == 300
+    assert {r.split for r in got} == {"train", "test"}

@@ -9,7 +9,7 @@ from wavecohort.models import linear
 from wavecohort.models.regression import pls_regress
 from wavecohort.operators import outliers as O
 from wavecohort.operators import summary as S
-from wavecohort.operators.moments import moments, signal_shift
+from wavecohort.operators.moments import moments
 from wavecohort.plans import cv, evaluate, recipes, report, tuning
 
 rng = np.random.default_rng(11)
@@ -27,26 +27,32 @@ def table(spark, n=120, d=12, gap=1.0, offset=50.0, per_group=4):
 
 def test_moments_identity(spark):
     df, x, y = table(spark, 200)
-    shift = signal_shift(df)
-    got = O.stats_rows(moments(df.repartition(7), ["label"], shift, max_tasks=100), ["label"], shift)
+    got = O.stats_rows(moments(df.repartition(7), ["label"]), ["label"])
     for c in (1, 3):
         s = got[(c,)]
         assert s.n == (y == c).sum() and np.allclose(s.mean, x[y == c].mean(axis=0))
         assert np.allclose(s.scatter, np.cov(x[y == c].T) * (s.n - 1))
     whole = linear.pooled(list(got.values()))
     assert np.allclose(whole.scatter, np.cov(x.T) * (len(x) - 1)) and np.allclose(whole.mean, x.mean(axis=0))
-    parted = O.stats_rows(moments(df, ["label"], shift, gather=7), ["label"], shift)
+    parted = O.stats_rows(moments(df, ["label"], gather=7), ["label"])
     assert np.allclose(parted[(3,)].scatter, got[(3,)].scatter)
 
 
+def test_moments_far_from_zero_lose_nothing(spark):
+    df, x, y = table(spark, 200)
+    far = df.withColumn("features", F.transform("features", lambda v: v + 1e6))
+    got = O.stats_rows(moments(far.repartition(9), ["label"]), ["label"])
+    for c in (1, 3):
+        assert np.allclose(got[(c,)].scatter, np.cov(x[y == c].T) * ((y == c).sum() - 1), rtol=1e-6)
+
+
 def test_moments_by_fold(spark):
     df, x, y = table(spark, 96)
     folds = cv.stratified_group_folds(df, "group_id", "label", 3, 2)
     rows = cv.with_folds(df, folds, "group_id", 2)
     local = rows.select("signal_id", "folds").toPandas().sort_values("signal_id")
     f = np.array(local["folds"].tolist())
-    shift = signal_shift(df)
-    got = O.stats_rows(moments(rows, ["label"], shift, fold_array="folds"), ["label", "repeat", "fold"], shift)
+    got = O.stats_rows(moments(rows, ["label"], fold_array="folds"), ["label", "repeat", "fold"])
     assert len(got) == 12
     for (c, r, k), s in got.items():
         part = x[(y == c) & (f[:, r - 1] == k)]

@@ -20,7 +20,6 @@ from wavecohort.operators import folds as K
 from wavecohort.operators import outliers as O
 from wavecohort.operators import summary as S
 from wavecohort.operators.moments import moments as gather
-from wavecohort.operators.moments import signal_shift
 from wavecohort.plans import cv, evaluate, tuning
 from wavecohort.session import cut_lineage
 from wavecohort.sources import sinks
@@ -58,21 +57,20 @@ def scored(preds, *keep):
     SELECT a.y, a.pos AS i, b.pos AS j, count(*) AS n, {R('covar_samp(a.value, b.value)', 'cov')} FROM a JOIN a b ON a.signal_id = b.signal_id GROUP BY ALL""")
 def moments(spark, sf):
     s = V.signals(spark, sf)
-    m = gather(s, ["y"], signal_shift(s))
-    d = F.size("s")
-    e = m.select("y", "n", "s", F.posexplode("ss").alias("p", "v")).withColumns(
+    m = gather(s, ["y"])
+    d = F.size("mean")
+    e = m.select("y", "n", "mean", F.posexplode("scatter").alias("p", "v")).withColumns(
         {"i": F.floor(F.col("p") / d).cast("long"), "j": (F.col("p") % d).cast("long")})
-    cov = (F.col("v") - F.get("s", F.col("i").cast("int")) * F.get("s", F.col("j").cast("int")) / F.col("n")) / (F.col("n") - 1)
-    return e.select("y", "i", "j", "n", r6(cov).alias("cov"))
+    return e.select("y", "i", "j", "n", r6(F.col("v") / (F.col("n") - 1)).alias("cov"))
 
 
 @register("moments_by_sample", f"SELECT sample_id, count(DISTINCT signal_id) AS n, {R('sum(value*value)', 'trace')} FROM {{traces}} GROUP BY sample_id")
 def moments_by_sample(spark, sf):
     """Keys that grow with the data: rows are gathered by sample first."""
-    import numpy as np
     s = V.signals(spark, sf)
-    m = gather(s, ["sample_id"], np.zeros(V.WIDTH), gather=3)
-    diagonal = F.transform(F.sequence(F.lit(0), F.lit(V.WIDTH - 1)), lambda i: F.get("ss", i * (V.WIDTH + 1)))
+    m = gather(s, ["sample_id"], gather=3)
+    # the sum of squares is the centred one and n times the squared mean
+    diagonal = F.transform(F.sequence(F.lit(0), F.lit(V.WIDTH - 1)), lambda i: F.get("scatter", i * (V.WIDTH + 1)) + F.col("n") * F.get("mean", i) * F.get("mean", i))
     return m.select("sample_id", "n", r6(F.aggregate(diagonal, F.lit(0.0), lambda a, v: a + v)).alias("trace"))
 
 
@@ -364,14 +362,13 @@ def cv_flagship(spark, sf):
 
 @register("fold_leaks", """SELECT CAST(1 AS BIGINT) AS repeat, CAST(k AS BIGINT) AS fold, CAST(0 AS BIGINT) AS n_leaked, (SELECT count(*) FROM embeddings) AS n_rows FROM range(1, 6) t(k)""")
 def fold_leaks(spark, sf):
-    s = V.signals(spark, sf)
-    rows = cv.with_folds(s, K.stratified_group_folds(s, "group_id", "y", 5, 1), "group_id", 1)
-    # a group is leaked when its rows disagree about the fold
-    per_group = rows.groupBy("group_id").agg(F.countDistinct("folds").alias("n"), F.min("folds")[0].alias("fold"), F.count(F.lit(1)).alias("w"))
-    from pyspark.sql import Window as W
-    counts = per_group.groupBy("fold").agg(F.sum((F.col("n") > 1).cast("long")).alias("n_leaked"), F.sum("w").alias("w"))
-    return counts.select(F.lit(1).cast("long").alias("repeat"), F.col("fold").cast("long").alias("fold"), "n_leaked",
-                         F.sum("w").over(W.partitionBy(F.lit(0))).alias("n_rows"))
+    """Groups with predictions from more than one fold of a repeat, per fold; counted on the predictions themselves."""
+    preds = embedding_cv(spark, sf, recipes=("10200X",), repeats=1).where(F.col("classifier") == "PCA-LDA")
+    rows = cut_lineage(preds.select("repeat", "fold", "group_id"))
+    per_group = rows.groupBy("repeat", "group_id").agg(F.countDistinct("fold").alias("n"), F.min("fold").alias("fold"))
+    leaked = per_group.groupBy("repeat", "fold").agg(F.sum((F.col("n") > 1).cast("long")).alias("n_leaked"))
+    total = rows.groupBy("repeat").agg(F.count(F.lit(1)).alias("n_rows"))
+    return leaked.join(total, "repeat").select(*[F.col(c).cast("long") for c in ("repeat", "fold", "n_leaked", "n_rows")])
 
 
 @register("sample_level_cv")

@@ -296,8 +296,8 @@ def split_70_30(spark, sf):
     return K.split_first_share(V.split_orders(spark, sf).select("label", "sample_id"), "label", "sample_id", 0.7)
 
 
-@register("balanced_group_split", """WITH g AS (SELECT patient||'-'||CAST(custkey//3 AS BIGINT) AS gid, nationkey%2 AS label, count(*) AS n, min(cluster) AS cluster
-    FROM {subjects} GROUP BY ALL),
+@register("balanced_group_split", """WITH g AS (SELECT gid, arg_min(label, (-n, label)) AS label, CAST(sum(n) AS BIGINT) AS n, min(cluster) AS cluster FROM
+    (SELECT 'g'||CAST(custkey//3 AS BIGINT) AS gid, nationkey%2 AS label, count(*) AS n, min(cluster) AS cluster FROM {subjects} GROUP BY ALL) GROUP BY gid),
     p AS (SELECT *, CASE cluster WHEN 'BUILDING' THEN 'train' WHEN 'MACHINERY' THEN 'test' END AS forced FROM g),
     c AS (SELECT label, sum(n) AS class_n, coalesce(sum(n) FILTER (forced='train'), 0) AS already FROM p GROUP BY label),
     t AS (SELECT label, floor(min(class_n) OVER () * 0.7) AS target, already FROM c),
@@ -306,6 +306,6 @@ def split_70_30(spark, sf):
     UNION ALL SELECT gid, label, n, forced AS split FROM p WHERE forced IS NOT NULL""")
 def balanced_group_split(spark, sf):
     s = V.subjects(spark, sf).select(
-        F.concat(F.col("patient"), F.lit("-"), F.floor(F.col("custkey") / 3).cast("long")).alias("gid"),
+        F.concat(F.lit("g"), F.floor(F.col("custkey") / 3).cast("long")).alias("gid"),
         (F.col("nationkey") % 2).alias("label"), "cluster")
     return K.balanced_group_split(s, "gid", "label", "cluster", {"BUILDING": "train", "MACHINERY": "test"}, 0.7, 42)

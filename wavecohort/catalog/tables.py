@@ -320,11 +320,14 @@ def fill_missing_category(spark, sf):
         "custkey", L.fill_missing_category(F.nullif(F.trim("sex_text"), F.lit(""))).alias("sex"))
 
 
-@register("column_profile", """SELECT row_number() OVER () AS position, column_name AS name,
-    CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS type
-    FROM (DESCRIBE lineitem)""")
+PROFILED = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_orderpriority", "string")]
+
+
+@register("column_profile", " UNION ALL ".join(
+    f"""SELECT CAST({k} AS BIGINT) AS position, '{c}' AS name, '{kind}' AS type, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_null,
+    min(CAST({c} AS VARCHAR)) AS least, max(CAST({c} AS VARCHAR)) AS most FROM orders""" for k, (c, kind) in enumerate(PROFILED, 1)))
 def column_profile(spark, sf):
-    return tables.column_profile(V.table(spark, sf, "lineitem"))
+    return tables.column_profile(V.table(spark, sf, "orders").select(*[c for c, _ in PROFILED]))
 
 
 @register("carry_metadata", "SELECT signal_id, diss_id, label, CAST(len(spectra) AS BIGINT) AS n_spectra FROM {positions}")

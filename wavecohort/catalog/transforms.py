@@ -65,7 +65,7 @@ def sql_diff(src: str) -> str:
 def sql_scale(src: str) -> str:
     return f"""SELECT s.signal_id, s.pos, (s.value - m.mu)/m.sd AS value FROM {src} s JOIN (
         SELECT pos, avg(value) AS mu, coalesce(nullif(stddev_samp(value), 0), 1) AS sd FROM {src}
-        WHERE signal_id IN (SELECT signal_id FROM {{signals}} WHERE {TRAIN}) GROUP BY pos) m ON s.pos = m.pos"""
+        JOIN (SELECT signal_id FROM {{signals}} WHERE {TRAIN}) g USING (signal_id) GROUP BY pos) m ON s.pos = m.pos"""
 
 
 def final(src: str) -> str:
@@ -95,12 +95,14 @@ def bin_signal_omit_nan(spark, sf):
     return applied(spark, sf, lambda x: A.bin_signal(x, 4, omit_nan=True), holed)
 
 
-@register("bin_axis", "SELECT CAST(pos//5 AS BIGINT) AS pos, round(avg(axis), 6) + 0.0 AS axis, (SELECT count(*) FROM embeddings) AS n_signals FROM {axis} WHERE pos//5 < 12 GROUP BY ALL")
+@register("bin_axis", """SELECT CAST(a.pos//5 AS BIGINT) AS pos, round(avg(axis), 6) + 0.0 AS axis, round(avg(t.value), 6) + 0.0 AS mean_value
+    FROM {axis} a JOIN {traces} t ON t.pos = a.pos WHERE a.pos//5 < 12 GROUP BY ALL""")
 def bin_axis(spark, sf):
-    s = V.signals(spark, sf).agg(F.count(F.lit(1)).alias("n_signals"))
-    binned = A.bin_signal(F.array(*[F.lit(a) for a in V.AXIS]), 5)
-    return s.select("n_signals", F.posexplode(binned).alias("pos", "axis")).select(
-        F.col("pos").cast("long").alias("pos"), r6("axis").alias("axis"), "n_signals")
+    """Axis and mean signal, binned alike."""
+    binned = V.signals(spark, sf).select(F.posexplode(A.bin_signal(F.col("features"), 5)).alias("pos", "value"))
+    axis = A.bin_signal(F.array(*[F.lit(a) for a in V.AXIS]), 5)
+    return binned.groupBy("pos").agg(F.avg("value").alias("m")).select(
+        F.col("pos").cast("long").alias("pos"), r6(F.get(axis, F.col("pos"))).alias("axis"), r6("m").alias("mean_value"))
 
 
 @register("sg_smooth", chain(sql_smooth("PREV", 5, 2, 64)))
@@ -302,8 +304,8 @@ def qc_funnel(spark, sf):
 
 
 @register("qc_rejection_log", bands(f"""WITH {CHECKED} SELECT sample_id, group_id, signal_id, y, CASE WHEN NOT ok_snr THEN 'SNR' WHEN NOT ok_saturation THEN 'Saturation'
-    WHEN NOT ok_baseline THEN 'Baseline' ELSE 'AmideRatio' END AS reason, round(CASE WHEN NOT ok_snr THEN snr WHEN NOT ok_saturation THEN max_value
-    WHEN NOT ok_baseline THEN baseline_std ELSE amide_ratio END, 6) + 0.0 AS qc_value FROM c WHERE NOT (ok_snr AND ok_saturation AND ok_baseline AND ok_amide)"""))
+    WHEN NOT ok_baseline THEN 'Baseline' WHEN NOT ok_amide THEN 'AmideRatio' ELSE 'Negative' END AS reason, round(CASE WHEN NOT ok_snr THEN snr WHEN NOT ok_saturation THEN max_value
+    WHEN NOT ok_baseline THEN baseline_std WHEN NOT ok_amide THEN amide_ratio ELSE min_value END, 6) + 0.0 AS qc_value FROM c WHERE NOT ({VALID})"""))
 def qc_rejection_log(spark, sf):
     return rounded(Q.qc_rejection_log(quality(spark, sf), ["sample_id", "group_id", "signal_id", "y"]), "qc_value")
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from wavecohort.models import linear, mllib
 from wavecohort.models.linear import LinearModel, Stats
 from wavecohort.functions.batch import features_matrix, list_array
-from wavecohort.operators.moments import moments, signal_shift
+from wavecohort.operators.moments import moments
 from wavecohort.plans.recipes import Recipe, recipe_fit
 
 LINEAR = ("PCA-LDA", "PLS-DA", "PLS-PM1")
@@ -59,13 +59,12 @@ def check_name(classifier: str) -> None:
         raise ValueError(f"unknown classifier {classifier!r}; choose one of {', '.join(CLASSIFIERS)}")
 
 
-def class_stats(train: DataFrame, label: str, features: str = "features") -> dict:
-    """Statistics per class.  One pass; the result is one d x d matrix per class."""
-    shift = signal_shift(train, features)
-    rows = moments(train, [label], shift, features).toArrow()
+def class_stats(train: DataFrame, label: str, classes: Sequence, features: str = "features") -> dict:
+    """Statistics per declared class; other labels are left out.  One pass; the result is one d x d matrix per class."""
+    rows = moments(train.where(F.col(label).isin(list(classes))), [label], features).toArrow()
     return {
         rows.column(label)[i].as_py(): Stats.of(
-            rows.column("n")[i].as_py(), rows.column("s")[i].values.to_numpy(), rows.column("ss")[i].values.to_numpy(), shift
+            rows.column("n")[i].as_py(), rows.column("mean")[i].values.to_numpy(), rows.column("scatter")[i].values.to_numpy()
         )
         for i in range(rows.num_rows)
     }
@@ -171,7 +170,7 @@ def fit(classifier: str, recipe: str, train: DataFrame, label: str, classes: Seq
     if classifier == "PLS-PM1" and len(classes) != 2:
         raise ValueError("PLS-PM1 takes two classes")
     if classifier in LINEAR:
-        model = linear.fit_linear(classifier, Recipe(recipe), class_stats(train, label, features), list(classes), conf)
+        model = linear.fit_linear(classifier, Recipe(recipe), class_stats(train, label, classes, features), list(classes), conf)
         return FittedLinear(model, tuple(classes), recipe)
     fitted = recipe_fit(train, recipe, features)
     rows = fitted.transform(train.select(label, F.col(features).alias("features")))

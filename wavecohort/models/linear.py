@@ -24,10 +24,9 @@ class Stats:
     scatter: np.ndarray
 
     @staticmethod
-    def of(n: int, s, ss, shift: np.ndarray) -> "Stats":
-        s = np.asarray(s, dtype=float)
-        centre = s / n
-        return Stats(n, centre + shift, np.asarray(ss, dtype=float).reshape(len(s), len(s)) - n * np.outer(centre, centre))
+    def of(n: int, mean, scatter) -> "Stats":
+        mean = np.asarray(mean, dtype=float)
+        return Stats(n, mean, np.asarray(scatter, dtype=float).reshape(len(mean), len(mean)))
 
     def mapped(self, t: np.ndarray, offset: np.ndarray) -> "Stats":
         return Stats(self.n, t @ self.mean + offset, t @ self.scatter @ t.T)

@@ -13,6 +13,7 @@ from wavecohort.functions import arrays as A
 from wavecohort.models import linear
 from wavecohort.models.linear import Pls
 from wavecohort.operators.outliers import pca, project, total_stats
+from wavecohort.plans.recipes import signal_width
 
 
 @dataclass(frozen=True)
@@ -45,8 +46,7 @@ def pls_regress(df: DataFrame, components: int, features: str = "features", resp
     """
     if responses is None:
         return pca(df, 1.1, components, features)
-    sizes = df.select(F.size(features).alias("d"), F.size(responses).alias("m")).head()
-    d = sizes["d"]
+    d = signal_width(df, features)
     both = df.select(F.concat(F.col(features).cast("array<double>"), F.col(responses).cast("array<double>")).alias("_xy"))
     s = total_stats(both, "_xy")
     fit = linear.pls_fit(s.scatter[:d, :d], s.scatter[:d, d:], min(components, d, s.n - 1))

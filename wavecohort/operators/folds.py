@@ -116,12 +116,14 @@ def balanced_group_split(df: DataFrame, group: str, label: str, cluster: str, fo
                          train_share: float = 0.7, seed: int = 42) -> DataFrame:
     """Whole groups to train or test.
 
-    A group whose cluster is in ``forced`` goes where the map says.  The others
+    A group with several labels counts, with all its rows, for the most frequent
+    one, the smallest on ties.  A group whose cluster is in ``forced`` goes where the map says.  The others
     fill the training side of their class, in hash order, until it holds the
     class's target: ``train_share`` of the smallest class, the same for every class.
     """
-    per_group = df.groupBy(group, label).agg(
-        F.count(F.lit(1)).alias("n"), F.min(cluster).alias(cluster)
+    by_label = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"), F.min(cluster).alias(cluster))
+    per_group = by_label.groupBy(group).agg(
+        F.min_by(label, F.struct(-F.col("n"), label)).alias(label), F.sum("n").alias("n"), F.min(cluster).alias(cluster)
     )
     table = F.create_map(*[F.lit(v) for pair in forced.items() for v in pair])
     placed = per_group.withColumn("forced", F.try_element_at(table, F.col(cluster)))

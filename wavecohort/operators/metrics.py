@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wavecohort.functions.arrays import array_mean, entropy_bits
 from wavecohort.functions.labels import interpretation_flag
 from wavecohort.operators.ordered import running_sum, with_value_bucket
+from wavecohort.operators.sets import join_null_safe
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -204,13 +205,13 @@ def evaluate(preds: DataFrame, keys: Sequence[str], classes: Sequence, true: str
     else:
         area = auc_ovr(preds, keys, classes, scores, true)
     if keys:
-        return counts.join(area, list(keys))
+        return join_null_safe(counts, area, list(keys))
     one = lambda d: d.withColumn("_k", F.lit(0))
     return one(counts).join(one(area), "_k").drop("_k")
 
 
 def majority(label: str, classes: Sequence) -> Column:
-    """Most frequent of the declared classes, the smallest on ties.
+    """Most frequent of the declared classes, the smallest on ties; NULL where no row has one.
 
     One counter per class keeps the aggregation hashed and in generated code,
     where ``mode`` would fall back to sorting for many groups.
@@ -218,9 +219,9 @@ def majority(label: str, classes: Sequence) -> Column:
     order = sorted(classes)
     counts = [count_if(F.col(label) == c) for c in order]
     top = F.greatest(*counts) if len(counts) > 1 else counts[0]
-    out = None
+    out = F.when(top == 0, F.lit(None))
     for c, n in zip(order, counts):
-        out = F.when(n == top, F.lit(c)) if out is None else out.when(n == top, F.lit(c))
+        out = out.when(n == top, F.lit(c))
     return out
 
 

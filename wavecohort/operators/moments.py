@@ -1,4 +1,4 @@
-"""Count, sum and cross-product of signals per key, in one pass.
+"""Count, mean and scatter of signals per key, in one pass.
 
 PCA, discriminant analysis and partial least squares depend on the data only
 through these, and the moments of a fixed linear transform of the signals follow
@@ -16,41 +16,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavecohort.functions.batch import features_matrix
+from wavecohort.operators.sets import join_null_safe
 
 # A task keeps one accumulator per key up to this size; beyond it, it sends what it has and starts again.
 STATE_BYTES = 256 * 1024 * 1024
-SHIFT_ROWS = 256
+# Partials of one key are merged in two steps; the first spreads them over so many tasks.
+SPREAD = 64
 
 
-def signal_shift(signals: DataFrame, features: str = "features") -> np.ndarray:
-    """A vector near the mean, taken from a few rows.
+def moments(signals: DataFrame, keys: Sequence[str], features: str = "features",
+            fold_array: str | None = None, gather: int | None = None) -> DataFrame:
+    """(keys[, repeat, fold], n, mean, scatter): count, mean and flattened centred cross-product.
 
-    Subtracting any fixed vector leaves the moments exact; one near the mean
-    avoids cancellation.  Runs a job reading at most ``SHIFT_ROWS`` rows.
-    """
-    rows = signals.select(F.col(features).cast("array<double>")).limit(SHIFT_ROWS).toArrow()
-    x = features_matrix(rows.column(0))
-    return np.nan_to_num(x.mean(axis=0)) if len(x) else np.zeros(0)
-
-
-def moments(signals: DataFrame, keys: Sequence[str], shift: np.ndarray, features: str = "features",
-            fold_array: str | None = None, max_tasks: int | None = None, gather: int | None = None) -> DataFrame:
-    """(keys[, repeat, fold], n, s, ss): count, sum and flattened cross-product of ``x - shift``.
-
-    With ``fold_array`` (fold number per repeat) each signal counts once per repeat.
+    Every batch is centred on its own mean, and partial results are merged by
+    the exact update for unions, so nothing cancels wherever the data lie.  With
+    ``fold_array`` (fold number per repeat) each signal counts once per repeat.
 
     A task sends one partial per key whatever its number of rows, so the shuffle
-    grows with tasks x keys and not with the data.  ``max_tasks`` bounds the
-    tasks (four per core by default, without a shuffle), and partials are merged
-    in two steps so that no merge task reads more than about a square root of them.
+    grows with tasks x keys and not with the data.  Partials are merged in two
+    steps, so that no merge task reads those of all tasks.
 
     That holds for few keys (classes, folds).  For keys that grow with the data,
     such as samples, give ``gather``: rows are then shuffled to their key first,
     a key with more than ``gather`` rows in as many parts as it needs.
     """
-    spark = signals.sparkSession
-    if max_tasks is None:
-        max_tasks = 4 * spark.sparkContext.defaultParallelism
     keys = list(keys)
     by_fold = fold_array is not None
     taken = signals.select(*keys, *([fold_array] if by_fold else []), F.col(features).cast("array<double>").alias("_x"))
@@ -58,55 +47,61 @@ def moments(signals: DataFrame, keys: Sequence[str], shift: np.ndarray, features
         sizes = signals.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / gather).alias("_parts"))
         # the part follows from the row itself, so a recomputed task sends it to the same place
         part = F.pmod(F.xxhash64("_x"), F.col("_parts"))
-        parted = taken.join(sizes, keys).withColumn("_part", part)
+        parted = join_null_safe(taken, sizes, keys).withColumn("_part", part)
         taken = parted.repartition(*keys, "_part").sortWithinPartitions(*keys, "_part").select(*taken.columns)
     key_fields = [taken.schema[k] for k in keys]
     if by_fold:
         key_fields += [T.StructField("repeat", T.IntegerType()), T.StructField("fold", T.IntegerType())]
     schema = T.StructType([
-        *key_fields, T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType())),
-        T.StructField("ss", T.ArrayType(T.DoubleType())),
+        *key_fields, T.StructField("n", T.LongType()), T.StructField("mean", T.ArrayType(T.DoubleType())),
+        T.StructField("scatter", T.ArrayType(T.DoubleType())),
     ])
     names = [f.name for f in key_fields]
     n_keys = len(keys)
     arrow_schema = pa.schema(
         [pa.field(f.name, _arrow_type(f.dataType)) for f in key_fields]
-        + [pa.field("n", pa.int64()), pa.field("s", pa.list_(pa.float64())), pa.field("ss", pa.list_(pa.float64()))]
+        + [pa.field("n", pa.int64()), pa.field("mean", pa.list_(pa.float64())), pa.field("scatter", pa.list_(pa.float64()))]
     )
 
     def emit(state: dict) -> Iterator[pa.RecordBatch]:
-        for key, (n, s, ss) in state.items():
+        for key, (n, mean, scatter) in state.items():
             cols = [pa.array([v], type=f.type) for v, f in zip(key, arrow_schema)]
-            cols += [pa.array([n], pa.int64()), pa.array([s], pa.list_(pa.float64())),
-                     pa.array([ss.ravel()], pa.list_(pa.float64()))]
+            cols += [pa.array([n], pa.int64()), pa.array([mean], pa.list_(pa.float64())),
+                     pa.array([scatter.ravel()], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
 
-    def add(state: dict, key: tuple, n: int, s: np.ndarray, ss: np.ndarray) -> None:
+    def add(state: dict, key: tuple, n: int, mean: np.ndarray, scatter: np.ndarray) -> None:
         if key in state:
-            old = state[key]
-            state[key] = (old[0] + n, old[1] + s, old[2] + ss)
-        else:
-            state[key] = (n, s, ss)
+            m, old_mean, old_scatter = state[key]
+            step = mean - old_mean
+            scatter = old_scatter + scatter + (np.outer(step, step) * (m * n / (m + n))).reshape(scatter.shape)
+            n, mean = m + n, old_mean + step * (n / (m + n))
+        state[key] = (n, mean, scatter)
+
+    def add_rows(state: dict, key: tuple, x: np.ndarray) -> None:
+        mean = x.mean(axis=0)
+        centred = x - mean
+        add(state, key, len(x), mean, centred.T @ centred)
 
     def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = features_matrix(batch.column(batch.num_columns - 1)) - shift
+            x = features_matrix(batch.column(batch.num_columns - 1))
             codes, found = _codes([batch.column(i) for i in range(n_keys)], batch.num_rows)
             folds = features_matrix(batch.column(n_keys)) if by_fold else None
             for code, key in enumerate(found):
                 rows = np.flatnonzero(codes == code)
                 part = x[rows]
                 if folds is None:
-                    add(state, key, len(rows), part.sum(axis=0), part.T @ part)
+                    add_rows(state, key, part)
                     continue
                 for r in range(folds.shape[1]):
                     mine = folds[rows, r]
                     for f in np.unique(mine):
                         sub = part[mine == f]
-                        add(state, (*key, r + 1, int(f)), len(sub), sub.sum(axis=0), sub.T @ sub)
+                        add_rows(state, (*key, r + 1, int(f)), sub)
             if len(state) * x.shape[1] ** 2 * 8 > STATE_BYTES:
                 yield from emit(state)
                 state = {}
@@ -118,10 +113,10 @@ def moments(signals: DataFrame, keys: Sequence[str], shift: np.ndarray, features
         for batch in batches:
             for i in range(batch.num_rows):
                 key = tuple(batch.column(j)[i].as_py() for j in range(width))
-                s = batch.column(width + 1)[i].values.to_numpy()
-                ss = batch.column(width + 2)[i].values.to_numpy()
-                add(state, key, batch.column(width)[i].as_py(), s, ss)
-                if gather is not None and len(state) * ss.nbytes > STATE_BYTES:
+                mean = batch.column(width + 1)[i].values.to_numpy()
+                scatter = batch.column(width + 2)[i].values.to_numpy()
+                add(state, key, batch.column(width)[i].as_py(), mean, scatter)
+                if gather is not None and len(state) * scatter.nbytes > STATE_BYTES:
                     current = state.pop(key)
                     yield from emit(state)
                     state = {key: current}
@@ -130,12 +125,9 @@ def moments(signals: DataFrame, keys: Sequence[str], shift: np.ndarray, features
     if gather is not None:
         # partials of a key arrive next to each other, so a task may send a key once it is past it
         return taken.mapInArrow(accumulate, schema).repartition(*names).sortWithinPartitions(*names).mapInArrow(merge, schema)
-    partial = taken.coalesce(max_tasks).mapInArrow(accumulate, schema)
-    branch = int(np.sqrt(max_tasks)) if max_tasks > 64 else 1
-    if branch > 1:
-        # the salt spreads the partials of one key; any spread gives the same sums
-        salted = partial.withColumn("_salt", F.spark_partition_id() % branch)
-        partial = salted.repartition(*names, "_salt").drop("_salt").mapInArrow(merge, schema)
+    # the salt spreads the partials of one key; any spread gives the same result
+    salted = taken.mapInArrow(accumulate, schema).withColumn("_salt", F.spark_partition_id() % SPREAD)
+    partial = salted.repartition(*names, "_salt").drop("_salt").mapInArrow(merge, schema)
     target = [F.col(c) for c in names] or [F.lit(0)]
     return partial.repartition(*target).mapInArrow(merge, schema)
 

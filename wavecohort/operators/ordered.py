@@ -6,7 +6,7 @@ into buckets first (hash prefixes or value quantiles), the window runs inside
 small table.  A group holding a third of all rows is thus spread over as many
 tasks as there are buckets, and the result is still exact.
 
-Group keys must not be NULL.
+NULL is a group key like any other, and rows without a value to order by come in the first bucket.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavecohort.functions.arrays import doubles
+from wavecohort.operators.sets import join_null_safe
 
 HASH_PREFIX = 3  # hex digits: 4096 buckets
 BUCKETS = 1024  # a power of two
@@ -79,7 +80,7 @@ def running_sum(
     local = df.withColumns(
         {name: F.coalesce(F.sum(c).over(inside), F.lit(0)) for name, c in inputs.items()}
     )
-    joined = local.join(offsets, [*keys, bucket])
+    joined = join_null_safe(local, offsets, [*keys, bucket])
     return joined.withColumns({name: F.col(name) + F.col(f"_off_{name}") for name in sums}).drop(
         bucket, "_all", *inputs.values(), *[f"_off_{name}" for name in sums]
     )

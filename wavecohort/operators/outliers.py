@@ -15,22 +15,21 @@ from wavecohort.functions import arrays as A
 from wavecohort.models import linear
 from wavecohort.models.linear import Pca, Stats
 from wavecohort.functions.batch import features_matrix, list_array
-from wavecohort.operators.moments import moments, signal_shift
+from wavecohort.operators.moments import moments
 
 
-def stats_rows(table: DataFrame, keys: Sequence[str], shift: np.ndarray) -> dict:
+def stats_rows(table: DataFrame, keys: Sequence[str]) -> dict:
     """Moments per key, on the driver: one d x d matrix per key of a bounded key set."""
     rows = table.toArrow()
     return {
         tuple(rows.column(k)[i].as_py() for k in keys): Stats.of(
-            rows.column("n")[i].as_py(), rows.column("s")[i].values.to_numpy(), rows.column("ss")[i].values.to_numpy(), shift)
+            rows.column("n")[i].as_py(), rows.column("mean")[i].values.to_numpy(), rows.column("scatter")[i].values.to_numpy())
         for i in range(rows.num_rows)
     }
 
 
 def total_stats(signals: DataFrame, features: str = "features") -> Stats:
-    shift = signal_shift(signals, features)
-    return stats_rows(moments(signals, [], shift, features), [], shift)[()]
+    return stats_rows(moments(signals, [], features), [])[()]
 
 
 def pca(signals: DataFrame, variance: float = 0.95, max_components: int = 15, features: str = "features") -> Pca:
@@ -145,9 +144,8 @@ def mahalanobis_within(signals: DataFrame, sample: str, keep: Sequence[str], max
     covariance is diagonal, so d^2 is a sum of squares over the eigenvalues.
     A sample with fewer than three signals has no outlier.
     """
-    shift = signal_shift(signals, features)
     limits = linear.CHI2_99
-    table = moments(signals, [sample], shift, features, gather=20_000)
+    table = moments(signals, [sample], features, gather=20_000)
     schema = T.StructType([
         signals.schema[sample], T.StructField("_mean", T.ArrayType(T.DoubleType())),
         T.StructField("_load", T.ArrayType(T.DoubleType())), T.StructField("n_components", T.LongType()),
@@ -158,8 +156,8 @@ def mahalanobis_within(signals: DataFrame, sample: str, keep: Sequence[str], max
         for batch in batches:
             out = {f.name: [] for f in schema.fields}
             for i in range(batch.num_rows):
-                s = Stats.of(batch.column("n")[i].as_py(), batch.column("s")[i].values.to_numpy(),
-                             batch.column("ss")[i].values.to_numpy(), shift)
+                s = Stats.of(batch.column("n")[i].as_py(), batch.column("mean")[i].values.to_numpy(),
+                             batch.column("scatter")[i].values.to_numpy())
                 fit = linear.pca_fit(s, 1.1, max_components)
                 use = fit.latent > 1e-10 * max(fit.latent[0], 1e-300)
                 k = int(use.sum()) if s.n > 2 else 0
@@ -190,8 +188,7 @@ def mahalanobis_within(signals: DataFrame, sample: str, keep: Sequence[str], max
 
 def class_distance_model(train: DataFrame, label: str, max_components: int = 10, features: str = "features"):
     """(pca, centres, inverses) of training representatives per class; inputs to the two rules below."""
-    shift = signal_shift(train, features)
-    by_class = stats_rows(moments(train, [label], shift, features), [label], shift)
+    by_class = stats_rows(moments(train, [label], features), [label])
     whole = linear.pooled(list(by_class.values()))
     fit = linear.pca_fit(whole, 0.95, max_components)
     c = fit.coeff.T

@@ -94,12 +94,20 @@ def qc_funnel(quality: DataFrame, keys: Sequence[str], final: Column | None = No
 
 
 def qc_rejection_log(quality: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per rejected signal: the first failing filter and the value that failed."""
+    """One row per rejected signal: the first failing filter and the value that failed.
+
+    All rules of ``valid_mask`` count, the negative one last, so the log has one
+    row for every signal that the mask rejects.  A column ``ok_distance`` with
+    its ``distance`` adds the outlier rule after them.
+    """
     # The reason names, in filter order.
     steps = [
         ("ok_snr", "SNR", "snr"), ("ok_saturation", "Saturation", "max_value"),
         ("ok_baseline", "Baseline", "baseline_std"), ("ok_amide", "AmideRatio", "amide_ratio"),
+        ("ok_negative", "Negative", "min_value"),
     ]
+    if "ok_distance" in quality.columns:
+        steps.append(("ok_distance", "Mahalanobis", "distance"))
     reason = value = None
     for check, name, col in steps:
         fail = ~F.col(check)

@@ -22,8 +22,9 @@ from wavecohort.models import linear
 from wavecohort.models.classifiers import LINEAR, MLLIB, FittedMllib, check_name, score_rows, settings
 from wavecohort.models.linear import LinearModel, Stats
 from wavecohort.operators.folds import fold_arrays, leaked_groups, stratified_group_folds
-from wavecohort.operators.moments import moments, signal_shift
-from wavecohort.plans.recipes import FittedRecipe, Recipe
+from wavecohort.operators.moments import moments
+from wavecohort.operators.sets import join_null_safe
+from wavecohort.plans.recipes import FittedRecipe, Recipe, signal_width
 from wavecohort.session import cut_lineage, scratch_path
 
 _MODEL_SCHEMA = ("repeat int, fold int, recipe string, classifier string, kind string, n_out int, "
@@ -45,7 +46,7 @@ def with_folds(signals: DataFrame, folds: DataFrame, group: str, repeats: int) -
     The fold table has one row per group; the planner broadcasts it when small
     and otherwise shuffles, splitting a hot group by adaptive skew joins.
     """
-    return signals.join(fold_arrays(folds, group, repeats), group)
+    return join_null_safe(signals, fold_arrays(folds, group, repeats), [group])
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,7 @@ class Variant:
     config: Mapping
 
 
-def fold_models(table: DataFrame, label: str, shift: np.ndarray, recipes: Sequence[str], variants: Sequence[Variant],
+def fold_models(table: DataFrame, label: str, recipes: Sequence[str], variants: Sequence[Variant],
                 classes: Sequence, scaling: bool = False) -> DataFrame:
     """Fit every recipe and linear variant for every fold from moments, one task per repeat.
 
@@ -68,7 +69,7 @@ def fold_models(table: DataFrame, label: str, shift: np.ndarray, recipes: Sequen
     fits = [v for v in variants if v.kind in LINEAR]
 
     def one_repeat(pdf: pd.DataFrame) -> pd.DataFrame:
-        stats = {(r.fold, getattr(r, label)): Stats.of(int(r.n), r.s, r.ss, shift) for r in pdf.itertuples()}
+        stats = {(r.fold, getattr(r, label)): Stats.of(int(r.n), r.mean, r.scatter) for r in pdf.itertuples()}
         out = []
         for fold in sorted({f for f, _ in stats}):
             parts = {}
@@ -122,15 +123,15 @@ def cv_variants(signals: DataFrame, recipes: Sequence[str], variants: Sequence[V
     if folds is None:
         folds = stratified_group_folds(signals, group, label, k, repeats, seed)
     rows = with_folds(signals, folds, group, repeats)
-    shift = signal_shift(signals, features)
-    table = moments(rows, [label], shift, features, fold_array="folds")
+    width = signal_width(signals, features)
+    table = moments(rows.where(F.col(label).isin(list(classes))), [label], features, fold_array="folds")
     other = [v for v in variants if v.kind in MLLIB]
-    models, scales = load_models(fold_models(table, label, shift, recipes, variants, classes, bool(other)))
+    models, scales = load_models(fold_models(table, label, recipes, variants, classes, bool(other)))
     parts = []
     if models:
         parts.append(score_rows(rows, models, keep, label, classes, features, fold_array="folds"))
     if other:
-        parts.append(_mllib_folds(rows, other, label, classes, keep, features, scales, len(shift), threads))
+        parts.append(_mllib_folds(rows, other, label, classes, keep, features, scales, width, threads))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -129,14 +129,25 @@ class FittedRecipe:
         return FittedRecipe(Recipe(row["recipe"]), row["width_in"], tuple(row["mu"]), tuple(row["sigma"]))
 
 
+def signal_width(signals: DataFrame, features: str = "features") -> int:
+    """Common length of all signals."""
+    sizes = signals.agg(F.min(F.size(features)).alias("low"), F.max(F.size(features)).alias("high")).head()
+    if sizes["low"] is None:
+        raise ValueError("no training signals")
+    if sizes["low"] != sizes["high"]:
+        raise ValueError("training signals differ in length")
+    return sizes["low"]
+
+
 def recipe_fit(train: DataFrame, code: str, features: str = "features") -> FittedRecipe:
     """Learn a recipe's parameters from training rows.  Runs one aggregation; its result has the axis length."""
     recipe = Recipe(code)
     if not recipe.scale:
-        first = train.select(F.size(features).alias("w")).head()
-        return FittedRecipe(recipe, first["w"])
+        return FittedRecipe(recipe, signal_width(train, features))
     ready = batch.batch_column(F.col(features), lambda x: recipe.before_scale(batch.require_finite(x)))
     row = zscore_fit(train.select(F.size(features).alias("w"), ready.alias("features")), ["w"]).head(2)
+    if not row:
+        raise ValueError("no training signals")
     if len(row) != 1:
         raise ValueError("training signals differ in length")
     return FittedRecipe(recipe, row[0]["w"], tuple(row[0]["mu"]), tuple(row[0]["sigma"]))

@@ -87,6 +87,13 @@ def scan_csv_metrics(spark: SparkSession, path: str, schema: str | None = None)
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """The fields of a table: position, name, type.  From the schema, without reading data."""
-    rows = [(i + 1, name, kind) for i, (name, kind) in enumerate(df.dtypes)]
-    return df.sparkSession.createDataFrame(rows, "position long, name string, type string")
+    """The fields of a table: position, name, type, and the rows, nulls and smallest and largest value found in one pass.
+
+    Values are compared as text.
+    """
+    stats = [F.struct(
+        F.lit(k + 1).cast("long").alias("position"), F.lit(name).alias("name"), F.lit(kind).alias("type"),
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col(name).isNull(), 1)).alias("n_null"),
+        F.min(F.col(name).cast("string")).alias("least"), F.max(F.col(name).cast("string")).alias("most"),
+    ) for k, (name, kind) in enumerate(df.dtypes)]
+    return df.agg(F.array(*stats).alias("p")).select(F.explode("p").alias("p")).select("p.*")
