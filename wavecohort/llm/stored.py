@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame
 
@@ -12,10 +13,13 @@ from wavecohort.session import cut_lineage
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
-    What made it is no longer needed then: the driver is asked to let go of it,
-    so that its shuffle files are deleted and do not add up over the stages.
+    What made it is no longer needed then.  The driver writes a plan of its own,
+    which nobody else holds, and collects its garbage, so that the shuffle files
+    of this stage are deleted and do not add up over the stages.
     """
-    out = cut_lineage(df, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    out = cut_lineage(df.select("*"), name)
+    for _ in range(2):  # what the first pass lets go of is found by the second
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return out
