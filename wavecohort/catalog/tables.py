@@ -387,7 +387,7 @@ def leakage_guard(spark, sf):
 @register("axis_join", "SELECT signal_id, t.pos, axis, round(value, 6) + 0.0 AS value FROM {traces} t JOIN {axis} a ON t.pos = a.pos")
 def axis_join(spark, sf):
     t = V.traces(spark, sf).select("signal_id", "pos", "value")
-    return rounded(C.axis_join(t, C.axis_table(t, V.AXIS), V.WIDTH), "value").select("signal_id", "pos", "axis", "value")
+    return rounded(C.axis_join(t, C.axis_table(t, V.AXIS)), "value").select("signal_id", "pos", "axis", "value")
 
 
 @register("config_cross", """WITH g AS (SELECT recipe, classifier, CAST(r AS BIGINT) AS repeat, CAST(f AS BIGINT) AS fold

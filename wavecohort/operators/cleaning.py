@@ -40,13 +40,9 @@ def axis_table(df: DataFrame, axis: Sequence[float]) -> DataFrame:
     )
 
 
-def axis_join(long: DataFrame, axis: DataFrame, axis_points: int) -> DataFrame:
-    """Attach axis values by position.
-
-    The axis table holds ``axis_points`` rows (one per array element), which bounds the broadcast.
-    """
-    side = F.broadcast(axis) if axis_points <= 100_000 else axis
-    return long.join(side, "pos")
+def axis_join(long: DataFrame, axis: DataFrame) -> DataFrame:
+    """Attach axis values by position.  The axis table has one row per array element; the planner picks the join."""
+    return long.join(axis, "pos")
 
 
 def rename_drop(samples: DataFrame, renames: dict[str, str], drops: Sequence[str]) -> DataFrame:
