@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecohort.llm.stored import stored
+from wavecohort.operators.sets import join_null_safe
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -96,11 +97,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         plan.append((s, n, goal[s], max(1, -(-n // block_words)), words // n if n else 0, words % n if n else 0))
     sources = spark.createDataFrame(plan, "_source string, source_size long, target double, _blocks long, _full long, _rest long")
 
-    same = lambda a, b: a["_source"].eqNullSafe(b["_source"])
-
     def with_block(df: DataFrame) -> DataFrame:
-        return df.join(sources, same(df, sources), "inner").drop(sources["_source"]).withColumn(
-            "_block", F.pmod(F.col("_key"), F.col("_blocks")))
+        return join_null_safe(df, sources, ["_source"]).withColumn("_block", F.pmod(F.col("_key"), F.col("_blocks")))
 
     # One row for each block: its place in the permuted order and what of it is drawn beyond full copies.
     order = Window.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed), "_source", "_block"), "_block")
@@ -117,16 +115,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     draws = blocks.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
     turn = Window.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed), "_source", "_block", "_copy"), "_block", "_copy")
     draws = draws.withColumn("_turn", F.row_number().over(turn).cast("long") - 1)
-    draws = draws.join(deal, same(draws, deal)).drop(deal["_source"])
+    draws = join_null_safe(draws, deal, ["_source"])
     shard = F.size(F.filter("_ends", lambda q: q <= F.col("_turn")))
     dealt = draws.groupBy("_source", "_block").agg(
         F.array_sort(F.collect_list(F.struct(F.col("_copy").alias("copy"), shard.alias("shard")))).alias("_dealt"))
     drawn = blocks.select("_source", "_block", "_words", "_left")
-    table = stored(drawn.join(dealt, same(drawn, dealt) & (drawn["_block"] == dealt["_block"]), "left")
-                   .drop(dealt["_source"], dealt["_block"]), "draws")
+    table = stored(join_null_safe(drawn, dealt, ["_source", "_block"], "left"), "draws")
 
     rows = with_block(_sized(docs, id_col, text_col, source_col, seed, F.struct(*own).alias("_row")))
-    rows = rows.join(table, same(rows, table) & (rows["_block"] == table["_block"]), "left").drop(table["_source"], table["_block"])
+    rows = join_null_safe(rows, table, ["_source", "_block"])
     entered = (F.col("_left") > 0) & (F.col("_left") < F.col("_words"))
     whole = rows.filter(~entered).withColumn("_extra", F.when(F.col("_left") > 0, F.col("_size")).otherwise(F.lit(0).cast("long")))
     # The one block of a source that is drawn in part.
@@ -136,9 +133,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     words = lambda d: F.when(d["copy"] < F.col("_full"), F.col("_size")).otherwise(F.col("_extra"))
     part = F.transform("_dealt", lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"), words(d).alias("words")))
     empty = F.array().cast("array<struct<copy:bigint,shard:int,words:bigint>>")
-    return whole.unionByName(partly).select(
-        *[F.col("_row")[c].alias(c) for c in own], F.col("_size").alias("size"), "source_size", "target",
-        F.coalesce(F.filter(part, lambda p: p["words"] > 0), empty).alias("parts"))
+    # The parts are made in a step of their own, where no column of the input is in sight.
+    done = whole.unionByName(partly).withColumn("_parts", F.coalesce(F.filter(part, lambda p: p["words"] > 0), empty))
+    return done.select(
+        *[F.col("_row")[c].alias(c) for c in own], F.col("_size").alias("size"), "source_size", "target", F.col("_parts").alias("parts"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, **options) -> DataFrame:
