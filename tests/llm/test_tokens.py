@@ -50,12 +50,29 @@ def test_one_block_is_decoded_alone():
 def test_pieces_give_the_ids_of_the_whole_text(tokenizer):
     texts = ["", " ", "  a", "a  b", "a \nb", "x <|endoftext|> y", "it's 'tis don't", "tab\t x", "end ", "12 345 ,.!? é ñ", "\n\n\n a",
              "a\n b \n\n c", "<|endoftext|>", "don 's 've", " lead", "a  b 　c", "a  b"] + [r[1] or "" for r in D.ROWS]
-    ids, counts = tokenfiles.Encoder(queries.tokenizer_path())(texts)
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    encoder = tokenfiles.Encoder(queries.tokenizer_path())
+    encoder(np.frombuffer(b"a lead", np.uint8), np.array([0, 6]))  # known pieces change nothing
+    ids, counts = encoder(np.frombuffer(b"".join(raw), np.uint8), offsets)
     ends = np.cumsum(counts)
     for t, n, z in zip(texts, counts, ends):
         assert ids[z - n:z].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_random_texts_give_the_ids_of_the_whole_text(tokenizer):
+    rng = np.random.default_rng(7)
+    letters = list("abThe") + ["the", "ing", " the", " a", " ", "  ", "\n", "\n\n", "\t", ".", ",", "!", "?\n", ";", ":", "'s", "'", "1", "42", "é", "ß", "”", "—",
+                                 "\u00a0", "\x85", "\u2028", "\u3000", "\x1c", "<|endoftext|>", "日本", "\U0001f600", "_", "-", "\r\n", "\x00"]
+    texts = ["".join(rng.choice(letters, int(rng.integers(0, 14)))) for _ in range(4000)]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    ids, counts = tokenfiles.Encoder(queries.tokenizer_path())(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    ends = np.cumsum(counts)
+    wrong = [t for t, n, z in zip(texts, counts, ends) if ids[z - n:z].tolist() != tokenizer.encode(t, add_special_tokens=False).ids]
+    assert wrong == []
+
+
 def want(rows, tokenizer):
     out, start = [], 0
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
@@ -72,7 +89,7 @@ def test_query_equals_whole_encoding(spark, sf, tokenizer):
 
 
 def test_odd_rows_and_many_files(spark, tokenizer, monkeypatch):
-    monkeypatch.setattr(tokenfiles, "TEXTS", 3)
+    monkeypatch.setattr(tokenfiles, "SLICE", 100)
     df = D.odd(spark)
     folder = scratch_path(spark, "tokens")
     manifest = tokenfiles.write(df, folder, queries.tokenizer_path(), file_ids=50)

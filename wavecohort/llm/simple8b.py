@@ -19,11 +19,22 @@ LAYOUT = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
 ZEROS = 240
 ESCAPE = 15
 BLOCK = 4096
+CHUNK = 256  # blocks encoded at a time
 MAGIC = b"S8B1"
 
 
 def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """(words, first word of each block and the total) of unsigned 64-bit values.
+    """(words, first word of each block and the total) of unsigned 64-bit values, some blocks at a time."""
+    parts, offsets = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for lo in range(0, len(values), CHUNK * block):
+        words, own = _encode(values[lo : lo + CHUNK * block], block)
+        parts.append(words)
+        offsets.append(offsets[-1][-1] + own[1:])
+    return np.concatenate(parts), np.concatenate(offsets)
+
+
+def _encode(values: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``encode``, all at once.
 
     Every word takes the selector that holds most of the next values; all
     blocks move forward together, one word at a time.
@@ -34,10 +45,8 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     # choice[i]: selector of a word that starts at value i, as the greedy rule picks it.
     choice = np.full(n, ESCAPE, np.int8)
-    bits_of = np.zeros(n, np.uint8)
-    for bits in sorted({b for _, b in LAYOUT}):
-        bits_of[values >> np.uint64(bits) != 0] = bits + 1
-    bits_of[(bits_of == 0) & (values != 0)] = 1
+    high, low = (values >> np.uint64(32)).astype(np.float64), (values & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    bits_of = np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1]).astype(np.uint8)
     for selector in range(len(LAYOUT), 0, -1):
         choice[_fits(bits_of, *LAYOUT[selector - 1][::-1], block)] = selector
     choice[_fits(bits_of, 0, ZEROS, block)] = 0

@@ -9,7 +9,10 @@ through Spark's binary reader, one per row.
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -26,23 +29,29 @@ from wavecohort.session import scratch_path
 
 END_ID = 2
 FILE_IDS = 1 << 22
-CACHE = 300_000  # pieces a task keeps
-TEXTS = 256  # texts encoded at a time
+CACHE = 1_000_000  # pieces a task keeps
+LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
+STOP = np.array([chr(b) in ",.;:!?" for b in range(256)])
+SLICE = 1 << 21  # bytes of text handled at a time
+TEXTS = 64  # strings given to the tokenizer at a time
+JOINED = 256  # pieces in one string
 
 
 class Encoder:
     """Ids of texts as the tokenizer gives them for the whole text.
 
     A byte-level tokenizer without normaliser cuts a text before every space
-    that a visible character follows, wherever it stands.  Such pieces repeat a
-    lot, so each is encoded once and kept.  Texts with other white space after
-    a space, or with the string of a special token, and texts of other
+    that a visible character follows, wherever it stands; between a letter (a to
+    z) and a stop; and on both sides of a single line break between visible
+    characters.  Such pieces repeat a lot: each is found by a 128-bit hash, encoded once and kept by the task.
+    New pieces go to the tokenizer joined to longer strings, and the bytes that
+    each id stands for tell where a piece ends.  Texts with other white space
+    after a space, or with the string of a special token, and texts of other
     tokenizers are encoded whole.
     """
 
     def __init__(self, path: str):
-        import json
-
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,57 +60,116 @@ class Encoder:
         self.pieces = (
             spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") is True
             and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE")
-        special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
-        self.whole = re.compile("|".join([r" \s", r" $", *special]))
+        special = [re.escape(t["content"].encode()) for t in spec.get("added_tokens", [])]
+        # White space, as the tokenizer sees it, after a space.
+        space = rb"[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+        self.whole = re.compile(b"|".join([b" (?:" + space + b")", *special]))
+        # In the byte-level alphabet one character of a token is one byte.
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = [0]
+        self.h1, self.h2 = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.low, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        for lo in range(0, len(pieces), 4096):
-            part = pieces[lo : lo + 4096]
-            found = self._raw(part)
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32)
-            at = self.start[-1]
-            while at + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[at : at + len(flat)] = flat
-            for piece, ids in zip(part, found):
-                self.known[piece] = len(self.start) - 1
-                at += len(ids)
-                self.start.append(at)
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each)."""
-        if len(self.known) > CACHE:
+        return [e.ids for lo in range(0, len(texts), TEXTS) for e in self.tokenizer.encode_batch_fast(texts[lo : lo + TEXTS], add_special_tokens=False)]
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
+        """Encode the pieces at [start, end) and keep their ids."""
+        body = data.tobytes()
+        lead = data[start] == 32
+        flat, counts = [], np.zeros(len(start), np.int64)
+        # Pieces that begin with a space can follow each other; those that begin with a letter follow a line break.
+        led, word = np.flatnonzero(lead), np.flatnonzero(LETTER[data[start]])
+        for own_kind, before in ((led, b""), (word, b"\n")):
+            for lo in range(0, len(own_kind), JOINED * TEXTS):
+                own = own_kind[lo : lo + JOINED * TEXTS]
+                groups = [own[k : k + JOINED] for k in range(0, len(own), JOINED)]
+                texts = [b"".join([before + body[a:z] for a, z in zip(start[g].tolist(), end[g].tolist())]).decode() for g in groups]
+                for g, ids in zip(groups, self._raw(texts)):
+                    ids = np.array(ids, np.uint32)
+                    ends = np.cumsum(end[g] - start[g] + len(before))
+                    upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "right")
+                    counts[g] = np.diff(upto, prepend=0) - len(before)
+                    flat.append(np.delete(ids, np.append(0, upto[:-1])) if before else ids)
+        rest = np.flatnonzero(~lead & ~LETTER[data[start]])
+        for k, ids in zip(rest, self._raw([body[a:z].decode() for a, z in zip(start[rest].tolist(), end[rest].tolist())])):
+            counts[k] = len(ids)
+            flat.append(np.array(ids, np.uint32))
+        order = np.concatenate([led, word, rest])
+        low = np.zeros(len(start), np.int64)
+        low[order] = len(self.ids) + np.cumsum(counts[order]) - counts[order]
+        self.ids = np.concatenate([self.ids, *flat])
+        h1, h2 = np.concatenate([self.h1, h1]), np.concatenate([self.h2, h2])
+        low, size = np.concatenate([self.low, low]), np.concatenate([self.size, counts])
+        order = np.argsort(h1, kind="stable")
+        self.h1, self.h2, self.low, self.size = h1[order], h2[order], low[order], size[order]
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each) of UTF-8 texts."""
+        n, body = len(offsets) - 1, data.tobytes()
+        alone = np.ones(n, bool)
+        if self.pieces:
+            found = np.fromiter((m.start() for m in self.whole.finditer(body)), np.int64)
+            alone = np.zeros(n, bool)
+            alone[np.searchsorted(offsets, found, "right") - 1] = True
+            filled = np.flatnonzero(np.diff(offsets) > 0)
+            alone[filled[data[offsets[filled + 1] - 1] == 32]] = True
+        cut = data == 32
+        cut[1:] |= STOP[data[1:]] & LETTER[data[:-1]]
+        line = np.flatnonzero((data[1:-1] == 10) & (data[:-2] > 32) & (data[:-2] < 127) & LETTER[data[2:]]) + 1
+        cut[line] = cut[line + 1] = True
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(data))
+        doc = np.searchsorted(offsets, start, "right") - 1
+        keep = ~alone[doc]
+        start, end, doc = start[keep], end[keep], doc[keep]
+        h1, h2 = X.span_hashes(data, start, end), X.span_hashes(data, start, end, X.BASE2)
+        if len(self.h1) > CACHE:
             self.clear()
-        cut, direct = {}, []
-        for k, t in enumerate(texts):
-            if self.pieces and not self.whole.search(t):
-                first, *rest = t.split(" ")
-                cut[k] = [first, *[" " + p for p in rest]]
-            else:
-                direct.append(k)
-        known = self.known
-        fresh = {p for parts in cut.values() for p in parts if p not in known}
-        if fresh:
-            self._learn(sorted(fresh))
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        for k, ids in zip(direct, self._raw([texts[k] for k in direct]) if direct else []):
-            out[k] = np.array(ids, np.uint32)
-        start = np.array(self.start)
-        for k, parts in cut.items():
-            piece = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-            low = start[piece]
-            size = start[piece + 1] - low
-            out[k] = self.ids[np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.array([len(o) for o in out], np.int64)
+        order = np.argsort(h1)
+        fresh = np.ones(len(h1), bool)
+        fresh[1:] = h1[order][1:] != h1[order][:-1]
+        one = order[fresh]  # a place of every distinct piece, by hash
+        at = np.searchsorted(self.h1, h1[one])
+        new = np.ones(len(one), bool)
+        inside = at < len(self.h1)
+        new[inside] = self.h1[at[inside]] != h1[one[inside]]
+        if new.any():
+            own = one[new]
+            self._learn(data, start[own], end[own], h1[own], h2[own])
+            at = np.searchsorted(self.h1, h1[one])
+        place = np.empty(len(h1), np.int64)
+        place[order] = np.cumsum(fresh) - 1
+        at = at[place]
+        twin = np.zeros(n, bool)
+        twin[doc[self.h2[at] != h2]] = True  # equal in one hash only: such a text is encoded whole
+        keep = ~twin[doc]
+        low, size, doc = self.low[at[keep]], self.size[at[keep]], doc[keep]
+        whole = np.flatnonzero(alone | twin)
+        own = [np.array(i, np.uint32) for i in self._raw([body[offsets[d] : offsets[d + 1]].decode() for d in whole])]
+        more = np.array([len(o) for o in own], np.int64)
+        pool = np.concatenate([self.ids, *own])
+        low = np.concatenate([low, len(self.ids) + np.cumsum(more) - more])
+        size, doc = np.concatenate([size, more]), np.concatenate([doc, whole])
+        order = np.argsort(doc, kind="stable")
+        low, size = low[order], size[order]
+        ids = pool[np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        return ids, np.bincount(doc[order], weights=size, minlength=n).astype(np.int64)
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this process: tasks that a worker runs one after another share the pieces they know."""
+    kept = vars(sys).setdefault("_piece_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -123,7 +191,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     """
     def run(batches):
         part = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
         ids, counts, names, nulls = [], [], [], []
@@ -147,10 +215,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
             return row
 
         for b in batches:
-            texts = X.plain(b.column(1))
-            for lo in range(0, b.num_rows, TEXTS):
-                own = b.column(0).slice(lo, TEXTS)
-                flat, n = encoder(texts.slice(lo, TEXTS).to_pylist())
+            for lo, high, data, offsets in X.slices(X.plain(b.column(1)), SLICE):
+                own = b.column(0).slice(lo, high - lo)
+                flat, n = encoder(data, offsets)
                 if end_id is not None:
                     flat = np.insert(flat, np.cumsum(n), end_id)
                     n = n + 1
