@@ -4,8 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from tests import oracle
+from wavecohort.catalog import views
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+# The queries over documents have tests of their own, next to their subpackage's.
+QUERIES = {n: f for n, f in entry.queries().items() if n in views.QUERIES}
+SQL = {n: s for n, s in entry.oracle_sql().items() if n in views.ORACLE}
 # Fitted by repeated MLlib jobs; slow and covered by test_models.
 SLOW = {"svm_rbf", "svm_cost", "svm_platt", "cv_grid_mllib", "grid_search_forest", "grid_search_svm"}
 
