@@ -78,3 +78,13 @@ def test_block_masks_meet_within_the_distance():
             a = int(rng.integers(0, 2**63))
             b = a ^ sum(1 << int(k) for k in rng.choice(64, 3, replace=False))
             assert any(a & m == b & m for m in masks)
+
+
+def test_edit_distance_equals_the_plain_table():
+    rng = np.random.default_rng(2)
+    for _ in range(600):
+        a, b = ("".join(rng.choice(list("abc é"), int(rng.integers(0, 30)))) for _ in range(2))
+        if rng.random() < 0.5:
+            b = a[: len(a) // 2] + b[:3] + a[len(a) // 2:]
+        assert lines.distance(list(a), list(b)) == levenshtein(a, b)
+        assert lines.similar(a, b, 0.8) == (levenshtein(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9)

@@ -124,6 +124,48 @@ def _near(a: str, b: str, distance: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
+def similar(a: str, b: str, similarity: float) -> bool:
+    """Whether at most ``1 - similarity`` of the longer string's characters have to be edited.
+
+    Word edits bound the character edits from above, which settles most pairs of
+    long lines: one costs at most the longest word and a space.  Else characters
+    are compared, without what both begin and end with.
+    """
+    allowed = (1 - similarity) * max(len(a), len(b)) + 1e-9
+    if abs(len(a) - len(b)) > allowed:
+        return False
+    left, right = a.split(" "), b.split(" ")
+    if distance(left, right) * (1 + max(map(len, left + right))) <= allowed:
+        return True
+    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    low = int(differ[0]) if len(differ) else n
+    x, y, n = x[low:], y[low:], n - low
+    differ = np.flatnonzero(x[len(x) - n:][::-1] != y[len(y) - n:][::-1])
+    high = int(differ[0]) if len(differ) else n
+    return distance(x[:len(x) - high].tolist(), y[:len(y) - high].tolist()) <= allowed
+
+
+def distance(a: list, b: list) -> int:
+    """Edit distance of two sequences: one pass over ``b`` with the places of ``a`` as bits of an integer (Myers, 1999)."""
+    if not a or not b:
+        return len(a) + len(b)
+    m, places = len(a), {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = full, 0, m  # bits: the column grows, or shrinks, by one from place to place
+    for c in b:
+        at = places.get(c, 0)
+        level = (((at & up) + up) ^ up) | at | down
+        more, less = down | (full & ~(level | up)), up & level
+        score += bool(more & top) - bool(less & top)
+        more = (more << 1 | 1) & full
+        up, down = (less << 1 & full) | (full & ~(level | more)), more & level
+    return score
+
+
 def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, kind: str, similarity: float) -> DataFrame:
     """(a, b) of those pairs whose normalised lines are similar enough; whole lines are compared."""
     wanted = pairs.select(F.col("a").alias("n")).union(pairs.select(F.col("b").alias("n"))).distinct()
@@ -144,8 +186,13 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, kind: str,
     # Rows of one id can differ; only the line with the wanted hash counts, and it is the same for all.
     texts = stored(docs.join(places, "id").select("text", "lines").mapInArrow(run, "n long, t string").groupBy("n").agg(F.min("t").alias("t")), "lines")
     both = pairs.join(texts.select(F.col("n").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("n").alias("b"), F.col("t").alias("tb")), "b")
-    longest = F.greatest(F.length("ta"), F.length("tb"))
-    return both.filter(F.levenshtein("ta", "tb") <= (1 - similarity) * longest + 1e-9).select("a", "b")
+
+    def verify(batches):
+        for b in batches:
+            keep = [similar(x, y, similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE,
