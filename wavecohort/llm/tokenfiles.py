@@ -29,7 +29,7 @@ from wavecohort.session import scratch_path
 
 END_ID = 2
 FILE_IDS = 1 << 22
-CACHE = 1_000_000  # pieces a task keeps
+CACHE = 500_000  # pieces a task keeps
 LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
 STOP = np.array([chr(b) in ",.;:!?" for b in range(256)])
 SLICE = 1 << 21  # bytes of text handled at a time
@@ -164,12 +164,12 @@ class Encoder:
         return ids, np.bincount(doc[order], weights=size, minlength=n).astype(np.int64)
 
 
-def encoder_of(path: str) -> Encoder:
-    """The encoder of this process: tasks that a worker runs one after another share the pieces they know."""
-    kept = vars(sys).setdefault("_piece_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+def known_pieces(path: str) -> dict:
+    """What this process knows of a tokenizer's pieces: tasks that a worker runs one after another share it.
+
+    Arrays of at most about ``CACHE`` pieces stay; the tokenizer itself goes with its task.
+    """
+    return vars(sys).setdefault("_known_pieces", {}).setdefault(path, {})
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -191,7 +191,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     """
     def run(batches):
         part = TaskContext.get().partitionId()
-        encoder = encoder_of(tokenizer)
+        encoder = Encoder(tokenizer)
+        vars(encoder).update(known_pieces(tokenizer))
         fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
         ids, counts, names, nulls = [], [], [], []
@@ -230,6 +231,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
                     yield flush()
         if names:
             yield flush()
+        known_pieces(tokenizer).update({k: getattr(encoder, k) for k in ("h1", "h2", "low", "size", "ids")})
 
     narrow = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     ordered = narrow.repartitionByRange("_id").sortWithinPartitions("_id", "_text")
