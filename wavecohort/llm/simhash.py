@@ -30,13 +30,17 @@ from wavecohort.llm.stored import stored
 
 SEED = 42
 BITS = 64
-HALF_BUDGETS = (1, 2)  # errors allowed in the first 32 bits of each trie; their sum is the distance less one
 DISTANCE = 4
 LEAVES = 1 << 16  # fingerprints a cell owns, about
 BLOCK = 1 << 18  # node pairs expanded at a time
 CHUNK = 1 << 16  # shingles whose bits are counted at a time
 
 
+def half_budgets(distance: int) -> tuple[int, int]:
+    """Errors allowed in the first 32 bits of each trie; their sum is the distance less one."""
+    return (distance - 1) // 2, distance // 2
+
+
 # --- fingerprints ------------------------------------------------------------------
 
 
@@ -187,12 +191,13 @@ def _neighbours(top: int, budget: int) -> np.ndarray:
 def links(distinct: DataFrame, top: int, distance: int = DISTANCE) -> DataFrame:
     """(a, b): links that connect all fingerprints (column fp, distinct) within ``distance``."""
     shift = np.uint64(BITS - top)
+    budgets = half_budgets(distance)
 
     def spread(batches):
         for b in batches:
             fp = b.column(0).to_numpy().view(np.uint64)
             cells, values = [], []
-            for trie, budget in enumerate(HALF_BUDGETS):
+            for trie, budget in enumerate(budgets):
                 turned = _turned(fp, trie)
                 node = turned >> shift if top else np.zeros(len(fp), np.uint64)
                 for d in _neighbours(top, budget):
@@ -209,7 +214,7 @@ def links(distinct: DataFrame, top: int, distance: int = DISTANCE) -> DataFrame:
         trie, node = cell % 2, cell // 2
         values = np.sort(_turned(tab.column("fp").to_numpy().view(np.uint64), trie))
         owned = (values >> shift if top else np.zeros(len(values), np.uint64)) == np.uint64(node)
-        up = join_cell(values, owned, top, HALF_BUDGETS[trie], distance)
+        up = join_cell(values, owned, top, budgets[trie], distance)
         moved = np.flatnonzero(up != np.arange(len(up)))
         back = _turned(values, trie).view(np.int64)
         return pa.table({"a": pa.array(back[moved]), "b": pa.array(back[up[moved]])})
@@ -235,29 +240,41 @@ def classes(rows: DataFrame, id_col: str, leaves: int = LEAVES) -> DataFrame:
     """(fp, root, component_id): one row for each fingerprint of ``rows`` (id_col, fp); root is the class's fingerprint."""
     known = stored(rows.groupBy("fp").agg(F.min(id_col).alias("_least")), "distinct")
     top = max(4, int(np.ceil(np.log2(max(1, known.count()) / leaves))))
-    found = components(links(known, top))
-    rooted = stored(known.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+    return rooted(known, components(links(known, top)))
+
+
+def rooted(known: DataFrame, found: DataFrame) -> DataFrame:
+    """(fp, root, component_id) from ``known`` (fp, _least) and the (node, root) of linked fingerprints."""
+    rows = stored(known.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "_least", F.coalesce("root", "fp").alias("root")), "rooted")
-    named = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    return rooted.join(named, "root").select("fp", "root", "component_id")
+    named = rows.groupBy("root").agg(F.min("_least").alias("component_id"))
+    return rows.join(named, "root").select("fp", "root", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """One row of ``docs`` for each class, all columns unchanged: the one with the class's id.
+    """One row of ``docs`` for each class, all columns unchanged; see ``one_of_each``."""
+    def marks(df, keep, col):
+        return fingerprints(df, keep, col, size)
+
+    rows = stored(marks(docs, [id_col], text_col), "fingerprints")
+    return one_of_each(docs, rows, classes(rows, id_col), marks, id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, of_fp: DataFrame, marks, id_col: str, text_col: str) -> DataFrame:
+    """The row with the class's id of each class; ``rows`` and ``marks(docs, keep, text_col)`` have the fp, ``of_fp`` its class.
 
     Of several rows with that id the one with the least hash of all columns
     stays.  A class of rows without id keeps one row in the same way; in other
     classes rows without id go.
     """
-    rows = stored(fingerprints(docs, [id_col], text_col, size), "fingerprints")
-    of_fp = stored(classes(rows, id_col), "classes")
+    of_fp = stored(of_fp, "classes")
     named = rows.join(of_fp, "fp").filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     # Whole rows travel as one column, so that none of their names can clash.
     boxed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_body"))
     order = F.xxhash64("_row")
     turn = F.row_number().over(Window.partitionBy("_id").orderBy(order))
     kept = boxed.join(named.withColumnRenamed(id_col, "_id"), "_id", "left_semi").withColumn("_turn", turn)
-    nameless = fingerprints(boxed.filter("_id is null"), ["_row"], "_body", size)
+    nameless = marks(boxed.filter("_id is null"), ["_row"], "_body")
     nameless = nameless.join(of_fp.filter("component_id is null").select("fp", "root"), "fp")
     nameless = nameless.withColumn("_turn", F.row_number().over(Window.partitionBy("root").orderBy(order)))
     both = kept.filter("_turn = 1").select("_row").union(nameless.filter("_turn = 1").select("_row"))
