@@ -88,3 +88,19 @@ def test_long_values_take_linear_time():
 def test_vocabulary_counts_all_texts(spark):
     df = spark.createDataFrame([("zeta alpha alpha Beta",), (None,), ("beta, gamma alpha ab",)], "text string")
     assert secrets.vocabulary(df, size=3) == ["alpha", "beta", "gamma"]
+
+
+@pytest.mark.parametrize("text, value", [
+    ('password: "Xk9,q2#LmP7;vT"', "Xk9,q2#LmP7;vT"), ("pwd='aB3;xY9kL2mN'", "aB3;xY9kL2mN"), ('token="x<y>z8Kq2vLz" # own', "x<y>z8Kq2vLz"),
+    ('passphrase = "vK3 zQ8 mW2 pL7 xT5"', "vK3 zQ8 mW2 pL7 xT5"), ('secret: "it\'s x8Kq2v, Lz9!"', "it's x8Kq2v, Lz9!"),
+    ('secret: "a9K\\"q2#LmP7vT"', 'a9K\\"q2#LmP7vT'), ("pwd=x8Kq2vLz9Q;next", "x8Kq2vLz9Q"), ('pwd="x8Kq2vLz9Q\nopen"', "x8Kq2vLz9Q")])
+def test_quoted_values_are_judged_whole(text, value):
+    rank = secrets.ranks([])
+    got = secrets.spans(text, lambda v: secrets.guess_cost(v, rank)[0])
+    assert [(text[a:z], c) for k, a, z, c in got if k == "guess"] == [(value, round(secrets.guess_cost(value, rank)[0], 3))]
+
+
+def test_a_stray_quote_hides_no_credential():
+    text = 'password: "a token="x8Kq2vLz9QwErTy7"'
+    got = secrets.spans(text, lambda v: secrets.guess_cost(v, secrets.ranks([]))[0])
+    assert "x8Kq2vLz9QwErTy7" in [text[a:z] for k, a, z, _ in got if k == "guess"]

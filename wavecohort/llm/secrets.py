@@ -6,7 +6,8 @@ cut into words, dates, repeats, sequences, keyboard walks and brute-force
 characters at minimum cost, by dynamic programming over its characters.  The
 cost is the decimal logarithm of the guesses an attacker needs who tries such
 segments in the order of their likelihood.  A value of at least ``STRONG`` is a
-secret; placeholders, words and simple walks stay below.
+secret; placeholders, words and simple walks stay below.  A value that opens with
+a quote goes to the matching quote on its line, one without to the next delimiter.
 
 Words are ranked by their frequency in the corpus itself, counted over all
 documents by Spark; the ``RANKS`` most frequent are shipped to the tasks.  They
@@ -39,7 +40,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CONTEXT = re.compile(
     r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)["']?"""
-    r"""(?:\x20*(?:=>|:=|[:=])\x20*|\x20(?ai:is)\x20)["']?([^\s"',;<>]+)""")
+    r"""(?:\x20*(?:=>|:=|[:=])\x20*|\x20(?ai:is)\x20)(?:(["'])([^\n\r]+?)(?:(?<!\\)|(?<=\\\\))\1|["']?([^\s"',;<>]+))""")
 URL = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s/@]+)@")
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
 YEAR = re.compile(r"(?:19|20)\d\d")
@@ -154,16 +155,23 @@ def spans(text: str, cost) -> list[tuple[str, int, int, float | None]]:
                 found.add((m.start(), 0, m.end(), None))
         if "://" in text:
             judged.update((m.span(1), m[1]) for m in URL.finditer(text))
-    for m in CONTEXT.finditer(text):
-        judged[m.span(1)] = m[1]
+    whole, at = set(), 0
+    while m := CONTEXT.search(text, at):
+        k = 2 if m[1] else 3
+        judged[m.span(k)] = m[k]
+        at = m.start(k)  # a stray quote can hide a further credential
+        if m[1]:
+            whole.add(m.span(k))
     if "AKIA" in text:
         found.update((m.start(), 1, m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18)
     found.update((m.start(), 2, m.end(), None) for m in HEX.finditer(text))
-    for (a, z), value in judged.items():
-        while value and value[-1] in ".:!?)]}":  # closes the sentence and not the value
+    past = 0
+    for (a, z), value in sorted(judged.items()):
+        while (a, z) not in whole and value and value[-1] in ".:!?)]}":  # closes the sentence and not the value
             value = value[:-1]
-        if len(value) >= LEAST and (c := cost(value)) >= STRONG:
+        if a >= past and len(value) >= LEAST and (c := cost(value)) >= STRONG:
             found.add((a, 3, a + len(value), round(c, 3)))
+            past = a + len(value)
     return [(KINDS[k], a, z, c) for a, k, z, c in sorted(found, key=lambda x: x[:3])]
 
 
