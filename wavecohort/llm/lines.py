@@ -1,10 +1,12 @@
 """Operator 3: fuzzy line deduplication.
 
-Lines are normalised to lower-case words without punctuation, digits as 0;
-equal ones collapse first.  A distinct line gets a 64-bit SimHash of its words.
+Lines are normalised to lower-case words without punctuation; equal ones
+collapse first.  A distinct line gets a 64-bit SimHash of its words, digits as
+0, so that number variants meet; whether they are one line is left to the edit
+check, which sees the digits.
 Lines at Hamming distance at most 3 agree in some blocks of a partition of the
 64 bits (pigeonhole), so they meet in a join on block keys; pairs that meet are
-verified by edit similarity of the normalised lines, and of every connected
+verified by edit similarity of the lines, and of every connected
 group one occurrence is kept, the first by (document, line).
 
 No key emits all pairs of its lines.  First every line of a key meets only the
@@ -64,34 +66,38 @@ def simhashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _lines(column):
-    """Slices: (first row, bytes, line starts and ends, lines before each row and the total, word hashes, words before each line)."""
+    """Slices: (first row, line starts, lines before each row and the total, word hashes, those with digits as 0, words before each line)."""
     for low, _, data, offsets in X.slices(pc.utf8_lower(X.plain(column))):
         cuts = np.flatnonzero(data == 10)
         row_start = offsets[:-1]
         start = np.sort(np.concatenate([row_start, cuts + 1]), kind="stable")
         # A line break that ends a row is followed by an empty line of that row, which stands before the next row's first.
         row_line = np.searchsorted(cuts, offsets) + np.arange(len(offsets))
-        end = np.sort(np.concatenate([offsets[1:], cuts]), kind="stable")
         bounds = np.append(start, len(data))
         w, z, _ = X.runs(LETTER[data], np.unique(bounds))
-        h = X.span_hashes(FOLD[data], w, z)
+        h, folded = X.span_hashes(data, w, z), X.span_hashes(FOLD[data], w, z)
         line_word = np.append(np.searchsorted(w, start), len(w))
-        yield low, data, start, end, row_line, h, line_word
+        yield low, start, row_line, h, folded, line_word
 
 
 def normalised(line: bytes) -> str:
-    """The words of one lower-case line, as the hashes see them."""
-    return re.sub(rb"[0-9]", b"0", re.sub(rb"[^0-9A-Za-z\x80-\xff]+", b" ", line)).strip().decode("utf-8", "replace")
+    """The words of one lower-case line, as the SimHash sees them: digits as 0."""
+    return re.sub("[0-9]", "0", written(line))
+
+
+def written(line: bytes) -> str:
+    """The words of one lower-case line."""
+    return re.sub(rb"[^0-9A-Za-z\x80-\xff]+", b" ", line).strip().decode("utf-8", "replace")
 
 
 def line_table(docs: DataFrame, kind: str) -> DataFrame:
-    """(id, line, n, sim) of every line that has a word; n is the hash of the normalised line."""
+    """(id, line, n, sim) of every line that has a word; n is the hash of its words, sim their SimHash with digits as 0."""
     def run(batches):
         for b in batches:
-            for low, data, start, _, row_line, h, first in _lines(b.column(1)):
+            for low, start, row_line, h, folded, first in _lines(b.column(1)):
                 row = np.repeat(np.arange(len(row_line) - 1), np.diff(row_line))
                 keep = np.diff(first) > 0
-                n, sim = X.span_hashes(h, first[:-1], first[1:]), simhashes(h, first)
+                n, sim = X.span_hashes(h, first[:-1], first[1:]), simhashes(folded, first)
                 no = np.arange(len(start)) - row_line[row]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(low + row[keep])), pa.array(no[keep].astype(np.int64)), pa.array(n[keep].view(np.int64)),
@@ -167,7 +173,7 @@ def distance(a: list, b: list) -> int:
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, kind: str, similarity: float) -> DataFrame:
-    """(a, b) of those pairs whose normalised lines are similar enough; whole lines are compared."""
+    """(a, b) of those pairs whose lines, with their digits, are similar enough; whole lines are compared."""
     wanted = pairs.select(F.col("a").alias("n")).union(pairs.select(F.col("b").alias("n"))).distinct()
     places = wanted.join(distinct, "n").groupBy("id").agg(F.collect_list(F.struct("line", "n")).alias("lines"))
 
@@ -180,7 +186,7 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, kind: str,
                 for x in lines.as_py():
                     if x["line"] < len(parts):
                         ns.append(x["n"])
-                        texts.append(normalised(parts[x["line"]]))
+                        texts.append(written(parts[x["line"]]))
             yield pa.RecordBatch.from_arrays([pa.array(ns, pa.int64()), pa.array(texts, pa.string())], ["n", "t"])
 
     # Rows of one id can differ; only the line with the wanted hash counts, and it is the same for all.
