@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecohort.llm import contamination, lines, mixing, packing, quality, recompression, secrets, simhash, sketches, tokenfiles
+from wavecohort.llm import contamination, lines, merkle, mixing, oracles, packing, periodic, quality, recompression, secrets, setjoin, simhash, sketches, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_jaccard_join": oracles.JACCARD, "op13_merkle_manifest": oracles.MERKLE}
 
 
 def register(fn):
@@ -105,3 +105,58 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the digest of the kept text of every document."""
     found = lines.deduplicate(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return setjoin.joined(table(spark, sf_dir, "documents"))
+
+
+def planted(doc_id: str = "doc_id", text: str = "text"):
+    """The text in which, for a tenth of the ids, the words from a place on repeat."""
+    h = F.crc32(F.col(doc_id).cast("string"))
+    g = F.floor(h / 10)
+
+    def repeat(w):
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " ")
+
+    words = F.regexp_extract_all(F.col(text), F.lit(f"({mixing.WORD})"), 1)
+    # One element, so that its words are found once.
+    again = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeat(w)).otherwise(F.lit(""))), 0)
+    return F.when(h % 10 == 0, again).otherwise(F.col(text))
+
+
+@register
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_runs, the run of the greatest exponent and the digests of runs and text of every document."""
+    found = periodic.collapse(table(spark, sf_dir, "documents").select("doc_id", planted().alias("text")))
+    # Different quotients of two numbers below 2^25 are different doubles; equal ones are equal.
+    rank = F.transform("runs", lambda r: F.struct((-(r["length"] / r["period"])).alias("e"), r["start"], r["period"], r["length"]))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("top", F.array_min(rank))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), F.col("top.length").alias("length"),
+        F.col("top.period").alias("period"), F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+
+
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@register
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every document."""
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    rows = docs.select("doc_id", "source", merkle.leaf([F.col(c) for c in LEAF]).alias("leaf"),
+                       F.when(chosen, merkle.leaf([F.col(c) if c != "text" else lowered for c in LEAF])).alias("tampered"))
+    found = merkle.manifest(rows, keep=["doc_id", "tampered"])
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    segments = F.array_join(F.transform("proof", lambda s: F.concat(s["left"], s["right"])), "")
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(segments, 256).alias("proof_sha256"), "folded_root",
+                        (F.col("folded_root") == F.col("root")).alias("verified"))

@@ -1,25 +1,60 @@
-"""Intermediate tables in the shared folder."""
+"""Intermediate tables in the shared folder, and scopes after which they are deleted."""
 
 from __future__ import annotations
 
-import gc
-import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from wavecohort.session import cut_lineage
+from wavecohort.session import cut_lineage, scratch_path
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written and read back, and its path; the shuffle files of the job go when it ends."""
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back.
+    """``df`` written to the shared folder and read back; what made it is no longer needed then.
 
-    What made it is no longer needed then.  The driver writes a plan of its own,
-    which nobody else holds, and collects its garbage, so that the shuffle files
-    of this stage are deleted and do not add up over the stages.
+    Inside ``scratch`` the table lives as long as the innermost scope.
     """
-    out = cut_lineage(df.select("*"), name)
-    for _ in range(2):  # what the first pass lets go of is found by the second
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    out, path = _written(df, name)
+    if scopes := _scopes.get():
+        scopes[-1].append(path)
+    return out
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """As ``stored``, for the result of a scope: it lives as long as the scope outside."""
+    out, path = _written(df, name)
+    if len(scopes := _scopes.get()) > 1:
+        scopes[-2].append(path)
     return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, what ``stored`` has written inside.  Nothing lazy that reads it may leave the scope."""
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        jvm = spark.sparkContext._jvm
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
