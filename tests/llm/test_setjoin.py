@@ -105,3 +105,13 @@ def test_short_lists_hold_every_partner():
             t = setjoin.needed(n, m)
             if t <= n:
                 assert t > n - setjoin.short(n) and t > m - setjoin.short(m)
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        a = np.unique(rng.integers(0, 1 << 60, 300).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 60, 20).astype(np.uint64)]))
+        p = setjoin.parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        bits = sum((int(x) ^ int(y)).bit_count() if (int(x) ^ int(y)) >= 0 else ((int(x) ^ int(y)) & (2**64 - 1)).bit_count() for x, y in zip(*p))
+        assert 0 < bits <= len(np.setxor1d(a, b))

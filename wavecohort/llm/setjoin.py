@@ -19,6 +19,10 @@ first every set of a list meets one star, the set with the least hash; what
 links is connected.  Then sets of one list meet in pairs only if they lie in
 different components still, and if their sizes and places in the lists leave
 room for T common shingles.  A pair inside one component changes nothing.
+
+Every set has 256 parity bits, one shingle flipping one of them.  Two sets that
+differ in d shingles differ in at most d bits, so pairs with more such bits than
+n + m - 2 T are no candidates.  This settles most near misses in the join.
 """
 
 from __future__ import annotations
@@ -44,6 +48,8 @@ PERCENT = 90
 BUCKETS = 1 << 20  # of the table of counts: 4 MB, whatever the data
 BLOCK = 1 << 12  # buckets in one row of the counts of a task
 BATCH = 128  # sets that meet a query at a time
+BITS = 1 << 23  # of the map of wanted sets: 1 MB
+PARITY = 4  # words of 64 parity bits
 MU = 0.0085  # share of the cost of a probe in the choice of the long lists
 
 
@@ -71,15 +77,29 @@ def _sets(column, size: int):
         yield low, high, s, cut, X.span_hashes(s, cut[:-1], cut[1:]).view(np.int64)
 
 
+PARITIES = [f"p{k}" for k in range(PARITY)]
+
+
+def parities(s: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """One row of ``PARITY`` words for each set: the parity of its shingles by 8 bits of their hashes."""
+    texts, bits = len(cut) - 1, 64 * PARITY
+    place = np.repeat(np.arange(texts), np.diff(cut)) * bits + (X.mix(s) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(place, minlength=texts * bits).astype(np.uint8) & 1
+    return np.packbits(odd).view("<i8").reshape(texts, PARITY)
+
+
 def _named(docs: DataFrame, kind: T.DataType, size: int) -> DataFrame:
-    """(id, n, node) of every row; node is the hash of its set, null for an empty one."""
+    """(id, n, node, parities) of every row; node is the hash of its set, null for an empty one."""
+    names = ["n", "node", *PARITIES]
+
     def run(batches):
         for b in batches:
-            for low, high, _, cut, node in _sets(b.column(1), size):
+            for low, high, s, cut, node in _sets(b.column(1), size):
                 n = np.diff(cut)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.array(n), pa.array(node, mask=n == 0)], ["id", "n", "node"])
+                bits = [pa.array(np.ascontiguousarray(c)) for c in parities(s, cut).T]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.array(n), pa.array(node, mask=n == 0), *bits], ["id", *names])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([T.StructField("id", kind), *[T.StructField(c, T.LongType()) for c in names]]))
 
 
 def _bucket(s: np.ndarray) -> np.ndarray:
@@ -159,11 +179,19 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCEN
 
 def _searched(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b) of those pairs whose sets are similar enough; a is the query."""
+    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+    marks = np.zeros(BITS, bool)
+    marks[wanted.select(F.pmod("node", F.lit(BITS)).alias("k")).distinct().toArrow().column(0).to_numpy()] = True
+    marks = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
     def once(batches):
         seen: set[int] = set()
+        some = np.unpackbits(marks.value).view(bool)
         for b in batches:
             for _, _, s, cut, node in _sets(b.column(0), size):
-                new = [k for k, x in enumerate(node.tolist()) if cut[k + 1] > cut[k] and not (x in seen or seen.add(x))]
+                # Most sets that nobody asks for stop here; the join drops the others.
+                asked = np.flatnonzero(some[node % BITS] & (np.diff(cut) > 0)).tolist()
+                new = [k for k in asked if not (int(node[k]) in seen or seen.add(int(node[k])))]
                 yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array([s[cut[k] : cut[k + 1]].tobytes() for k in new], pa.binary())], ["node", "s"])
 
     def search(batches):
@@ -177,7 +205,6 @@ def _searched(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                     keep += divide_skip(query, [np.frombuffer(x.as_py(), np.uint64) for x in b.column(3).slice(at, min(BATCH, hi - at))], percent)
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = docs.select("text").mapInArrow(once, "node long, s binary").join(wanted, "node", "left_semi")
     sets = stored(sets.groupBy("node").agg(F.min("s").alias("s")), "sets")
     found = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
@@ -185,26 +212,40 @@ def _searched(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return found.sortWithinPartitions("a").mapInArrow(search, "a long, b long")
 
 
-def _links(spark: SparkSession, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, root) of every set that is similar to another one."""
+def _fits(percent: int):
+    """Whether the sizes and the parity bits of a pair (n, p0.., n2, q0..) leave room for enough common shingles."""
+    least, most = F.least("n", "n2"), F.greatest("n", "n2")
+    differ = sum(F.bit_count(F.col(p).bitwiseXOR(F.col(p.replace("p", "q")))) for p in PARITIES)
+    return (100 * least >= percent * most) & (differ <= F.col("n") + F.col("n2") - 2 * _needed(percent))
+
+
+def _needed(percent: int):
+    return F.expr(f"({percent} * (n + n2) + {99 + percent}) div {100 + percent}")
+
+
+def _links(spark: SparkSession, docs: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, root) of every set that is similar to another one; ``known`` has node and parities."""
+    other = known.select(F.col("node").alias("node2"), *[F.col(p).alias(p.replace("p", "q")) for p in PARITIES])
     counts = spark.sparkContext.broadcast(_counted(docs, size))
     lists = stored(_short_lists(docs, size, percent, counts).dropDuplicates(["node", "token"]), "lists")
     met = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("star"), F.count("*").alias("size")).filter("size > 1")
     members = stored(lists.join(met.select("token", "size", "star.node", "star.n").toDF("token", "size", "star", "star_n"), "token"), "members")
-    fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    stars = members.filter((F.col("node") != F.col("star")) & fits("n", "star_n")).select(F.col("star").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stored(stars, "stars")
+    stars = members.filter((F.col("node") != F.col("star")) & (100 * F.least("n", "star_n") >= percent * F.greatest("n", "star_n"))).select(
+        "node", "n", F.col("star").alias("node2"), F.col("star_n").alias("n2")).distinct()
+    stars = stars.join(known, "node").join(other, "node2").filter(_fits(percent))
+    stars = stored(stars.select(F.col("node2").alias("a"), F.col("node").alias("b")), "stars")
     edges = stored(_searched(stars, docs, size, percent), "edges")
     part = components(edges)
     open_ = members.filter("size > 2").select("token", "node", "n", "at").join(part, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = stored(open_, "open")
     mixed = open_.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("token")
-    left = open_.join(mixed, "token")
-    right = left.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
+    left = stored(open_.join(mixed, "token").join(known, "node"), "apart")
+    right = left.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"),
+                        *[F.col(p).alias(p.replace("p", "q")) for p in PARITIES])
     # At the first list that a pair shares, no more than the rest of either set can be common.
-    need = F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent) - 1e-9)
-    room = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= need
-    rest = left.join(right, "token").filter((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & fits("n", "n2") & room)
+    room = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= _needed(percent)
+    apart = (F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2"))
+    rest = left.join(right.withColumnRenamed("token", "token2"), (F.col("token") == F.col("token2")) & apart & room & _fits(percent))
     rest = rest.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
@@ -227,8 +268,9 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = stored(_named(narrow, docs.schema[id_col].dataType, size), "names")
-    known = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
-    part = stored(known.join(_links(spark, narrow, size, percent), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    known = stored(rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), *[F.first(p).alias(p) for p in PARITIES]), "known")
+    found = _links(spark, narrow, known.select("node", *PARITIES), size, percent)
+    part = stored(known.select("node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     names = part.groupBy("root").agg(F.min("least").alias("component_id"))
     named = part.join(names, "root").select("node", "component_id")
     full = rows.filter("node is not null").join(named, "node").select("id", "n", "component_id")
