@@ -4,8 +4,8 @@ import pytest
 import corpus_pipeline
 from tests.llm import fixtures as D
 from tests.llm.test_contamination import brute as contaminated
+from tests.llm.test_jaccard import kept
 from tests.llm.test_mixing import count, plain_targets
-from tests.llm.test_near_duplicates import brute as near
 from tests.llm.test_tokens import tokenizer, want  # noqa: F401
 from wavecohort.llm.stored import stored
 
@@ -40,7 +40,7 @@ def test_classifier_keeps_good_documents(spark, sf, steps):
 
 
 def test_one_document_of_each_group_stays(steps):
-    assert sorted(i for i, _ in rows(steps[2])) == sorted({c for _, _, c in near(rows(steps[1]))})
+    assert sorted(i for i, _ in rows(steps[2])) == kept(rows(steps[1]))
 
 
 def test_contaminated_documents_go(spark, sf, steps):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavecohort.llm.stored import stored
+from wavecohort.llm.stored import kept, scratch, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,16 +19,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    pairs = stored(pairs, "edges")
-    before = None
-    while True:
-        pairs = stored(_star(_star(pairs, True), False), "star")
-        now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
-        if now == before:
-            break
-        before = now
-    roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    with scratch(edges.sparkSession):
+        pairs = stored(pairs, "edges")
+        before = None
+        while True:
+            pairs = stored(_star(_star(pairs, True), False), "star")
+            now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+            if now == before:
+                break
+            before = now
+        roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return kept(roots.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:

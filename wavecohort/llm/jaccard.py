@@ -1,8 +1,10 @@
 """Near copies of the corpus pipeline: Jaccard similarity of five-word shingles, verified.
 
-A 64-bit SimHash cannot find such pairs: at a similarity of 0.8 about ten bits
+Candidates come from two sources.  The trie join of SimHash fingerprints
+(``simhash``, here of five-word shingles) finds the copies within four bits.
+It cannot find all: at a similarity of 0.8 about ten bits
 differ, and a trie join with that budget visits nearly all pairs.  Candidates
-are therefore texts with one band of minimum hashes in common.  A pair at
+are therefore also texts with one band of minimum hashes in common.  A pair at
 similarity s shares none of ``BANDS`` bands with probability
 (1 - s^ROWS)^BANDS: 7e-5 at 0.8, less above.  Every candidate is verified on
 the whole shingle sets, and components follow in Spark.
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 from wavecohort.llm import simhash
 from wavecohort.llm import text as X
 from wavecohort.llm.components import components
-from wavecohort.llm.stored import stored
+from wavecohort.llm.stored import scratch, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -130,13 +132,26 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col: str, similarity: float
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
+def trie_pairs(docs: DataFrame, text_col: str) -> DataFrame:
+    """(a, b) of texts (by the hash of their words) whose fingerprints the trie join links; equal fingerprints are linked to the least text."""
+    texts = named(docs.select(F.col(text_col).cast("string").alias("_t")), ["_t"], "_t").filter("fp != 0").withColumnRenamed("fp", "node")
+    marked = stored(simhash.fingerprints(texts, ["node"], "_t", SHINGLE).distinct(), "marked")
+    known = stored(marked.groupBy("fp").agg(F.min("node").alias("least")), "marks")
+    top = max(4, int(np.ceil(np.log2(max(1, known.count()) / simhash.LEAVES))))
+    same = marked.join(known, "fp").filter("node != least").select("node", "least")
+    met = simhash.links(known, top)
+    met = met.join(known.toDF("a", "na"), "a").join(known.toDF("b", "nb"), "b").select("na", "nb")
+    pairs = same.union(met).toDF("a", "b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of every text (by the hash of its words) that is similar to another one."""
     keyed = stored(banded(docs, text_col).dropDuplicates(["fp"]), "bands").select("fp", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.min_by("fp", F.xxhash64("fp", "key")).alias("star"), F.count("*").alias("size")).filter("size > 1")
     members = stored(keyed.join(met, "key"), "members")
     stars = members.filter("fp != star").select(F.least("fp", "star").alias("a"), F.greatest("fp", "star").alias("b")).distinct()
-    stars = stored(stars, "stars")
+    stars = stored(stars.union(trie_pairs(docs, text_col)).distinct(), "stars")
     edges = stored(verified(stars, docs, text_col, similarity), "edges")
     part = components(edges)
     open_ = members.filter("size > 2").select("key", "fp").join(part.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -156,7 +171,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts without a word, null ones included, are copies of each other.
     """
-    rows = stored(named(docs, [id_col], text_col), "names")
-    known = stored(rows.groupBy("fp").agg(F.min(id_col).alias("_least")), "distinct")
-    of_fp = simhash.rooted(known, links(docs, text_col, similarity))
-    return simhash.one_of_each(docs, rows, of_fp, named, id_col, text_col)
+    with scratch(docs.sparkSession):
+        rows = stored(named(docs, [id_col], text_col), "names")
+        known = stored(rows.groupBy("fp").agg(F.min(id_col).alias("_least")), "distinct")
+        ids, nameless = simhash.chosen(rows, simhash.rooted(known, links(docs, text_col, similarity)), id_col)
+    return simhash.one_of_each(docs, ids, nameless, named, id_col, text_col)

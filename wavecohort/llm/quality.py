@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavecohort.llm import text as X
-from wavecohort.llm.stored import stored
+from wavecohort.llm.stored import scratch, stored
 
 KINDS = 9  # upper, lower, digit, beyond ASCII, stop, exclamation, bar, symbol, other
 WIDTH = 1 + 15 + KINDS * KINDS
@@ -189,16 +189,17 @@ def fit(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col:
     without a document, repeated and null ids change nothing.  Without any
     positive or any document the model is 0 and every score is 0.5.
     """
-    trusted = positives.select(F.col(id_col).alias("id")).filter("id is not null").distinct().withColumn("p", F.lit(1.0))
-    train = stored(feature_table(docs, id_col, text_col).join(trusted, "id", "left").select(
-        "x", F.coalesce("p", F.lit(0.0)).alias("positive")), "features")
-    got = _sums(train, lambda x, p: np.concatenate([[len(x), p.sum()], p @ x]), 2 + WIDTH)
-    n, n_pos = got[0], got[1]
-    if not n or not n_pos:
-        return np.zeros(WIDTH), START_PRIOR
-    mean_pos = got[2:] / n_pos
-    prior = _best_bin(train, _minimise(train, START_PRIOR, n, n_pos, mean_pos, steps), n, n_pos)
-    return _minimise(train, prior, n, n_pos, mean_pos, steps), prior
+    with scratch(docs.sparkSession):
+        trusted = positives.select(F.col(id_col).alias("id")).filter("id is not null").distinct().withColumn("p", F.lit(1.0))
+        train = stored(feature_table(docs, id_col, text_col).join(trusted, "id", "left").select(
+            "x", F.coalesce("p", F.lit(0.0)).alias("positive")), "features")
+        got = _sums(train, lambda x, p: np.concatenate([[len(x), p.sum()], p @ x]), 2 + WIDTH)
+        n, n_pos = got[0], got[1]
+        if not n or not n_pos:
+            return np.zeros(WIDTH), START_PRIOR
+        mean_pos = got[2:] / n_pos
+        prior = _best_bin(train, _minimise(train, START_PRIOR, n, n_pos, mean_pos, steps), n, n_pos)
+        return _minimise(train, prior, n, n_pos, mean_pos, steps), prior
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out_col: str = "score") -> DataFrame:

@@ -51,10 +51,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @register
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
+    """doc_id, size, source_size, target, taken of every document, and its parts with their shards and places."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     taken = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["words"])
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "parts")
 
 
 def tokenizer_path() -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from wavecohort.llm import text as X
 from wavecohort.llm.components import components
-from wavecohort.llm.stored import stored
+from wavecohort.llm.stored import kept, scratch, stored
 
 SEED = 42
 BITS = 64
@@ -232,8 +232,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their fingerprint, but never name it; a class of such rows alone is null.
     Equal rows give equal rows.  An empty table gives an empty result.
     """
-    rows = stored(fingerprints(docs, [id_col], text_col, size), "fingerprints")
-    return rows.join(classes(rows, id_col, leaves), "fp").select(id_col, "fp", "component_id")
+    with scratch(docs.sparkSession):
+        rows = kept(fingerprints(docs, [id_col], text_col, size), "fingerprints")
+        found = kept(classes(rows, id_col, leaves), "classes")
+    return rows.join(found, "fp").select(id_col, "fp", "component_id")
 
 
 def classes(rows: DataFrame, id_col: str, leaves: int = LEAVES) -> DataFrame:
@@ -256,26 +258,33 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def marks(df, keep, col):
         return fingerprints(df, keep, col, size)
 
-    rows = stored(marks(docs, [id_col], text_col), "fingerprints")
-    return one_of_each(docs, rows, classes(rows, id_col), marks, id_col, text_col)
+    with scratch(docs.sparkSession):
+        rows = stored(marks(docs, [id_col], text_col), "fingerprints")
+        named, nameless = chosen(rows, classes(rows, id_col), id_col)
+    return one_of_each(docs, named, nameless, marks, id_col, text_col)
 
 
-def one_of_each(docs: DataFrame, rows: DataFrame, of_fp: DataFrame, marks, id_col: str, text_col: str) -> DataFrame:
-    """The row with the class's id of each class; ``rows`` and ``marks(docs, keep, text_col)`` have the fp, ``of_fp`` its class.
+def chosen(rows: DataFrame, of_fp: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(ids that name their class, (fp, root) of classes without an id), for ``one_of_each``; they outlive the scope."""
+    of_fp = stored(of_fp, "classes")
+    named = rows.join(of_fp, "fp").filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    return kept(named, "named"), kept(of_fp.filter("component_id is null").select("fp", "root"), "nameless")
+
+
+def one_of_each(docs: DataFrame, named: DataFrame, of_fp: DataFrame, marks, id_col: str, text_col: str) -> DataFrame:
+    """The row with the class's id of each class; ``marks(docs, keep, text_col)`` has the fp, ``named`` and ``of_fp`` are ``chosen``.
 
     Of several rows with that id the one with the least hash of all columns
     stays.  A class of rows without id keeps one row in the same way; in other
     classes rows without id go.
     """
-    of_fp = stored(of_fp, "classes")
-    named = rows.join(of_fp, "fp").filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     # Whole rows travel as one column, so that none of their names can clash.
     boxed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_body"))
     order = F.xxhash64("_row")
     turn = F.row_number().over(Window.partitionBy("_id").orderBy(order))
-    kept = boxed.join(named.withColumnRenamed(id_col, "_id"), "_id", "left_semi").withColumn("_turn", turn)
+    first = boxed.join(named.withColumnRenamed(id_col, "_id"), "_id", "left_semi").withColumn("_turn", turn)
     nameless = marks(boxed.filter("_id is null"), ["_row"], "_body")
-    nameless = nameless.join(of_fp.filter("component_id is null").select("fp", "root"), "fp")
+    nameless = nameless.join(of_fp, "fp")
     nameless = nameless.withColumn("_turn", F.row_number().over(Window.partitionBy("root").orderBy(order)))
-    both = kept.filter("_turn = 1").select("_row").union(nameless.filter("_turn = 1").select("_row"))
+    both = first.filter("_turn = 1").select("_row").union(nameless.filter("_turn = 1").select("_row"))
     return both.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

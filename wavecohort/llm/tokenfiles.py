@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
 import zlib
 
 import numpy as np
@@ -32,6 +31,7 @@ FILE_IDS = 1 << 22
 CACHE = 500_000  # pieces a task keeps
 LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
 STOP = np.array([chr(b) in ",.;:!?" for b in range(256)])
+SPACE_LEAD = np.array([9 <= b <= 13 or 28 <= b <= 32 or b in (0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
 SLICE = 1 << 21  # bytes of text handled at a time
 TEXTS = 64  # strings given to the tokenizer at a time
 JOINED = 256  # pieces in one string
@@ -61,9 +61,9 @@ class Encoder:
             spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") is True
             and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE")
         special = [re.escape(t["content"].encode()) for t in spec.get("added_tokens", [])]
-        # White space, as the tokenizer sees it, after a space.
-        space = rb"[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
-        self.whole = re.compile(b"|".join([b" (?:" + space + b")", *special]))
+        # White space, as the tokenizer sees it; longer than one byte where the first is 0xc2 or 0xe1 to 0xe3.
+        self.space = re.compile(rb"[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+        self.special = re.compile(b"|".join(special)) if special else None
         # In the byte-level alphabet one character of a token is one byte.
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
@@ -115,7 +115,10 @@ class Encoder:
         n, body = len(offsets) - 1, data.tobytes()
         alone = np.ones(n, bool)
         if self.pieces:
-            found = np.fromiter((m.start() for m in self.whole.finditer(body)), np.int64)
+            after = SPACE_LEAD[data[1:]] & (data[:-1] == 32)
+            found = np.array([k for k in np.flatnonzero(after).tolist() if self.space.match(body, k + 1)], np.int64)
+            if self.special:
+                found = np.append(found, [m.start() for m in self.special.finditer(body)]).astype(np.int64)
             alone = np.zeros(n, bool)
             alone[np.searchsorted(offsets, found, "right") - 1] = True
             filled = np.flatnonzero(np.diff(offsets) > 0)
@@ -164,12 +167,25 @@ class Encoder:
         return ids, np.bincount(doc[order], weights=size, minlength=n).astype(np.int64)
 
 
-def known_pieces(path: str) -> dict:
-    """What this process knows of a tokenizer's pieces: tasks that a worker runs one after another share it.
+KNOWN = ("h1", "h2", "low", "size", "ids")
+SAMPLE = 2_000  # rows
 
-    Arrays of at most about ``CACHE`` pieces stay; the tokenizer itself goes with its task.
+
+def frequent_pieces(docs: DataFrame, tokenizer: str) -> dict[str, np.ndarray]:
+    """Pieces of at most ``SAMPLE`` rows with their ids, which every task starts from.
+
+    They save work and decide nothing: a piece that is not among them is learned by the task that meets it.
     """
-    return vars(sys).setdefault("_known_pieces", {}).setdefault(path, {})
+    def run(batches):
+        encoder = Encoder(tokenizer)
+        for b in batches:
+            for _, _, data, offsets in X.slices(X.plain(b.column(0)), SLICE):
+                encoder(data, offsets)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k in KNOWN]), pa.array([getattr(encoder, k).tobytes() for k in KNOWN])], ["name", "value"])
+
+    kinds = {k: v.dtype for k, v in zip(KNOWN, [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.uint32)])}
+    rows = docs.select("_text").limit(SAMPLE).coalesce(1).mapInArrow(run, "name string, value binary").collect()
+    return {r["name"]: np.frombuffer(r["value"], kinds[r["name"]]) for r in rows}
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -192,7 +208,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     def run(batches):
         part = TaskContext.get().partitionId()
         encoder = Encoder(tokenizer)
-        vars(encoder).update(known_pieces(tokenizer))
+        vars(encoder).update(known.value)
         fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
         ids, counts, names, nulls = [], [], [], []
@@ -231,9 +247,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
                     yield flush()
         if names:
             yield flush()
-        known_pieces(tokenizer).update({k: getattr(encoder, k) for k in ("h1", "h2", "low", "size", "ids")})
 
     narrow = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    known = docs.sparkSession.sparkContext.broadcast(frequent_pieces(narrow, tokenizer))
     ordered = narrow.repartitionByRange("_id").sortWithinPartitions("_id", "_text")
     return stored(ordered.mapInArrow(run, "part int, file string, n_docs long, n_ids long"), "manifest")
 
