@@ -47,6 +47,7 @@ SIZE = 3
 PERCENT = 90
 BUCKETS = 1 << 20  # of the table of counts: 4 MB, whatever the data
 BLOCK = 1 << 12  # buckets in one row of the counts of a task
+SMALL = 500_000  # pairs that are broadcast at most, 16 bytes each
 BATCH = 128  # sets that meet a query at a time
 BITS = 1 << 23  # of the map of wanted sets: 1 MB
 PARITY = 4  # words of 64 parity bits
@@ -179,7 +180,9 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCEN
 
 def _searched(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b) of those pairs whose sets are similar enough; a is the query."""
+    pairs = stored(pairs, "pairs")
     wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+    small = pairs.count() <= SMALL
     marks = np.zeros(BITS, bool)
     marks[wanted.select(F.pmod("node", F.lit(BITS)).alias("k")).distinct().toArrow().column(0).to_numpy()] = True
     marks = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
@@ -205,9 +208,9 @@ def _searched(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                     keep += divide_skip(query, [np.frombuffer(x.as_py(), np.uint64) for x in b.column(3).slice(at, min(BATCH, hi - at))], percent)
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = docs.select("text").mapInArrow(once, "node long, s binary").join(wanted, "node", "left_semi")
+    sets = docs.select("text").mapInArrow(once, "node long, s binary").join(F.broadcast(wanted) if small else wanted, "node", "left_semi")
     sets = stored(sets.groupBy("node").agg(F.min("s").alias("s")), "sets")
-    found = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    found = (F.broadcast(pairs) if small else pairs).join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     found = found.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
     return found.sortWithinPartitions("a").mapInArrow(search, "a long, b long")
 

@@ -16,7 +16,14 @@ SLICE = 1 << 21
 BASE = 0x9E3779B97F4A7C15
 BASE2 = 0xD6E8FEB86659FD93
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+class Cache(dict):
+    """A dict that travels empty: functions go to tasks by value, with what they refer to."""
+
+    def __reduce__(self):
+        return Cache, ()
+
+
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = Cache()
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
