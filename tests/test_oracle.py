@@ -10,7 +10,7 @@ from wavecohort.catalog import views
 QUERIES = {n: f for n, f in entry.queries().items() if n in views.QUERIES}
 SQL = {n: s for n, s in entry.oracle_sql().items() if n in views.ORACLE}
 # Fitted by repeated MLlib jobs; slow and covered by test_models.
-SLOW = {"svm_rbf", "svm_cost", "svm_platt", "cv_grid_mllib", "grid_search_forest", "grid_search_svm"}
+SLOW = {"svm_rbf", "svm_cost", "svm_platt"}
 
 
 @pytest.fixture(scope="module")

@@ -6,6 +6,9 @@ components) the query is checked by it; the rest is covered by unit tests.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavecohort.catalog import views as V
@@ -344,7 +347,8 @@ def cv_grid(spark, sf):
 
 @register("cv_grid_mllib")
 def cv_grid_mllib(spark, sf):
-    p = cv.cv_grid(V.signals(spark, sf), ["10200X"], ["SVM-RBF", "RandomForest"], "y", V.CLASSES, FOREST, k=2, repeats=1)
+    """The kernel and forest half of the grid: 4 recipes x 2 classifiers x 2 repeats x 5 folds."""
+    p = cv.cv_grid(V.signals(spark, sf), RECIPES, ["SVM-RBF", "RandomForest"], "y", V.CLASSES, PUBLISHED, k=5, repeats=2)
     return scored(p, "recipe", "classifier", "repeat", "fold", *KEEP)
 
 
@@ -354,10 +358,32 @@ def cv_summary(spark, sf):
     return S.summarize(S.fold_metrics(cut_lineage(embedding_cv(spark, sf)), V.CLASSES))
 
 
+# The recipes, classifiers and settings of the published grid.
+RECIPES = ["10200X", "10210X", "10220X", "11220X"]
+FOUR = ["PCA-LDA", "PLS-DA", "SVM-RBF", "RandomForest"]
+PUBLISHED = {"pca_max_components": 20, "rf_ntrees": 100, "rf_min_leaf_size": 5, "rf_max_depth": 30}
+
+
+def published_cv(spark, sf):
+    """The whole published grid: 4 recipes x 4 classifiers x 10 repeats x 5 folds, 800 fits."""
+    return cut_lineage(cv.cv_grid(V.signals(spark, sf), RECIPES, FOUR, "y", V.CLASSES, PUBLISHED, k=5, repeats=10))
+
+
 @register("cv_flagship")
 def cv_flagship(spark, sf):
-    """The whole linear half of the published grid: 4 recipes x 2 classifiers x 10 repeats x 5 folds, 400 fits."""
-    return S.summarize(S.fold_metrics(cut_lineage(embedding_cv(spark, sf, repeats=10)), V.CLASSES))
+    """The published grid, summarised per configuration."""
+    return S.summarize(S.fold_metrics(published_cv(spark, sf), V.CLASSES))
+
+
+@register("cv_flagship_coverage", f"""SELECT recipe, classifier, CAST(repeat AS BIGINT) AS repeat, count(*) AS n, count(DISTINCT signal_id) AS n_signals,
+    CAST(5 AS BIGINT) AS n_folds, CAST(sum(CASE WHEN y = 3 THEN 1 ELSE 0 END) AS BIGINT) AS n_positive, CAST(0 AS BIGINT) AS n_improper
+    FROM (SELECT signal_id, y FROM {{signals}}), (SELECT unnest({RECIPES!r}) AS recipe), (SELECT unnest({FOUR!r}) AS classifier), range(1, 11) t(repeat) GROUP BY ALL""")
+def cv_flagship_coverage(spark, sf):
+    """Each signal has one prediction per repeat and configuration of the published grid, with scores that sum to 1."""
+    total = F.aggregate("scores", F.lit(0.0), lambda a, b: a + b)
+    return published_cv(spark, sf).groupBy("recipe", "classifier", "repeat").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("signal_id").alias("n_signals"), F.countDistinct("fold").alias("n_folds"),
+        F.sum((F.col("y_true") == 3).cast("long")).alias("n_positive"), F.sum((F.abs(total - 1) > 1e-9).cast("long")).alias("n_improper"))
 
 
 @register("fold_leaks", """SELECT CAST(1 AS BIGINT) AS repeat, CAST(k AS BIGINT) AS fold, CAST(0 AS BIGINT) AS n_leaked, (SELECT count(*) FROM embeddings) AS n_rows FROM range(1, 6) t(k)""")
@@ -384,17 +410,21 @@ def grid_search(spark, sf):
 
 @register("grid_search_forest")
 def grid_search_forest(spark, sf):
-    return tuning.grid_search(V.signals(spark, sf), "RandomForest", "10200X", "y", V.CLASSES, {"rf_ntrees": (10, 20)}, {"rf_max_depth": 5})
+    """All 16 points; one forest for each fold holds them."""
+    return tuning.grid_search(V.signals(spark, sf), "RandomForest", "10200X", "y", V.CLASSES)
 
 
 @register("grid_search_svm")
 def grid_search_svm(spark, sf):
-    return tuning.grid_search(V.signals(spark, sf), "SVM-RBF", "10200X", "y", V.CLASSES, {"svm_C": (1.0,), "svm_gamma": (0.01, 0.1)}, {"max_iter": 30})
+    """All 81 points; the penalties of a kernel scale share its random features."""
+    return tuning.grid_search(V.signals(spark, sf), "SVM-RBF", "10200X", "y", V.CLASSES)
 
 
 @register("tune_ranges")
 def tune_ranges(spark, sf):
-    return tuning.grid_search(V.signals(spark, sf), "PCA-LDA", "10200X", "y", V.CLASSES, tuning.WIDE_GRIDS["PCA-LDA"])
+    """All four wide grids, each with its best point."""
+    parts = [tuning.grid_search(V.signals(spark, sf), c, "10200X", "y", V.CLASSES, grid).withColumn("searched", F.lit(c)) for c, grid in tuning.WIDE_GRIDS.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 SPLIT_LINES = f"{LINES}, tr AS (SELECT * FROM l WHERE {TRAIN}), te AS (SELECT * FROM l WHERE NOT ({TRAIN}))"

@@ -2,8 +2,9 @@
 
 Linear classifiers: one pass gathers moments per (repeat, fold, class), from
 which every recipe and fold is fitted; a second pass scores each signal with the
-models that did not see its group.  MLlib classifiers: one fit per recipe and
-fold, submitted from a few threads.
+models that did not see its group.  Kernel machines and forests: one task fits
+all recipes and settings of a fold (``blocks``).  Other MLlib classifiers: one
+fit per recipe and fold, submitted from a few threads.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from wavecohort.models.linear import LinearModel, Stats
 from wavecohort.operators.folds import fold_arrays, leaked_groups, stratified_group_folds
 from wavecohort.operators.moments import moments
 from wavecohort.operators.sets import join_null_safe
+from wavecohort.plans import blocks
 from wavecohort.plans.recipes import FittedRecipe, Recipe, signal_width
 from wavecohort.session import cut_lineage, scratch_path
 
@@ -130,7 +132,9 @@ def cv_variants(signals: DataFrame, recipes: Sequence[str], variants: Sequence[V
     parts = []
     if models:
         parts.append(score_rows(rows, models, keep, label, classes, features, fold_array="folds"))
-    if other:
+    if batch := [v for v in other if blocks.taken(v)]:
+        parts.append(blocks.fold_predictions(rows, batch, label, classes, keep, features, scales, width))
+    if other := [v for v in other if not blocks.taken(v)]:
         parts.append(_mllib_folds(rows, other, label, classes, keep, features, scales, width, threads))
     return reduce(DataFrame.unionByName, parts)
 
