@@ -1,5 +1,6 @@
 """Worked examples with known answers."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,29 @@ def test_vote_tie_uses_mean_probability(spark):
     assert got["pred_label"] == 1 and got["confidence"] == .5
     df = preds(spark, "33", "13", [.45, .9], [7, 7])
     assert one(M.vote_rollup(df, [], "group_id"))["pred_label"] == 3
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_replicates_equal_weighted_auc(spark, partitions):
+    """Vectors over ranges give what one weighted AUC for each replicate gives; ties, nulls and NaN included."""
+    rng = np.random.default_rng(4)
+    s = [None if k % 17 == 0 else float("nan") if k % 29 == 0 else float(rng.integers(0, 12)) if k % 3 else 5.0 for k in range(400)]
+    rows = [(k, None if k % 41 == 0 else bool(rng.random() < 0.4), v) for k, v in enumerate(s)]
+    df = spark.createDataFrame(rows, "id long, hit boolean, s double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = {r.replicate: r.auc for r in M.auc_replicates(df, ["id"], "s", F.col("hit"), 9).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    plain = M.auc(M.bootstrap_weights(df, ["id"], 9), ["replicate"], "s", F.col("hit"), weight=F.col("weight").cast("double"))
+    want = {r.replicate: r.auc for r in plain.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_replicates_of_one_class_or_no_rows(spark):
+    df = spark.createDataFrame([(k, True, 1.0) for k in range(5)], "id long, hit boolean, s double")
+    assert {r.auc for r in M.auc_replicates(df, ["id"], "s", F.col("hit"), 4).collect()} == {None}
+    assert M.auc_replicates(df.limit(0), ["id"], "s", F.col("hit"), 4).collect() == []

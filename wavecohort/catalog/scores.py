@@ -294,19 +294,19 @@ def poisson_sql() -> str:
 
 
 BOOT = f"""b AS (SELECT y_true, score, CAST(blk*4 + i + 1 AS BIGINT) AS replicate,
-      CAST('0x' || substr(md5('42:'||order_id||':'||line_no||':'||sample_id||':'||group_id||':'||blk), 8*i + 1, 8) AS BIGINT) / 4294967296.0 AS u FROM {{preds}}, range(0, 2) x(blk), range(0, 4) y(i)),
-    w AS (SELECT y_true, score, replicate, {poisson_sql()} AS w FROM b WHERE replicate <= 8), {sql_auc('w', ['replicate'], 'score', 'y_true = 3', weight='w')}"""
+      CAST('0x' || substr(md5('42:'||order_id||':'||line_no||':'||sample_id||':'||group_id||':'||blk), 8*i + 1, 8) AS BIGINT) / 4294967296.0 AS u FROM {{preds}}, range(0, 50) x(blk), range(0, 4) y(i)),
+    w AS (SELECT y_true, score, replicate, {poisson_sql()} AS w FROM b WHERE replicate <= 200), {sql_auc('w', ['replicate'], 'score', 'y_true = 3', weight='w')}"""
 IDENT = ["order_id", "line_no", "sample_id", "group_id"]
 
 
 @register("auc_replicates", f"WITH {BOOT} SELECT replicate, {R('auc', 'auc')} FROM auc")
 def auc_replicates(spark, sf):
-    return rounded(M.auc_replicates(V.preds(spark, sf), IDENT, "score", F.col("y_true") == 3, 8), "auc")
+    return rounded(M.auc_replicates(V.preds(spark, sf), IDENT, "score", F.col("y_true") == 3), "auc")
 
 
 @register("auc_bootstrap_ci", f"WITH {BOOT} SELECT {R('avg(auc)', 'auc_mean')}, {R('quantile_cont(auc, 0.025)', 'ci_low')}, {R('quantile_cont(auc, 0.975)', 'ci_high')} FROM auc")
 def auc_bootstrap_ci(spark, sf):
-    return doubles(M.auc_bootstrap_ci(V.preds(spark, sf), IDENT, "score", F.col("y_true") == 3, 8))
+    return doubles(M.auc_bootstrap_ci(V.preds(spark, sf), IDENT, "score", F.col("y_true") == 3))
 
 
 @register("misclassified", "SELECT order_id, line_no, y_true, y_pred FROM {preds} WHERE y_true <> y_pred")

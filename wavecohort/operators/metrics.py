@@ -7,9 +7,13 @@ which combine map-side.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -396,12 +400,134 @@ def bootstrap_weights(df: DataFrame, ident: Sequence[str], n: int, seed: int = 4
     )
 
 
+def _poisson_bounds() -> np.ndarray:
+    """32-bit uniforms below entry k, and not below entry k - 1, give a Poisson(1) weight of k; see ``_poisson_one``."""
+    total, p, out = 0.0, math.exp(-1.0), []
+    for k in range(13):
+        total += p
+        if (bound := math.ceil(total * 2**32)) >= 2**32:
+            break
+        out.append(bound)
+        p /= k + 1
+    return np.array(out, np.uint32)
+
+
+def replicate_weights(texts: Sequence[str], n: int) -> np.ndarray:
+    """(rows, n) weights, those of ``bootstrap_weights`` for rows whose seed and ids make ``texts``."""
+    blocks = [f"{b}".encode() for b in range(-(-n // 4))]
+    body = bytearray()
+    for t in texts:
+        start = hashlib.md5(f"{t}:".encode())
+        for b in blocks:
+            h = start.copy()
+            h.update(b)
+            body += h.digest()
+    draws = np.frombuffer(bytes(body), ">u4").reshape(len(texts), 4 * len(blocks))[:, :n]
+    return np.searchsorted(_poisson_bounds(), draws.astype(np.uint32), "right").astype(np.float64)
+
+
+class _Run:
+    """Ties of one partition in order of the score: (key, positives, negatives) of the first and the last, the rest added up."""
+
+    def __init__(self, n: int):
+        self.first = self.last = None
+        self.pos, self.neg, self.wins = np.zeros(n), np.zeros(n), np.zeros(n)
+
+    def add(self, keys: list, pos: np.ndarray, neg: np.ndarray) -> None:
+        if self.last and self.last[0] == keys[0]:
+            pos[0] += self.last[1]
+            neg[0] += self.last[2]
+        elif self.last:
+            self._inner(self.last[1][None], self.last[2][None])
+        elif self.first and self.first[0] == keys[0]:
+            self.first = (keys[0], self.first[1] + pos[0], self.first[2] + neg[0])
+            keys, pos, neg = keys[1:], pos[1:], neg[1:]
+        elif not self.first:
+            self.first = (keys[0], pos[0], neg[0])
+            keys, pos, neg = keys[1:], pos[1:], neg[1:]
+        if len(keys):
+            self._inner(pos[:-1], neg[:-1])
+            self.last = (keys[-1], pos[-1].copy(), neg[-1].copy())
+
+    def _inner(self, pos: np.ndarray, neg: np.ndarray) -> None:
+        below = self.neg + np.cumsum(neg, axis=0) - neg
+        self.wins += (pos * (below + neg / 2.0)).sum(axis=0)
+        self.pos += pos.sum(axis=0)
+        self.neg += neg.sum(axis=0)
+
+    def rows(self):
+        """(key, positives, negatives, wins) in order; a key of None stands for several."""
+        out = [(*self.first, None)] if self.first else []
+        return out + ([(None, self.pos, self.neg, self.wins), (*self.last, None)] if self.last else [])
+
+
 def auc_replicates(preds: DataFrame, ident: Sequence[str], score: str, positive: Column, n: int = 200,
                    seed: int = 42) -> DataFrame:
-    slim = preds.select(*ident, F.col(score).alias("_s"), positive.alias("_pos"))
-    weighted = bootstrap_weights(slim, ident, n, seed)
-    # weights are summed per (replicate, score, side) before anything is shuffled
-    return auc(weighted, ["replicate"], "_s", F.col("_pos"), weight=F.col("weight").cast("double"))
+    """(replicate, auc) over ``n`` Poisson resamples of the rows; NULL where a side is empty.
+
+    A row is shuffled once, whatever ``n`` is: slim rows are sorted by range of
+    the score, ties spread by a hash, and all weights of a row are drawn where
+    it arrives.  A partition adds up vectors over the replicates and gives its
+    first tie, its last tie and the sum of what lies between; these few vectors
+    per partition meet in one task.
+    """
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ident])
+    slim = preds.select(text.alias("_t"), F.col(score).cast("double").alias("_s"), positive.cast("int").alias("_p"))
+    # NULL scores come first and NaN last, as everywhere in Spark.
+    ordered = slim.repartitionByRange("_s", F.xxhash64("_t")).sortWithinPartitions("_s")
+    names = ["part", "seg", "null", "score", "pos", "neg", "wins"]
+    vectors = lambda rows: pa.array([None if v is None else v.tolist() for v in rows], pa.list_(pa.float64()))
+
+    def add_up(batches):
+        run, part = _Run(n), TaskContext.get().partitionId()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                s, null = b.column(1).fill_null(0.0).to_numpy(), b.column(1).is_null().to_numpy(zero_copy_only=False)
+                p = b.column(2).fill_null(-1).to_numpy()
+                w = replicate_weights(b.column(0).to_pylist(), n)
+                same = (null[1:] & null[:-1]) | (~null[1:] & ~null[:-1] & ((s[1:] == s[:-1]) | (np.isnan(s[1:]) & np.isnan(s[:-1]))))
+                start = np.append(0, np.flatnonzero(~same) + 1)
+                keys = [(bool(null[k]), "nan" if np.isnan(s[k]) else float(s[k])) for k in start.tolist()]
+                run.add(keys, np.add.reduceat(w * (p == 1)[:, None], start, axis=0), np.add.reduceat(w * (p == 0)[:, None], start, axis=0))
+        rows = run.rows()
+        key = [r[0] for r in rows]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part] * len(rows), pa.int32()), pa.array(list(range(len(rows))), pa.int32()), pa.array([k and k[0] for k in key], pa.bool_()),
+             pa.array([k and (np.nan if k[1] == "nan" else k[1]) for k in key], pa.float64()), *[vectors([r[i] for r in rows]) for i in (1, 2, 3)]], names)
+
+    def meet(batches):
+        tie, pos, neg, wins = None, np.zeros(n), np.zeros(n), np.zeros(n)
+
+        def close():
+            nonlocal pos, neg, wins, tie
+            if tie:
+                wins = wins + tie[1] * (neg + tie[2] / 2.0)
+                pos, neg, tie = pos + tie[1], neg + tie[2], None
+
+        for b in batches:
+            for r in b.to_pylist():
+                a, z = np.array(r["pos"]), np.array(r["neg"])
+                if r["null"] is None:
+                    close()
+                    wins = wins + np.array(r["wins"]) + a * neg
+                    pos, neg = pos + a, neg + z
+                    continue
+                key = (r["null"], "nan" if np.isnan(r["score"]) else r["score"])
+                if tie and tie[0] == key:
+                    tie = (key, tie[1] + a, tie[2] + z)
+                else:
+                    close()
+                    tie = (key, a, z)
+        close()
+        pairs = pos * neg
+        live = np.flatnonzero(pos + neg > 0)
+        auc = [float(wins[i] / pairs[i]) if pairs[i] else None for i in live]
+        yield pa.RecordBatch.from_arrays([pa.array(live + 1, pa.int64()), pa.array(auc, pa.float64())], ["replicate", "auc"])
+
+    shape = "part int, seg int, null boolean, score double, pos array<double>, neg array<double>, wins array<double>"
+    few = ordered.mapInArrow(add_up, shape).repartition(1).sortWithinPartitions("part", "seg")
+    return few.mapInArrow(meet, "replicate long, auc double")
 
 
 def auc_bootstrap_ci(preds: DataFrame, ident: Sequence[str], score: str, positive: Column, n: int = 200,
