@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from wavecohort.llm import simhash
 from wavecohort.llm import text as X
 from wavecohort.llm.components import components
+from wavecohort.llm.simhash import fingerprint
 from wavecohort.llm.stored import scratch, stored
 
 SHINGLE = 5
@@ -134,8 +135,18 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col: str, similarity: float
 
 def trie_pairs(docs: DataFrame, text_col: str) -> DataFrame:
     """(a, b) of texts (by the hash of their words) whose fingerprints the trie join links; equal fingerprints are linked to the least text."""
-    texts = named(docs.select(F.col(text_col).cast("string").alias("_t")), ["_t"], "_t").filter("fp != 0").withColumnRenamed("fp", "node")
-    marked = stored(simhash.fingerprints(texts, ["node"], "_t", SHINGLE).distinct(), "marked")
+    def run(batches):
+        seen: set[int] = set()
+        for b in batches:
+            column = X.plain(b.column(0))
+            for low, _, h, first in _texts(column):
+                nodes = _names(h, first).tolist()
+                new = [k for k, x in enumerate(nodes) if x and not (x in seen or seen.add(x))]
+                fp = np.array([fingerprint(column[low + k].as_buffer().to_pybytes(), SHINGLE) for k in new], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in new], pa.int64()), pa.array(fp.view(np.int64))], ["node", "fp"])
+
+    marked = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "node long, fp long")
+    marked = stored(marked.distinct(), "marked")
     known = stored(marked.groupBy("fp").agg(F.min("node").alias("least")), "marks")
     top = max(4, int(np.ceil(np.log2(max(1, known.count()) / simhash.LEAVES))))
     same = marked.join(known, "fp").filter("node != least").select("node", "least")

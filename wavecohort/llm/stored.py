@@ -10,19 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wavecohort.session import cut_lineage, scratch_path
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a table is written: shuffle files go with their job, and Python workers get texts in batches of bounded size.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written and read back, and its path; the shuffle files of the job go when it ends."""
     spark = df.sparkSession
-    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    path, before = scratch_path(spark, name), {k: spark.conf.get(k) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         df.select("*").write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path), path
 
 
