@@ -232,6 +232,24 @@ def test_within_sample_distance(spark):
     assert [i for i, r in got.items() if r.is_outlier] == [7]
 
 
+def test_within_sample_distance_by_rows_equals_that_by_moments(spark):
+    sizes = {None: 5, 0: 2, 1: 9, 2: 40, 3: 1}  # fewer and more signals than points, too few, a null sample
+    rows = [(k, 100 * i + j, [float(v) for v in rng.normal(size=12)], j % 4 != 0) for i, (k, n) in enumerate(sizes.items()) for j in range(n)]
+    df = spark.createDataFrame(rows, "sample_id long, signal_id long, features array<double>, fine boolean")
+    by_rows, by_moments = ({r.signal_id: r for r in O.mahalanobis_within(df, "sample_id", ["signal_id"], gather=g).collect()} for g in (10**6, 0))
+    assert len(by_rows) == len(by_moments) == len(rows)
+    for i, r in by_rows.items():
+        assert r.d2 == pytest.approx(by_moments[i].d2, abs=1e-6)
+        assert (r.n_components, r.is_outlier) == (by_moments[i].n_components, by_moments[i].is_outlier)
+    part = {r.signal_id: r for r in O.mahalanobis_within(df, "sample_id", ["signal_id"], among=df["fine"]).collect()}
+    alone = {r.signal_id: r for r in O.mahalanobis_within(df.where("fine"), "sample_id", ["signal_id"]).collect()}
+    for k, i, _, fine in rows:
+        if fine:
+            assert part[i].d2 == pytest.approx(alone[i].d2, abs=1e-9)
+        else:
+            assert part[i].d2 is None and part[i].is_outlier is False
+
+
 def test_t2_q_and_class_outliers(spark):
     x = rng.normal(size=(200, 6)) * [5, 4, 3, 1, .1, .1]
     x[3] += [60, 0, 0, 0, 30, 0]

@@ -264,7 +264,7 @@ def fitted(name, classifier, config=None, penalty=None):
         return scored(model.predict(test, KEEP, "y"), *KEEP)
 
 
-FOREST = {"rf_ntrees": 30, "rf_min_leaf_size": 5, "rf_max_depth": 8}
+FOREST = {"rf_ntrees": 100, "rf_min_leaf_size": 5}
 fitted("svm_rbf", "SVM-RBF")
 fitted("svm_cost", "SVM-RBF", penalty=5.0)
 fitted("svm_platt", "SVM-RBF", {"svm_platt": True})
@@ -464,6 +464,17 @@ def mahalanobis_within_sum(spark, sf):
     return d.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_components").alias("n_components"), r6(F.sum("d2")).alias("total"))
 
 
+@register("mahalanobis_within_plane", """WITH m AS (SELECT group_id, count(*) AS n, avg(features[1]) AS ma, avg(features[2]) AS mb, var_samp(features[1]) AS va,
+    var_samp(features[2]) AS vb, covar_samp(features[1], features[2]) AS ab FROM {signals} GROUP BY group_id),
+    d AS (SELECT group_id, signal_id, n, CASE WHEN n > 2 THEN (vb*(features[1]-ma)^2 - 2*ab*(features[1]-ma)*(features[2]-mb) + va*(features[2]-mb)^2) / (va*vb - ab*ab)
+    ELSE 0 END AS d2 FROM {signals} JOIN m USING (group_id))
+    SELECT group_id, signal_id, round(d2, 6) + 0.0 AS d2, CAST(CASE WHEN n > 2 THEN 2 ELSE 0 END AS BIGINT) AS n_components, d2 > 9.21034 AS is_outlier FROM d""")
+def mahalanobis_within_plane(spark, sf):
+    """Distances in the plane of the first two points, where SQL has the inverse."""
+    plane = V.signals(spark, sf).withColumn("features", F.slice("features", 1, 2))
+    return rounded(O.mahalanobis_within(plane, "group_id", ["group_id", "signal_id"]), "d2")
+
+
 @register("mahalanobis_by_class")
 def mahalanobis_by_class(spark, sf):
     return O.mahalanobis_by_class(V.signals(spark, sf).where(is_train()), "y", ["signal_id"])

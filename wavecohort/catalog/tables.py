@@ -320,14 +320,20 @@ def fill_missing_category(spark, sf):
         "custkey", L.fill_missing_category(F.nullif(F.trim("sex_text"), F.lit(""))).alias("sex"))
 
 
-PROFILED = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_orderpriority", "string")]
+PROFILED = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"),
+            ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
 
 
-@register("column_profile", " UNION ALL ".join(
-    f"""SELECT CAST({k} AS BIGINT) AS position, '{c}' AS name, '{kind}' AS type, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_null,
-    min(CAST({c} AS VARCHAR)) AS least, max(CAST({c} AS VARCHAR)) AS most FROM orders""" for k, (c, kind) in enumerate(PROFILED, 1)))
+def profile_sql(k: int, c: str, kind: str) -> str:
+    text = "CAST(NULL AS VARCHAR)" if kind == "double" else f"CAST({c} AS VARCHAR)"
+    number = f"CAST({c} AS DOUBLE)" if kind in ("bigint", "double") else "CAST(NULL AS DOUBLE)"
+    return f"""SELECT CAST({k} AS BIGINT) AS position, '{c}' AS name, '{kind}' AS type, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_null,
+    count(DISTINCT {c}) AS n_distinct, min({text}) AS least, max({text}) AS most, min({number}) AS least_number, max({number}) AS most_number FROM orders"""
+
+
+@register("column_profile", " UNION ALL ".join(profile_sql(k, c, kind) for k, (c, kind) in enumerate(PROFILED, 1)))
 def column_profile(spark, sf):
-    return tables.column_profile(V.table(spark, sf, "orders").select(*[c for c, _ in PROFILED]))
+    return tables.column_profile(V.table(spark, sf, "orders"))
 
 
 @register("carry_metadata", "SELECT signal_id, diss_id, label, CAST(len(spectra) AS BIGINT) AS n_spectra FROM {positions}")

@@ -341,6 +341,58 @@ def outlier_removal_summary(spark, sf):
     return rounded(Q.outlier_removal_summary(flags, "bad"), "percent_removed")
 
 
+# The same rules at their published limits, which few of the given rows pass.
+PUBLISHED = BANDS + """, c AS (SELECT *, coalesce(snr >= 10.0, false) AS ok_snr, coalesce(max_value <= 1.8, false) AS ok_saturation,
+    coalesce(baseline_std <= 0.02, false) AS ok_baseline, coalesce(min_value >= -0.1, false) AS ok_negative,
+    coalesce(amide_ratio BETWEEN 1.2 AND 3.5, false) AS ok_amide FROM q)"""
+
+
+@register("qc_published_limits", bands(f"WITH {PUBLISHED} SELECT signal_id, ok_snr, ok_saturation, ok_baseline, ok_negative, ok_amide, ({VALID}) AS valid FROM c"))
+def qc_published_limits(spark, sf):
+    q = Q.signal_quality(V.spectra(spark, sf), V.AXIS)
+    return q.select("signal_id", "ok_snr", "ok_saturation", "ok_baseline", "ok_negative", "ok_amide", Q.valid_mask(q).alias("valid"))
+
+
+@register("qc_min_valid_published", bands(f"WITH {PUBLISHED} SELECT group_id, count(*) FILTER ({VALID}) AS n_valid, count(*) FILTER ({VALID}) < 100 AS too_few FROM c GROUP BY group_id"))
+def qc_min_valid_published(spark, sf):
+    return Q.qc_min_valid(Q.signal_quality(V.spectra(spark, sf), V.AXIS), ["group_id"])
+
+
+# Distances of the valid signals of a group in the plane of their first two points; 9.21034 is the limit for two components.
+CHAIN = CHECKED + f""", v AS (SELECT c.signal_id, c.group_id, s.features[1] AS a, s.features[2] AS b FROM c JOIN {{spectra}} s ON s.signal_id = c.signal_id WHERE {VALID}),
+    m AS (SELECT group_id, count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS ab FROM v GROUP BY group_id),
+    d AS (SELECT signal_id, (vb*(a-ma)*(a-ma) - 2*ab*(a-ma)*(b-mb) + va*(b-mb)*(b-mb)) / (va*vb - ab*ab) AS distance FROM v JOIN m USING (group_id) WHERE n > 2),
+    x AS (SELECT c.*, d.distance, coalesce(d.distance <= 9.21034, true) AS ok_distance FROM c LEFT JOIN d USING (signal_id))"""
+
+
+def chain(spark, sf):
+    q = quality(spark, sf).withColumn("plane", F.slice("features", 1, 2))
+    return Q.qc_chain(q, "group_id", "plane")
+
+
+@register("qc_chain_funnel", bands(f"""WITH {CHAIN} SELECT group_id, count(*) AS n_original, count(*) FILTER (ok_snr) AS n_after_snr,
+    count(*) FILTER (ok_snr AND ok_saturation) AS n_after_saturation, count(*) FILTER (ok_snr AND ok_saturation AND ok_baseline) AS n_after_baseline,
+    count(*) FILTER (ok_snr AND ok_saturation AND ok_baseline AND ok_amide) AS n_after_amide,
+    count(*) FILTER ({VALID} AND ok_distance) AS n_final FROM x GROUP BY group_id"""))
+def qc_chain_funnel(spark, sf):
+    return Q.qc_funnel(chain(spark, sf), ["group_id"], F.col("ok_negative") & F.col("ok_distance"))
+
+
+@register("qc_chain_log", bands(f"""WITH {CHAIN} SELECT group_id, signal_id, CASE WHEN NOT ok_snr THEN 'SNR' WHEN NOT ok_saturation THEN 'Saturation'
+    WHEN NOT ok_baseline THEN 'Baseline' WHEN NOT ok_amide THEN 'AmideRatio' WHEN NOT ok_negative THEN 'Negative' ELSE 'Mahalanobis' END AS reason,
+    round(CASE WHEN NOT ok_snr THEN snr WHEN NOT ok_saturation THEN max_value WHEN NOT ok_baseline THEN baseline_std WHEN NOT ok_amide THEN amide_ratio
+    WHEN NOT ok_negative THEN min_value ELSE distance END, 6) + 0.0 AS qc_value FROM x WHERE NOT ({VALID} AND ok_distance)"""))
+def qc_chain_log(spark, sf):
+    return rounded(Q.qc_rejection_log(chain(spark, sf), ["group_id", "signal_id"]), "qc_value")
+
+
+@register("qc_chain_mean", bands(f"""WITH {CHAIN} SELECT l.group_id, l.pos, round(avg(l.value), 6) + 0.0 AS value FROM {{slong}} l
+    JOIN x ON x.signal_id = l.signal_id WHERE {VALID} AND ok_distance GROUP BY ALL"""))
+def qc_chain_mean(spark, sf):
+    c = chain(spark, sf)
+    return long_of(Q.qc_filtered_mean(c, "group_id", Q.chain_mask(c)), ["group_id"], "mean_signal")
+
+
 @register("session_agreement", """WITH m AS (SELECT group_id, signal_id % 2 AS session, pos, avg(value) AS m FROM {traces} GROUP BY ALL),
     r AS (SELECT pos, avg(value) AS ref FROM {traces} GROUP BY pos)
     SELECT group_id, session, round(corr(m, ref), 6) + 0.0 AS r FROM m JOIN r ON m.pos = r.pos GROUP BY ALL""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wavecohort.functions import arrays as A
 from wavecohort.functions.labels import make_key, session_number
+from wavecohort.operators.sets import join_null_safe
 
 
 def explode_signals(samples: DataFrame, spectra: str = "spectra", keep: Sequence[str] = ()) -> DataFrame:
@@ -150,15 +151,18 @@ def dedup_lowest_session(positions: DataFrame, probe: str, position: str, source
                          tie: Sequence[str]) -> DataFrame:
     """Keep the row with the lowest session number per (probe, position).
 
-    ``min_by`` combines map-side: each task sends at most one row per key, so a
-    heavily repeated key is no hot spot.
+    The winners are found on the narrow order columns, combined map-side, so a
+    heavily repeated key is no hot spot and whole rows never enter an
+    aggregate; then the rows are picked.  ``tie`` has to tell apart the rows of
+    one key and file: rows equal in it are all kept.
     """
     keyed = positions.withColumn("dedup_key", make_key(F.col(probe), F.col(position))).withColumn(
         "session", session_number(F.col(source_file))
     )
     order = F.struct("session", source_file, *tie)
-    row = F.struct(*[c for c in keyed.columns if c != "dedup_key"])
-    return keyed.groupBy("dedup_key").agg(F.min_by(row, order).alias("r")).select("dedup_key", "r.*")
+    best = keyed.groupBy("dedup_key").agg(F.min(order).alias("_best"))
+    kept = join_null_safe(keyed, best, ["dedup_key"]).where(order.eqNullSafe(F.col("_best")))
+    return kept.select("dedup_key", *[c for c in keyed.columns if c != "dedup_key"])
 
 
 def join_metadata(positions: DataFrame, meta: DataFrame, left_key: str, right_key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +16,10 @@ from wavecohort.models import linear
 from wavecohort.models.linear import Pca, Stats
 from wavecohort.functions.batch import features_matrix, list_array
 from wavecohort.operators.moments import moments
+from wavecohort.operators.sets import join_null_safe
+
+# Rows of a sample up to which one task scores it whole.
+GATHER = 20_000
 
 
 def stats_rows(table: DataFrame, keys: Sequence[str]) -> dict:
@@ -136,16 +140,90 @@ def squared_distance(rows: DataFrame, centres: dict, inverses: dict, key: str |
 
 
 def mahalanobis_within(signals: DataFrame, sample: str, keep: Sequence[str], max_components: int = 10,
-                       features: str = "features") -> DataFrame:
+                       features: str = "features", among: Column | None = None, gather: int = GATHER) -> DataFrame:
     """(keep, d2, n_components, is_outlier): distance inside the sample, in up to ten of its own components.
 
-    Two passes and no gathered sample: moments per sample give its components
-    in one row, and rows are joined with them.  In component space the
-    covariance is diagonal, so d^2 is a sum of squares over the eigenvalues.
-    A sample with fewer than three signals has no outlier.
+    Rows are shuffled to their sample once and scored there.  With components
+    u_k of unit length over the rows of a sample, d^2 of row i is (n - 1) times
+    the sum of u_ik^2, and they come from the smaller of the two products of the
+    centred rows: n x n for fewer signals than points, else points x points.
+    Samples of more than ``gather`` rows, found by a count that reads no
+    signal, are never in one task: they go through moments and a second pass.
+
+    Only rows for which ``among`` is true make up the sample; the others have
+    NULL as distance and are no outliers.  A sample with fewer than three such
+    signals has no outlier, nor has one with values that are not finite.
     """
+    inside = F.coalesce(among, F.lit(False)) if among is not None else F.lit(True)
+    marked = signals.withColumn("_in", inside)
+    size = marked.where("_in").groupBy(F.col(sample).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    big = size.where(F.col("_n") > gather).select("_s")
+    used = marked.where("_in")
+    out = _within_rows(used.join(big, used[sample].eqNullSafe(big["_s"]), "left_anti"), sample, keep, max_components, features)
+    out = out.unionByName(_within_moments(used.join(big, used[sample].eqNullSafe(big["_s"]), "left_semi"), sample, keep,
+                                          max_components, features))
+    if among is None:
+        return out
+    rest = marked.where("not _in").select(
+        *keep, F.lit(None).cast("double").alias("d2"), F.lit(None).cast("long").alias("n_components"), F.lit(False).alias("is_outlier"))
+    return out.unionByName(rest)
+
+
+def row_distances(x: np.ndarray, max_components: int) -> tuple[np.ndarray, int]:
+    """Squared distance of each row from the mean of all, and the number of components it is made of."""
+    n = len(x)
+    if n < 3 or not np.isfinite(x).all():
+        return np.full(n, 0.0 if n < 3 else np.nan), 0
+    c = x - x.mean(axis=0)
+    dual = n < c.shape[1]
+    values, vectors = np.linalg.eigh(c @ c.T if dual else c.T @ c)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    k = int((values[: min(max_components, n - 1)] > 1e-10 * max(values[0], 1e-300)).sum())
+    u = vectors[:, :k] if dual else (c @ vectors[:, :k]) / np.sqrt(values[:k])
+    return (n - 1) * np.einsum("ij,ij->i", u, u), k
+
+
+def _within_rows(rows: DataFrame, sample: str, keep: Sequence[str], max_components: int, features: str) -> DataFrame:
+    """Distances of samples that fit one task."""
+    limits = linear.CHI2_99
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("d2", T.DoubleType()),
+                           T.StructField("n_components", T.LongType()), T.StructField("is_outlier", T.BooleanType())])
+    n_keep = len(keep)
+
+    def scored(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        x = np.concatenate([features_matrix(p.column(n_keep)) for p in parts])
+        d2, k = row_distances(x, max_components)
+        limit = limits[k - 1] if 0 < k <= len(limits) else float("inf")
+        cols = [pa.concat_arrays([p.column(i) for p in parts]) for i in range(n_keep)]
+        return pa.RecordBatch.from_arrays(
+            [*cols, pa.array(d2), pa.array(np.full(len(x), k, np.int64)), pa.array(d2 > limit)], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, last = [], None  # the sample that may go on in the next batch
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            key = batch.column(n_keep + 1)
+            codes = key.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                now = key[a].as_py()
+                if open_ and now != last:
+                    yield scored(open_)
+                    open_ = []
+                open_.append(batch.slice(a, b - a))
+                last = now
+        if open_:
+            yield scored(open_)
+
+    placed = rows.select(*keep, F.col(features).cast("array<double>").alias("_x"), F.col(sample).alias("_sample"))
+    return placed.repartition("_sample").sortWithinPartitions("_sample").mapInArrow(run, schema)
+
+
+def _within_moments(signals: DataFrame, sample: str, keep: Sequence[str], max_components: int, features: str) -> DataFrame:
+    """Distances of samples of any size: moments give a sample's components in one row, and rows are joined with them."""
     limits = linear.CHI2_99
-    table = moments(signals, [sample], features, gather=20_000)
+    table = moments(signals, [sample], features, gather=GATHER)
     schema = T.StructType([
         signals.schema[sample], T.StructField("_mean", T.ArrayType(T.DoubleType())),
         T.StructField("_load", T.ArrayType(T.DoubleType())), T.StructField("n_components", T.LongType()),
@@ -173,7 +251,7 @@ def mahalanobis_within(signals: DataFrame, sample: str, keep: Sequence[str], max
     params = table.mapInArrow(solve, schema)
     # d^2 = sum over components of (x - mean) . load: row-local once the sample's row is attached
     x = F.zip_with(F.col(features), F.col("_mean"), lambda a, m: a - m)
-    rows = signals.join(params, sample).withColumn("_c", x)
+    rows = join_null_safe(signals, params, [sample]).withColumn("_c", x)
     width = F.size("_mean")
     parts = F.transform(
         F.sequence(F.lit(1), F.greatest(F.col("n_components").cast("int"), F.lit(1))),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wavecohort.functions import arrays as A
 from wavecohort.operators.aggregates import mean_signal, median_points
+from wavecohort.operators.outliers import mahalanobis_within
 
 # Axis ranges and limits of the quality rules.
 SIGNAL_BAND = (1000.0, 1700.0)
@@ -22,7 +23,6 @@ MIN_SNR = 10.0
 MAX_ABSORBANCE = 1.8
 MAX_BASELINE_STD = 0.02
 NEGATIVE_LEVEL = -0.1
-MAX_NEGATIVE_SHARE = 0.05
 AMIDE_RATIO = (1.2, 3.5)
 MIN_CORRELATION = 0.85
 MIN_VALID = 100
@@ -116,6 +116,23 @@ def qc_rejection_log(quality: DataFrame, keys: Sequence[str]) -> DataFrame:
     return quality.select(*keys, reason.alias("reason"), value.alias("qc_value")).where(F.col("reason").isNotNull())
 
 
+def qc_chain(quality: DataFrame, sample: str, outlier_features: str = "features", max_components: int = 10) -> DataFrame:
+    """``quality`` with ``distance`` and ``ok_distance``: rules on single signals first, then outliers among what they left.
+
+    The distance of a signal is that from the valid signals of its sample only,
+    so a signal that a rule has rejected moves no limit; such signals have no
+    distance and pass the last rule, the log naming the first that failed.
+    Rows move once, to their sample, and carry their quality values with them.
+    """
+    out = mahalanobis_within(quality, sample, quality.columns, max_components, outlier_features, among=valid_mask(quality))
+    return out.withColumnRenamed("d2", "distance").withColumn("ok_distance", ~F.col("is_outlier")).drop("is_outlier", "n_components")
+
+
+def chain_mask(chain: DataFrame) -> Column:
+    """All rules of ``qc_chain``."""
+    return valid_mask(chain) & F.col("ok_distance")
+
+
 def within_correlation(signals: DataFrame, sample: str, features: str = "features") -> DataFrame:
     """Mean Pearson correlation over all pairs of signals of a sample, without forming pairs.
 

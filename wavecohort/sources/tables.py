@@ -87,13 +87,22 @@ def scan_csv_metrics(spark: SparkSession, path: str, schema: str | None = None)
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """The fields of a table: position, name, type, and the rows, nulls and smallest and largest value found in one pass.
+    """The fields of a table: position, name and type; rows, nulls and distinct values; smallest and largest value.
 
-    Values are compared as text.
+    ``least`` and ``most`` compare values as text and are NULL for floating
+    types; ``least_number`` and ``most_number`` are NULL for types other than numbers.
     """
-    stats = [F.struct(
-        F.lit(k + 1).cast("long").alias("position"), F.lit(name).alias("name"), F.lit(kind).alias("type"),
-        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col(name).isNull(), 1)).alias("n_null"),
-        F.min(F.col(name).cast("string")).alias("least"), F.max(F.col(name).cast("string")).alias("most"),
-    ) for k, (name, kind) in enumerate(df.dtypes)]
+    def field(k: int, name: str, kind: str):
+        c = F.col(f"`{name}`")
+        floating = kind in ("float", "double")
+        number = floating or kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal")
+        text = F.lit(None).cast("string") if floating else c.cast("string")
+        value = c.cast("double") if number else F.lit(None).cast("double")
+        return F.struct(
+            F.lit(k).cast("long").alias("position"), F.lit(name).alias("name"), F.lit(kind).alias("type"),
+            F.count(F.lit(1)).alias("n_rows"), F.count(F.when(c.isNull(), 1)).alias("n_null"), F.count_distinct(c).alias("n_distinct"),
+            F.min(text).alias("least"), F.max(text).alias("most"), F.min(value).alias("least_number"), F.max(value).alias("most_number"),
+        )
+
+    stats = [field(k, name, kind) for k, (name, kind) in enumerate(df.dtypes, 1)]
     return df.agg(F.array(*stats).alias("p")).select(F.explode("p").alias("p")).select("p.*")
