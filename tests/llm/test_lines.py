@@ -25,19 +25,21 @@ def simhash(line):
 
 
 def brute(rows):
-    """All pairs of distinct lines within 3 bits are verified; the first place of each group stays."""
-    first, places = {}, []
+    """All pairs of distinct classes within 3 bits are verified by their first lines; the first place of each group stays."""
+    first, places, line_of = {}, [], {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         for k, line in enumerate((t or "").split("\n")):
-            n = lines.normalised(line.lower().encode())
+            whole = lines.written(line.lower().encode())
+            n = lines.class_name(whole)
             if n:
-                first[n] = min(first.get(n, (i, k)), (i, k))
+                if (i, k) <= first.get(n, (i, k)):
+                    first[n], line_of[n] = (i, k), whole
                 places.append((i, k, n))
     names = list(first)
     bits = {n: simhash(n) for n in names}
-    near = [(a, b) for x, a in enumerate(names) for b in names[x + 1:]
-            if (bits[a] ^ bits[b]).bit_count() <= 3 and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b))]
-    root = D.groups_of([(a, b) for a, b in near if levenshtein(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9], names)
+    near = [(a, b) for x, a in enumerate(names) for b in names[x + 1:] if (bits[a] ^ bits[b]).bit_count() <= 3]
+    near = [(line_of[a], line_of[b], a, b) for a, b in near]
+    root = D.groups_of([(a, b) for s, t, a, b in near if levenshtein(s, t) <= 0.2 * max(len(s), len(t)) + 1e-9], names)
     keep = {}
     for n in names:
         keep[root[n]] = min(keep.get(root[n], first[n]), first[n])
@@ -95,3 +97,33 @@ def test_number_variants_are_left_to_the_edit_check(spark):
              "all rights reserved by the owners of this page since 2019", "all rights reserved by the owners of this page since 2020"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [n for _, _, n, _ in found(lines.deduplicate(df))] == [0, 0, 0, 0, 1, 0, 1]
+
+
+def test_rows_of_numbers_make_no_pairs(spark):
+    rows = [(k, f"{k * 7919 % 10007:05d}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    distinct = lines.line_table(df, "bigint").select("n", "sim").distinct()
+    assert lines._meet(distinct, 3, lines.block_masks(3, 3000)).count() == 0
+
+
+def test_number_variants_of_a_sentence_are_one_class(spark):
+    text = "this page was seen by {} people on the day it was moved to the new address of the project"
+    df = spark.createDataFrame([(k, text.format(1000 + k)) for k in range(500)], "doc_id long, text string")
+    assert sorted(n for _, _, n, _ in found(lines.deduplicate(df))) == [0] + [1] * 499
+
+
+def test_keys_with_many_near_classes_equal_brute_force(spark, monkeypatch):
+    """Hot keys, blocks and linear emission, with all limits made small."""
+    for name, value in (("HOT", 4), ("PAIRS", 1), ("ROWS", 8)):
+        monkeypatch.setattr(lines, name, value)
+    base = [f"{w}{k}" for k, w in enumerate("alpha beta gamma delta epsilon zeta eta theta iota kappa".split() * 3)]
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(60):
+        parts = list(base)
+        if k % 3:
+            parts[int(rng.integers(30))] = f"other{'abcdefgh'[int(rng.integers(8))]}"
+        rng.shuffle(parts) if k % 5 == 0 else None
+        rows.append((k, " ".join(parts)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(lines.deduplicate(df)) == brute(rows)

@@ -1,20 +1,26 @@
 """Operator 3: fuzzy line deduplication.
 
-Lines are normalised to lower-case words without punctuation; equal ones
-collapse first.  A distinct line gets a 64-bit SimHash of its words, digits as
-0, so that number variants meet; whether they are one line is left to the edit
-check, which sees the digits.
-Lines at Hamming distance at most 3 agree in some blocks of a partition of the
-64 bits (pigeonhole), so they meet in a join on block keys; pairs that meet are
-verified by edit similarity of the lines, and of every connected
-group one occurrence is kept, the first by (document, line).
-
-No key emits all pairs of its lines.  First every line of a key meets only the
-smallest one there; what verifies is connected.  Then lines of one key meet in
-pairs only if they are in different components still.  Equal results follow,
-since a pair inside one component changes nothing.  The number of blocks grows
-with the number of distinct lines so that chance meetings stay below one for
-each line; it decides the cost and not the result.
+Lines are normalised to lower-case words without punctuation.  Where digits
+make up at most a fifth of a line they are read as 0: lines that then have the
+same words differ in at most those digits, so all of them are similar by the
+edit rule itself and form one class without any comparison.  Lines with more
+digits (rows of numbers) keep them, and only equal ones are one class.  A class
+stands for its lines by its first one, by (document, line).
+
+A class gets a 64-bit SimHash of its words.  Classes at Hamming distance at
+most 3 agree in some blocks of a partition of the 64 bits (pigeonhole), so they
+meet in a join on block keys; pairs that meet are verified by edit similarity,
+and of every connected group one occurrence is kept, the first.
+
+Rows of a key are sorted next to each other and compared as arrays of bits; a
+pair counts only at the first key it agrees on.  A key with more near pairs
+than ``PAIRS`` for each class emits one pair a class, that with its smallest
+near class, and a key of more than ``HOT`` classes the pairs with its smallest
+class.  Once these are verified and connected, the classes of such keys are
+compared in blocks spread over tasks, and only pairs from different components
+go on.  Equal results follow, since a pair inside one component changes
+nothing.  The number of blocks grows with the number of classes so that chance
+meetings stay below one for each; it decides the cost and not the result.
 """
 
 from __future__ import annotations
@@ -37,6 +43,10 @@ from wavecohort.llm.stored import stored
 DISTANCE = 3
 SIMILARITY = 0.8
 CHUNK = 1 << 17  # words whose bits are counted at a time
+DIGITS = 5  # one digit in so many characters still leaves lines that differ in digits similar
+HOT = 4096  # classes of one key that a task compares at once
+PAIRS = 4  # near pairs a key emits for each of its classes at once
+ROWS = 1 << 18  # rows compared at a time
 
 
 def _digits() -> np.ndarray:
@@ -66,7 +76,7 @@ def simhashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _lines(column):
-    """Slices: (first row, line starts, lines before each row and the total, word hashes, those with digits as 0, words before each line)."""
+    """Slices: (first row, line starts, lines before each row and the total, class names, SimHashes, whether a line has a word)."""
     for low, _, data, offsets in X.slices(pc.utf8_lower(X.plain(column))):
         cuts = np.flatnonzero(data == 10)
         row_start = offsets[:-1]
@@ -75,14 +85,24 @@ def _lines(column):
         row_line = np.searchsorted(cuts, offsets) + np.arange(len(offsets))
         bounds = np.append(start, len(data))
         w, z, _ = X.runs(LETTER[data], np.unique(bounds))
-        h, folded = X.span_hashes(data, w, z), X.span_hashes(FOLD[data], w, z)
-        line_word = np.append(np.searchsorted(w, start), len(w))
-        yield low, start, row_line, h, folded, line_word
+        first = np.append(np.searchsorted(w, start), len(w))
+        count = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+        inside = lambda total: _sums(total[z] - total[w], first)
+        chars = inside(count((data & 0xC0) != 0x80)) + np.diff(first) - 1
+        few = DIGITS * inside(count((data >= 48) & (data <= 57))) <= chars
+        h = np.where(np.repeat(few, np.diff(first)), X.span_hashes(FOLD[data], w, z), X.span_hashes(data, w, z))
+        yield low, start, row_line, X.span_hashes(h, first[:-1], first[1:]), simhashes(h, first), np.diff(first) > 0
 
 
-def normalised(line: bytes) -> str:
-    """The words of one lower-case line, as the SimHash sees them: digits as 0."""
-    return re.sub("[0-9]", "0", written(line))
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[first[1:]] - total[first[:-1]]
+
+
+def class_name(line: str) -> str:
+    """The words of a written line, with digits as 0 where they are few."""
+    few = DIGITS * sum(c in "0123456789" for c in line) <= len(line)
+    return re.sub("[0-9]", "0", line) if few else line
 
 
 def written(line: bytes) -> str:
@@ -91,13 +111,11 @@ def written(line: bytes) -> str:
 
 
 def line_table(docs: DataFrame, kind: str) -> DataFrame:
-    """(id, line, n, sim) of every line that has a word; n is the hash of its words, sim their SimHash with digits as 0."""
+    """(id, line, n, sim) of every line that has a word; n is the hash of its class, sim the SimHash of that."""
     def run(batches):
         for b in batches:
-            for low, start, row_line, h, folded, first in _lines(b.column(1)):
+            for low, start, row_line, n, sim, keep in _lines(b.column(1)):
                 row = np.repeat(np.arange(len(row_line) - 1), np.diff(row_line))
-                keep = np.diff(first) > 0
-                n, sim = X.span_hashes(h, first[:-1], first[1:]), simhashes(folded, first)
                 no = np.arange(len(start)) - row_line[row]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(low + row[keep])), pa.array(no[keep].astype(np.int64)), pa.array(n[keep].view(np.int64)),
@@ -126,8 +144,145 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _near(a: str, b: str, distance: int):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+def bit_counts(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x)
+
+
+def near_pairs(group: np.ndarray, m: np.ndarray, sim: np.ndarray, distance: int, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j), i < j, of one group whose SimHashes are near; each pair only where ``m`` is the first mask it agrees on."""
+    left, right = [], []
+    i, step = np.arange(len(group)), 1
+    while True:
+        i = i[: int(np.searchsorted(i, len(group) - step))]
+        i = i[group[i] == group[i + step]]
+        if not len(i):
+            break
+        x = sim[i] ^ sim[i + step]
+        near = bit_counts(x) <= distance
+        at, x = i[near], x[near]
+        before = np.zeros(len(at), bool)
+        for k, mask in enumerate(masks):
+            before |= (m[at] > k) & ((x & mask) == 0)
+        left.append(at[~before])
+        right.append(at[~before] + step)
+        step += 1
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
+
+
+def _meet(classes: DataFrame, distance: int, masks: list[int]) -> DataFrame:
+    """(a, b, m): near pairs with m null; of keys that have too many, some pairs, and all classes a of the key m (b is the SimHash)."""
+    table = np.array(masks, np.uint64)
+    signed = F.array(*[F.lit(_signed(m)) for m in masks])
+    keyed = classes.select("n", "sim", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("m"))
+    key = F.col("sim").bitwiseAND(F.get(signed, F.col("m")))
+
+    def out(a, b, m=None):
+        m = pa.nulls(len(a), pa.int32()) if m is None else pa.array(m.astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), m], ["a", "b", "m"])
+
+    def whole(n, sim, m):
+        """Rows of complete keys."""
+        change = np.ones(len(n), bool)
+        change[1:] = (m[1:] != m[:-1]) | (((sim[1:] ^ sim[:-1]) & table[m[1:]]) != 0)
+        group = np.cumsum(change) - 1
+        i, j = near_pairs(group, m, sim, distance, table)
+        size = np.bincount(group)
+        heavy = np.bincount(group[i], minlength=len(size)) > PAIRS * size
+        if heavy.any():
+            least = np.full(len(n), len(n))
+            np.minimum.at(least, j, i)
+            stay = ~heavy[group[i]] | (least[j] == i)
+            i, j = i[stay], j[stay]
+            mine = heavy[group]
+            yield out(n[mine], sim[mine].view(np.int64), m[mine])
+        yield out(n[i], n[j])
+
+    def run(batches):
+        held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)]
+        star = None  # (n, sim, m) of the smallest class of a hot key that goes on
+        for b in batches:
+            new = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy().astype(np.int64)]
+            if star is not None:
+                same = (new[2] == star[2]) & (((new[1] ^ star[1]) & table[star[2]]) == 0)
+                k = len(same) if same.all() else int(np.argmin(same))
+                yield from hot(star, *[c[:k] for c in new])
+                new = [c[k:] for c in new]
+                if not len(new[0]):
+                    continue
+                star = None
+            held = [np.concatenate([x, y]) for x, y in zip(held, new)]
+            n, sim, m = held
+            if len(n) < ROWS:
+                continue
+            last = (m == m[-1]) & (((sim ^ sim[-1]) & table[m[-1]]) == 0)
+            cut = int(np.argmax(last))
+            yield from whole_or_hot(n[:cut], sim[:cut], m[:cut])
+            held = [c[cut:] for c in held]
+            if len(held[0]) > HOT:
+                star = tuple(c[0] for c in held)
+                yield from hot(star, *held)
+                held = [c[:0] for c in held]
+        if len(held[0]):
+            yield from whole_or_hot(*held)
+
+    def hot(star, n, sim, m):
+        """Classes of a hot key meet its smallest class; the rest follows in blocks."""
+        near = (bit_counts(sim ^ star[1]) <= distance) & (n != star[0])
+        yield out(np.full(int(near.sum()), star[0]), n[near])
+        yield out(n, sim.view(np.int64), m)
+
+    def whole_or_hot(n, sim, m):
+        if not len(n):
+            return
+        change = np.ones(len(n), bool)
+        change[1:] = (m[1:] != m[:-1]) | (((sim[1:] ^ sim[:-1]) & table[m[1:]]) != 0)
+        at = np.append(np.flatnonzero(change), len(n))
+        large = np.diff(at) > HOT
+        for k in np.flatnonzero(large):
+            own = slice(at[k], at[k + 1])
+            yield from hot((n[at[k]], sim[at[k]], m[at[k]]), n[own], sim[own], m[own])
+        rest = ~np.repeat(large, np.diff(at))
+        if rest.any():
+            yield from whole(n[rest], sim[rest], m[rest])
+
+    return keyed.repartition(F.col("m"), key).sortWithinPartitions(F.col("m"), key, F.col("n")).mapInArrow(run, "a long, b long, m int")
+
+
+def _rest(open_: DataFrame, part: DataFrame, distance: int, masks: list[int]) -> DataFrame:
+    """(a, b): near pairs of open keys whose classes are in different components; keys are compared in blocks of ``HOT`` classes.
+
+    Block x meets block y in a group of its own, so a class travels once for each block of its key.
+    """
+    table = np.array(masks, np.uint64)
+    signed = F.array(*[F.lit(_signed(m)) for m in masks])
+    rows = open_.select(F.col("a").alias("n"), F.col("b").alias("sim"), "m").withColumn("key", F.col("sim").bitwiseAND(F.get(signed, F.col("m"))))
+    rows = rows.join(part.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
+    keys = rows.groupBy("m", "key").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("blocks"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    rows = rows.join(keys.where("r0 < r1"), ["m", "key"]).withColumn("x", F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int"))
+    met = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "n", "sim", "root", "m", "key", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "x")
+    schema = "a long, b long"
+
+    def run(batch: pa.Table) -> pa.Table:
+        n, root, x = (batch.column(c).to_numpy() for c in ("n", "root", "x"))
+        sim, m = batch.column("sim").to_numpy().view(np.uint64), batch.column("m")[0].as_py()
+        one = len(x) > 0 and batch.column("lo")[0].as_py() == batch.column("hi")[0].as_py()
+        low = np.flatnonzero(x == batch.column("lo")[0].as_py())
+        high = low if one else np.flatnonzero(x != batch.column("lo")[0].as_py())
+        left, right = [], []
+        for i in low:
+            d = sim[high] ^ sim[i]
+            ok = (bit_counts(d) <= distance) & (root[high] != root[i])
+            if one:
+                ok &= n[high] > n[i]
+            for mask in table[:m]:
+                ok &= (d & mask) != 0
+            left.append(np.full(int(ok.sum()), n[i]))
+            right.append(n[high[ok]])
+        a, b = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (left, right))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return met.groupBy("m", "key", "lo", "hi").applyInArrow(run, schema)
 
 
 def similar(a: str, b: str, similarity: float) -> bool:
@@ -172,8 +327,8 @@ def distance(a: list, b: list) -> int:
     return score
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, kind: str, similarity: float) -> DataFrame:
-    """(a, b) of those pairs whose lines, with their digits, are similar enough; whole lines are compared."""
+def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of those pairs whose first lines, with their digits, are similar enough; whole lines are compared."""
     wanted = pairs.select(F.col("a").alias("n")).union(pairs.select(F.col("b").alias("n"))).distinct()
     places = wanted.join(distinct, "n").groupBy("id").agg(F.collect_list(F.struct("line", "n")).alias("lines"))
 
@@ -187,9 +342,11 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, kind: str,
                     if x["line"] < len(parts):
                         ns.append(x["n"])
                         texts.append(written(parts[x["line"]]))
-            yield pa.RecordBatch.from_arrays([pa.array(ns, pa.int64()), pa.array(texts, pa.string())], ["n", "t"])
+            # Rows of one id can differ; only a line of the wanted class counts.
+            found = [n for _, _, _, n, _, _ in _lines(pa.array(texts, pa.string()))]
+            right = np.concatenate(found).view(np.int64) == np.array(ns, np.int64) if found else np.empty(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(ns, pa.int64()), pa.array(texts, pa.string())], ["n", "t"]).filter(pa.array(right, pa.bool_()))
 
-    # Rows of one id can differ; only the line with the wanted hash counts, and it is the same for all.
     texts = stored(docs.join(places, "id").select("text", "lines").mapInArrow(run, "n long, t string").groupBy("n").agg(F.min("t").alias("t")), "lines")
     both = pairs.join(texts.select(F.col("n").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("n").alias("b"), F.col("t").alias("tb")), "b")
 
@@ -216,30 +373,19 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = rows.filter("id is not null")
     lines = stored(line_table(known, kind), "lines")
     place = F.struct("id", "line")
-    # Copies of one line are folded by a plain minimum on the map side; then the first place of each.
+    # Copies of one class are folded by a plain minimum on the map side; then the first place of each.
     ids = lines.groupBy("n").agg(F.min("id").alias("id"), F.min("sim").alias("sim"))
     first_line = lines.groupBy("n", "id").agg(F.min("line").alias("line"))
     distinct = stored(ids.join(first_line, ["n", "id"]), "distinct")
     masks = block_masks(distance, distinct.count())
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("sim").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)]))
-    keyed = distinct.select("n", "sim", keys.alias("key"))
-    met = keyed.groupBy("key").agg(F.min("n").alias("star"), F.max("n").alias("_max"), F.min_by("sim", "n").alias("star_sim"), F.count("*").alias("size"))
-    met = met.filter(F.col("star") < F.col("_max")).drop("_max")
-    members = stored(keyed.join(met, "key"), "members")
-    stars = members.filter((F.col("n") > F.col("star")) & _near("sim", "star_sim", distance)).select(F.col("star").alias("a"), F.col("n").alias("b")).distinct()
-    stars = stored(stars, "stars")
-    edges = stored(_verified(stars, distinct, known, kind, similarity), "edges")
+    met = stored(_meet(distinct, distance, masks), "met")
+    near = met.filter("m is null").select("a", "b")
+    edges = stored(_verified(near, distinct, known, similarity), "edges")
     part = components(edges)
-    # Keys of three lines or more may hold pairs that neither met a star together nor are connected.
-    open_ = members.filter("size > 2").select("key", "n", "sim").join(part.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
-    open_ = stored(open_, "open")
-    mixed = open_.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("key")
-    left = open_.join(mixed, "key")
-    right = left.select("key", F.col("n").alias("n2"), F.col("sim").alias("sim2"), F.col("root").alias("root2"))
-    rest = left.join(right, "key").filter((F.col("n") < F.col("n2")) & (F.col("root") != F.col("root2")) & _near("sim", "sim2", distance))
-    rest = stored(rest.select(F.col("n").alias("a"), F.col("n2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    if rest.take(1):
-        edges = stored(edges.union(_verified(rest, distinct, known, kind, similarity)), "edges")
+    open_ = met.filter("m is not null")
+    if open_.take(1):
+        rest = stored(_rest(open_, part, distance, masks).join(near, ["a", "b"], "left_anti"), "rest")
+        edges = stored(edges.union(_verified(rest, distinct, known, similarity)), "edges")
         part = components(edges)
     # The first place of every group, and all lines elsewhere.
     groups = distinct.join(part.withColumnRenamed("node", "n"), "n", "left").select("n", "id", "line", F.coalesce("root", "n").alias("root"))
