@@ -14,8 +14,8 @@ and of every connected group one occurrence is kept, the first.
 
 Rows of a key are sorted next to each other and compared as arrays of bits; a
 pair counts only at the first key it agrees on.  A key with more near pairs
-than ``PAIRS`` for each class emits one pair a class, that with its smallest
-near class, and a key of more than ``HOT`` classes the pairs with its smallest
+than ``PAIRS`` for each class emits one pair a class, that with the first
+near class, and a key of more than ``HOT`` classes the pairs with its first
 class.  Once these are verified and connected, the classes of such keys are
 compared in blocks spread over tasks, and only pairs from different components
 go on.  Equal results follow, since a pair inside one component changes
@@ -45,7 +45,7 @@ SIMILARITY = 0.8
 CHUNK = 1 << 17  # words whose bits are counted at a time
 DIGITS = 5  # one digit in so many characters still leaves lines that differ in digits similar
 HOT = 4096  # classes of one key that a task compares at once
-PAIRS = 4  # near pairs a key emits for each of its classes at once
+PAIRS = 1  # near pairs a key emits for each of its classes at once
 ROWS = 1 << 18  # rows compared at a time
 
 
@@ -76,7 +76,7 @@ def simhashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _lines(column):
-    """Slices: (first row, line starts, lines before each row and the total, class names, SimHashes, whether a line has a word)."""
+    """Slices: (first row, line starts, lines before each row and the total, class names, word hashes, words before each line)."""
     for low, _, data, offsets in X.slices(pc.utf8_lower(X.plain(column))):
         cuts = np.flatnonzero(data == 10)
         row_start = offsets[:-1]
@@ -86,17 +86,16 @@ def _lines(column):
         bounds = np.append(start, len(data))
         w, z, _ = X.runs(LETTER[data], np.unique(bounds))
         first = np.append(np.searchsorted(w, start), len(w))
-        count = lambda mask: np.concatenate([[0], np.cumsum(mask)])
-        inside = lambda total: _sums(total[z] - total[w], first)
-        chars = inside(count((data & 0xC0) != 0x80)) + np.diff(first) - 1
-        few = DIGITS * inside(count((data >= 48) & (data <= 57))) <= chars
-        h = np.where(np.repeat(few, np.diff(first)), X.span_hashes(FOLD[data], w, z), X.span_hashes(data, w, z))
-        yield low, start, row_line, X.span_hashes(h, first[:-1], first[1:]), simhashes(h, first), np.diff(first) > 0
-
-
-def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values)])
-    return total[first[1:]] - total[first[:-1]]
+        # Digits and continuation bytes are few, so they are found by place; all of them are in words.
+        inside = lambda mask: np.diff(np.searchsorted(np.flatnonzero(mask), bounds))
+        size = np.concatenate([[0], np.cumsum(z - w)])[first]
+        chars = np.diff(size) - inside((data & 0xC0) == 0x80) + np.diff(first) - 1
+        digits = inside((data >= 48) & (data <= 57))
+        few = DIGITS * digits <= chars
+        if digits[few].any():
+            data = np.where(np.repeat(few, np.diff(bounds)), FOLD[data], data)
+        h = X.span_hashes(data, w, z)
+        yield low, start, row_line, X.span_hashes(h, first[:-1], first[1:]), h, first
 
 
 def class_name(line: str) -> str:
@@ -114,7 +113,8 @@ def line_table(docs: DataFrame, kind: str) -> DataFrame:
     """(id, line, n, sim) of every line that has a word; n is the hash of its class, sim the SimHash of that."""
     def run(batches):
         for b in batches:
-            for low, start, row_line, n, sim, keep in _lines(b.column(1)):
+            for low, start, row_line, n, h, first in _lines(b.column(1)):
+                sim, keep = simhashes(h, first), np.diff(first) > 0
                 row = np.repeat(np.arange(len(row_line) - 1), np.diff(row_line))
                 no = np.arange(len(start)) - row_line[row]
                 yield pa.RecordBatch.from_arrays(
@@ -149,7 +149,10 @@ def bit_counts(x: np.ndarray) -> np.ndarray:
 
 
 def near_pairs(group: np.ndarray, m: np.ndarray, sim: np.ndarray, distance: int, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j), i < j, of one group whose SimHashes are near; each pair only where ``m`` is the first mask it agrees on."""
+    """Rows (i, j), i < j, of one group whose SimHashes are near; each pair only where ``m`` is the first mask it agrees on.
+
+    A group is all rows of one hash of (mask, masked bits), so rows of different keys can share it.
+    """
     left, right = [], []
     i, step = np.arange(len(group)), 1
     while True:
@@ -158,7 +161,7 @@ def near_pairs(group: np.ndarray, m: np.ndarray, sim: np.ndarray, distance: int,
         if not len(i):
             break
         x = sim[i] ^ sim[i + step]
-        near = bit_counts(x) <= distance
+        near = (bit_counts(x) <= distance) & (m[i] == m[i + step]) & ((x & masks[m[i]]) == 0)
         at, x = i[near], x[near]
         before = np.zeros(len(at), bool)
         for k, mask in enumerate(masks):
@@ -180,10 +183,10 @@ def _meet(classes: DataFrame, distance: int, masks: list[int]) -> DataFrame:
         m = pa.nulls(len(a), pa.int32()) if m is None else pa.array(m.astype(np.int32))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), m], ["a", "b", "m"])
 
-    def whole(n, sim, m):
+    def whole(n, sim, m, key):
         """Rows of complete keys."""
         change = np.ones(len(n), bool)
-        change[1:] = (m[1:] != m[:-1]) | (((sim[1:] ^ sim[:-1]) & table[m[1:]]) != 0)
+        change[1:] = key[1:] != key[:-1]
         group = np.cumsum(change) - 1
         i, j = near_pairs(group, m, sim, distance, table)
         size = np.bincount(group)
@@ -198,12 +201,12 @@ def _meet(classes: DataFrame, distance: int, masks: list[int]) -> DataFrame:
         yield out(n[i], n[j])
 
     def run(batches):
-        held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)]
-        star = None  # (n, sim, m) of the smallest class of a hot key that goes on
+        held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)]
+        star = None  # the first class of a hot key that goes on
         for b in batches:
-            new = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy().astype(np.int64)]
+            new = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy()]
             if star is not None:
-                same = (new[2] == star[2]) & (((new[1] ^ star[1]) & table[star[2]]) == 0)
+                same = new[3] == star[3]
                 k = len(same) if same.all() else int(np.argmin(same))
                 yield from hot(star, *[c[:k] for c in new])
                 new = [c[k:] for c in new]
@@ -211,12 +214,10 @@ def _meet(classes: DataFrame, distance: int, masks: list[int]) -> DataFrame:
                     continue
                 star = None
             held = [np.concatenate([x, y]) for x, y in zip(held, new)]
-            n, sim, m = held
-            if len(n) < ROWS:
+            if len(held[0]) < ROWS:
                 continue
-            last = (m == m[-1]) & (((sim ^ sim[-1]) & table[m[-1]]) == 0)
-            cut = int(np.argmax(last))
-            yield from whole_or_hot(n[:cut], sim[:cut], m[:cut])
+            cut = int(np.searchsorted(held[3], held[3][-1]))
+            yield from whole_or_hot(*[c[:cut] for c in held])
             held = [c[cut:] for c in held]
             if len(held[0]) > HOT:
                 star = tuple(c[0] for c in held)
@@ -225,27 +226,27 @@ def _meet(classes: DataFrame, distance: int, masks: list[int]) -> DataFrame:
         if len(held[0]):
             yield from whole_or_hot(*held)
 
-    def hot(star, n, sim, m):
-        """Classes of a hot key meet its smallest class; the rest follows in blocks."""
+    def hot(star, n, sim, m, key):
+        """Classes of a hot key meet its first class; the rest follows in blocks."""
         near = (bit_counts(sim ^ star[1]) <= distance) & (n != star[0])
         yield out(np.full(int(near.sum()), star[0]), n[near])
         yield out(n, sim.view(np.int64), m)
 
-    def whole_or_hot(n, sim, m):
+    def whole_or_hot(n, sim, m, key):
         if not len(n):
             return
-        change = np.ones(len(n), bool)
-        change[1:] = (m[1:] != m[:-1]) | (((sim[1:] ^ sim[:-1]) & table[m[1:]]) != 0)
-        at = np.append(np.flatnonzero(change), len(n))
+        at = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(n))
         large = np.diff(at) > HOT
         for k in np.flatnonzero(large):
             own = slice(at[k], at[k + 1])
-            yield from hot((n[at[k]], sim[at[k]], m[at[k]]), n[own], sim[own], m[own])
+            yield from hot((n[at[k]], sim[at[k]]), n[own], sim[own], m[own], key[own])
         rest = ~np.repeat(large, np.diff(at))
         if rest.any():
-            yield from whole(n[rest], sim[rest], m[rest])
+            yield from whole(n[rest], sim[rest], m[rest], key[rest])
 
-    return keyed.repartition(F.col("m"), key).sortWithinPartitions(F.col("m"), key, F.col("n")).mapInArrow(run, "a long, b long, m int")
+    # One number is the key to both, so that rows are sorted by their prefixes.
+    placed = keyed.repartition(F.xxhash64("m", key)).withColumn("key", F.xxhash64("m", key)).sortWithinPartitions("key")
+    return placed.select("n", "sim", "m", "key").mapInArrow(run, "a long, b long, m int")
 
 
 def _rest(open_: DataFrame, part: DataFrame, distance: int, masks: list[int]) -> DataFrame:
@@ -288,16 +289,15 @@ def _rest(open_: DataFrame, part: DataFrame, distance: int, masks: list[int]) ->
 def similar(a: str, b: str, similarity: float) -> bool:
     """Whether at most ``1 - similarity`` of the longer string's characters have to be edited.
 
-    Word edits bound the character edits from above, which settles most pairs of
-    long lines: one costs at most the longest word and a space.  Else characters
-    are compared, without what both begin and end with.
+    What both begin and end with is left out.  The rest can always be
+    overwritten, and characters that one side has more often have to go: these
+    bounds settle most pairs.  Then word edits bound the character edits from
+    above: one costs at most the longest word and a space.  Else characters are
+    compared.
     """
     allowed = (1 - similarity) * max(len(a), len(b)) + 1e-9
     if abs(len(a) - len(b)) > allowed:
         return False
-    left, right = a.split(" "), b.split(" ")
-    if distance(left, right) * (1 + max(map(len, left + right))) <= allowed:
-        return True
     x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
     n = min(len(x), len(y))
     differ = np.flatnonzero(x[:n] != y[:n])
@@ -305,7 +305,16 @@ def similar(a: str, b: str, similarity: float) -> bool:
     x, y, n = x[low:], y[low:], n - low
     differ = np.flatnonzero(x[len(x) - n:][::-1] != y[len(y) - n:][::-1])
     high = int(differ[0]) if len(differ) else n
-    return distance(x[:len(x) - high].tolist(), y[:len(y) - high].tolist()) <= allowed
+    x, y = x[:len(x) - high], y[:len(y) - high]
+    if max(len(x), len(y)) <= allowed:
+        return True
+    more = np.bincount(x & 255, minlength=256) - np.bincount(y & 255, minlength=256)
+    if max(more[more > 0].sum(), -more[more < 0].sum()) > allowed:
+        return False
+    left, right = a.split(" "), b.split(" ")
+    if distance(left, right) * (1 + max(map(len, left + right))) <= allowed:
+        return True
+    return distance(x.tolist(), y.tolist()) <= allowed
 
 
 def distance(a: list, b: list) -> int:
