@@ -250,6 +250,26 @@ def test_within_sample_distance_by_rows_equals_that_by_moments(spark):
             assert part[i].d2 is None and part[i].is_outlier is False
 
 
+def test_quality_chain_finds_outliers_among_valid_signals_only(spark):
+    from wavecohort.operators import quality as Q
+
+    names = ["ok_snr", "ok_saturation", "ok_baseline", "ok_negative", "ok_amide"]
+    x = rng.normal(size=(60, 3))
+    x[5], x[6] = 30.0, -4000.0  # an outlier, and a far one that a rule rejects and that would hide it
+    rows = [(i, i % 2, [float(v) for v in r], *[i != 6] * 5, 1.0, 1.0, 1.0, 1.0, 1.0) for i, r in enumerate(x)]
+    values = ["snr", "max_value", "baseline_std", "amide_ratio", "min_value"]
+    df = spark.createDataFrame(rows, "signal_id long, sample_id long, features array<double>, " + ", ".join(
+        [f"{n} boolean" for n in names] + [f"{n} double" for n in values]))
+    chain = Q.qc_chain(df, "sample_id").cache()
+    log = {r.signal_id: r.reason for r in Q.qc_rejection_log(chain, ["signal_id"]).collect()}
+    assert log == {5: "Mahalanobis", 6: "SNR"}
+    funnel = Q.qc_funnel(chain, ["sample_id"], F.col("ok_negative") & F.col("ok_distance")).collect()
+    assert sum(r.n_original - r.n_final for r in funnel) == len(log)
+    means = {r.sample_id: r.mean_signal for r in Q.qc_filtered_mean(chain, "sample_id", Q.chain_mask(chain)).collect()}
+    for s in (0, 1):
+        assert np.allclose(means[s], np.mean([v for i, v in enumerate(x) if i % 2 == s and i not in (5, 6)], axis=0))
+
+
 def test_t2_q_and_class_outliers(spark):
     x = rng.normal(size=(200, 6)) * [5, 4, 3, 1, .1, .1]
     x[3] += [60, 0, 0, 0, 30, 0]
