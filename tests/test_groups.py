@@ -59,6 +59,27 @@ def test_trimmed_mean(spark):
         assert got[p] == pytest.approx(s[4:37].mean())
 
 
+def test_order_statistics_are_the_same_in_one_task_and_by_points(spark):
+    rng = np.random.default_rng(4)
+    nan, inf = float("nan"), float("inf")
+    rows = [(k, [float(v) for v in np.round(rng.normal(size=5), 1)]) for k in [1] * 40 + [2] * 7 + [None] * 2]
+    rows += [(3, [1.0, nan, 2.0]), (3, [4.0, inf, 2.0]), (3, [5.0, 1.0]), (4, [7.0, nan]), (5, None), (5, [3.0, None]), (6, [])]
+    df = spark.createDataFrame(rows, "k long, features array<double>").repartition(3)
+
+    def cells(out, value):
+        return sorted((repr(r.k), r.pos, repr(None if r[value] is None else round(r[value], 9))) for r in out.collect())
+
+    for run, value in [(G.median_points, "median"), (G.mean_or_median_points, "value"),
+                       (lambda d, k, **kw: G.trimmed_mean_points(d, k, 0.1, **kw), "value")]:
+        whole = cells(run(df, ["k"]), value)
+        # with one row as the limit only single signals stay in a task; with five, small and large keys are mixed
+        assert whole and whole == cells(run(df, ["k"], gather=1), value) == cells(run(df, ["k"], gather=5), value)
+    medians = {r.k: r.median_signal for r in G.median_signal(df, ["k"]).collect()}
+    assert medians[1] == pytest.approx(np.median([r[1] for r in rows if r[0] == 1], axis=0))
+    assert medians[3][0] == 4 and np.isnan(medians[3][1]) and medians[3][2] == 2 and np.isnan(medians[5][1])
+    assert None in medians and G.median_signal(df.limit(0), ["k"]).count() == 0
+
+
 def test_dedup_keeps_lowest_session(spark):
     rows = [("DD004", p, f"DD004-T001-S{s}_x.mat") for s in (25, 11) for p in "abc"]
     rows += [("DD007", p, f"DD007-T001-S{s}_x.mat") for s in (18, 4) for p in "abc"] + [("DD009", "a", "plain.mat")]

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wavecohort.operators import order_stats
 from wavecohort.operators.ordered import group_median, value_ranks
+from wavecohort.operators.sets import join_null_safe
 
 
 def points(signals: DataFrame, keys: Sequence[str], features: str = "features") -> DataFrame:
@@ -45,37 +47,51 @@ def mean_signal(signals: DataFrame, keys: Sequence[str], features: str = "featur
     )
 
 
-def median_points(signals: DataFrame, keys: Sequence[str], features: str = "features") -> DataFrame:
-    """(keys, pos, median): exact, NaN propagates, no group is gathered in one task."""
-    return group_median(points(signals, keys, features), [*keys, "pos"], "value")
+def _median_by_points(keys: Sequence[str]):
+    return lambda p: group_median(p, [*keys, "pos"], "value", "value")
+
+
+def median_points(signals: DataFrame, keys: Sequence[str], features: str = "features",
+                  gather: int = order_stats.GATHER) -> DataFrame:
+    """(keys, pos, median): exact, NaN propagates; a key of more than ``gather`` rows is never in one task."""
+    rows = order_stats.point_rows(signals, keys, order_stats.median, _median_by_points(keys), features, gather)
+    return rows.withColumnRenamed("value", "median")
 
 
 def median_signal(signals: DataFrame, keys: Sequence[str], features: str = "features",
-                  out: str = "median_signal") -> DataFrame:
-    return to_array(median_points(signals, keys, features), keys, "median", out)
+                  out: str = "median_signal", gather: int = order_stats.GATHER) -> DataFrame:
+    small, large = order_stats.per_key(signals, keys, order_stats.median, _median_by_points(keys), features, gather)
+    return small.withColumnRenamed("_values", out).unionByName(to_array(large, keys, "value", out))
 
 
-def mean_or_median_points(signals: DataFrame, keys: Sequence[str], features: str = "features") -> DataFrame:
+def mean_or_median_points(signals: DataFrame, keys: Sequence[str], features: str = "features",
+                          gather: int = order_stats.GATHER) -> DataFrame:
     """(keys, pos, value): the mean, or the median of the finite values where the mean is not finite."""
-    p = points(signals, keys, features)
-    finite = (~F.isnan("value")) & (F.abs("value") < F.lit(float("inf")))
-    mean = p.groupBy(*keys, "pos").agg(F.avg("value").alias("m"))
-    median = group_median(p.where(finite), [*keys, "pos"], "value")
-    ok = (~F.isnan("m")) & (F.abs("m") < F.lit(float("inf")))
-    return mean.join(median, [*keys, "pos"], "left").select(
-        *keys, "pos", F.when(ok, F.col("m")).otherwise(F.col("median")).alias("value")
-    )
 
+    def by_points(p: DataFrame) -> DataFrame:
+        finite = (~F.isnan("value")) & (F.abs("value") < F.lit(float("inf")))
+        mean = p.groupBy(*keys, "pos").agg(F.avg("value").alias("m"))
+        median = group_median(p.where(finite), [*keys, "pos"], "value")
+        ok = (~F.isnan("m")) & (F.abs("m") < F.lit(float("inf")))
+        return join_null_safe(mean, median, [*keys, "pos"], "left").select(
+            *keys, "pos", F.when(ok, F.col("m")).otherwise(F.col("median")).alias("value")
+        )
 
-def trimmed_mean_points(signals: DataFrame, keys: Sequence[str], trim: float = 0.05,
-                        features: str = "features") -> DataFrame:
-    """(keys, pos, value): mean of the values whose percent rank lies in [trim, 1 - trim]."""
-    ranked = value_ranks(points(signals, keys, features), [*keys, "pos"], "value")
-    share = F.coalesce(F.try_divide(F.col("below").cast("double"), (F.col("n") - 1).cast("double")), F.lit(0.0))
-    kept = ranked.where((share >= trim) & (share <= 1 - trim) | (F.col("n") == 1))
-    return kept.groupBy(*keys, "pos").agg(
-        (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("value")
-    )
+    return order_stats.point_rows(signals, keys, order_stats.mean_or_median, by_points, features, gather)
+
+
+def trimmed_mean_points(signals: DataFrame, keys: Sequence[str], trim: float = 0.05, features: str = "features",
+                        gather: int = order_stats.GATHER) -> DataFrame:
+    """(keys, pos, value): mean of the values whose percent rank lies in [trim, 1 - trim]; points without one are left out."""
+
+    def by_points(p: DataFrame) -> DataFrame:
+        ranked = value_ranks(p, [*keys, "pos"], "value")
+        share = F.coalesce(F.try_divide(F.col("below").cast("double"), (F.col("n") - 1).cast("double")), F.lit(0.0))
+        kept = ranked.where((share >= trim) & (share <= 1 - trim) | (F.col("n") == 1))
+        return kept.groupBy(*keys, "pos").agg((F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("value"))
+
+    rows = order_stats.point_rows(signals, keys, order_stats.trimmed_mean(trim), by_points, features, gather)
+    return rows.where(F.col("value").isNotNull())
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
