@@ -291,3 +291,21 @@ def test_pca_standardized_keeps_sigma(spark):
     assert np.allclose(sigma, x.std(axis=0, ddof=1))
     got = np.array([r.pc for r in O.project(df, ["signal_id"], fit.mean, fit.coeff).orderBy("signal_id").collect()])
     assert np.allclose((got ** 2).sum(axis=1), (z ** 2).sum(axis=1))
+
+
+def test_models_read_back_predict_the_same(spark, tmp_path):
+    from wavecohort.models import store
+    rng = np.random.default_rng(8)
+    rows = [(i, "low" if i % 2 else "high", [float(v) for v in rng.normal(i % 2, 1.0, 6)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "signal_id long, y string, features array<double>")
+    quick = {"rf_ntrees": 5, "max_iter": 10, "svm_features": 16}
+    for k, (name, conf) in enumerate([("PCA-LDA", {}), ("PLS-DA", {}), ("RandomForest", quick), ("SVM-RBF", quick),
+                                      ("SVM-RBF", {**quick, "svm_platt": True}), ("Logistic", quick)]):
+        model = M.fit(name, "10210X", df, "y", ["low", "high"], conf)
+        path = str(tmp_path / f"m{k}")
+        store.save_model(spark, model, path)
+        want, got = [{r.signal_id: r for r in m.predict(df, ["signal_id"], "y").collect()}
+                     for m in (model, store.load_model(spark, path))]
+        assert got == want and len(got) == 60
+        with pytest.raises(Exception):
+            store.save_model(spark, model, path)

@@ -17,6 +17,7 @@ from wavecohort.catalog.tables import scratch
 from wavecohort.catalog.transforms import TRAIN, is_train
 from wavecohort.catalog.views import r6, register, rounded
 from wavecohort.models import classifiers as C
+from wavecohort.models import store
 from wavecohort.models.regression import lda_weighted_priors as weighted_priors
 from wavecohort.models.regression import pls_regress as regress
 from wavecohort.operators import folds as K
@@ -297,6 +298,14 @@ def sink_model_params(spark, sf):
         F.count(F.lit(1)).alias("n_outputs"), F.max(F.size("weights")).cast("long").alias("width"))
 
 
+@register("reload_lda", f"WITH {LINES}, {sql_lda('l', 'l')} {LDA_OUT}")
+def reload_lda(spark, sf):
+    """Fitted, written, read back, and only then used."""
+    rows, path = lines(spark, sf), scratch(spark, "model")
+    store.save_model(spark, C.fit("PCA-LDA", "10200X", rows, "y", V.CLASSES), path)
+    return scored(store.load_model(spark, path).predict(rows, LINE_KEEP, "y"), "order_id", "line_no")
+
+
 # --- cross-validation and final evaluation -----------------------------------------------------
 
 LINE_FOLDS = f"""{LINES}, gc AS (SELECT group_id, y, count(*) AS n FROM l GROUP BY ALL),

@@ -13,6 +13,7 @@ from wavecohort.operators import cleaning as C
 from wavecohort.operators import folds as K
 from wavecohort.operators import ordered as O
 from wavecohort.operators import summary as Y
+from wavecohort.plans import prepare
 
 # --- E: aggregation --------------------------------------------------------------------
 
@@ -166,6 +167,52 @@ def dedup_lowest_session(spark, sf):
     return out.select("dedup_key", "session", "event_id", r6("value").alias("value"))
 
 
+def measured(spark, sf):
+    """Embeddings as measured positions of a probe: two 32-point spectra, two measurements of each position."""
+    n, s = F.floor(F.col("signal_id") / 4), F.col("signal_id") % 7
+    probe = F.concat(F.lit("P"), n.cast("string"))
+    return V.signals(spark, sf).select(
+        F.col("signal_id").alias("row_id"), F.concat(F.lit(" "), probe, F.lit(" ")).alias("probe"),
+        F.concat(F.lit("Pos"), F.col("signal_id") % 2).alias("position"),
+        F.when(s == 0, F.concat(probe, F.lit("_Pos.mat"))).otherwise(F.concat(probe, F.lit("-S"), s, F.lit("_Pos.mat"))).alias("file"),
+        F.array(F.slice("features", 1, 32), F.slice("features", 33, 32)).alias("spectra"))
+
+
+@register("prepare_signals", r"""WITH raw AS (SELECT signal_id AS row_id, 'P'||(signal_id//4) AS probe, 'Pos'||(signal_id%2) AS position,
+    CASE WHEN signal_id%7=0 THEN 'P'||(signal_id//4)||'_Pos.mat' ELSE 'P'||(signal_id//4)||'-S'||(signal_id%7)||'_Pos.mat' END AS file,
+    [features[1:32], features[33:64]] AS spectra FROM {signals}),
+    k AS (SELECT *, probe||'_'||position AS dedup_key,
+      coalesce(try_cast(nullif(regexp_extract(file, '-S(\d+)', 1), '') AS BIGINT), 2147483647) AS session FROM raw),
+    u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY session, file, row_id) AS rn FROM k) WHERE rn = 1),
+    g AS (SELECT custkey, trim(regexp_replace(grade_text, '\s*\(\d+\)$', '')) AS g, lower(trim(sex_text)) AS s, trim(subtype_text) AS t FROM {subjects}),
+    m AS (SELECT 'P'||custkey AS probe, CASE WHEN try_cast(g AS DOUBLE) = 1 OR upper(g) = 'WHO-1' THEN 'WHO-1'
+      WHEN try_cast(g AS DOUBLE) = 2 OR upper(g) = 'WHO-2' THEN 'WHO-2' WHEN try_cast(g AS DOUBLE) = 3 OR upper(g) = 'WHO-3' THEN 'WHO-3' ELSE '' END AS grade,
+      CASE WHEN s IN ('w', 'female') THEN 'Female' WHEN s IN ('m', 'male') THEN 'Male' ELSE 'Unknown' END AS sex,
+      CASE t WHEN 'fibromatös' THEN 'fibro' WHEN 'meningothelial' THEN 'meningo' WHEN 'transitional' THEN 'trans' WHEN 'klarzellig' THEN 'clear'
+      WHEN 'chordoid' THEN 'chord' WHEN 'anaplastisch' THEN 'anap' WHEN 'atypisch' THEN 'atyp' WHEN 'psammomatös' THEN 'psamm'
+      ELSE CASE WHEN lower(t) IN ('', 'nan', '<missing>') THEN 'Unknown' ELSE t END END AS subtype FROM g),
+    x AS (SELECT dedup_key, session, row_id, grade, sex, subtype, CAST(j AS BIGINT) AS local_index, CAST(i AS BIGINT) AS pos, spectra[j][i+1] AS v
+      FROM u JOIN m USING (probe), range(1, 3) a(j), range(0, 32) b(i)),
+    b AS (SELECT dedup_key, local_index, pos//4 AS pos, avg(v) AS v FROM x GROUP BY ALL),
+    s AS (SELECT 1 AS pp, dedup_key, local_index, pos, v FROM x UNION ALL SELECT 2 AS pp, dedup_key, local_index, pos, v FROM b),
+    n AS (SELECT pp, dedup_key, local_index, pos, v / sqrt(sum(v*v) OVER (PARTITION BY pp, dedup_key, local_index)) AS v FROM s),
+    d AS (SELECT pp, dedup_key, local_index, pos, (2*lag(v, 2, 0) OVER w - lag(v, 1, 0) OVER w - 2*v - lead(v, 1, 0) OVER w + 2*lead(v, 2, 0) OVER w)/7 AS v
+      FROM n WINDOW w AS (PARTITION BY pp, dedup_key, local_index ORDER BY pos)),
+    z AS (SELECT dedup_key, local_index, sum(v*(pos+1)) FILTER (pp=1) AS a1, sum(v*(pos+1)) FILTER (pp=2) AS a2 FROM d GROUP BY ALL),
+    r AS (SELECT dedup_key, session, row_id, grade, sex, subtype, local_index, sum(v*(pos+1)) AS a0 FROM x GROUP BY ALL)
+    SELECT dedup_key, session, row_id, grade, sex, subtype, local_index, round(a0, 6) + 0.0 AS raw_sum, round(a1, 6) + 0.0 AS pp1_sum,
+    round(a2, 6) + 0.0 AS pp2_sum FROM r JOIN z USING (dedup_key, local_index)""")
+def prepare_signals(spark, sf):
+    """From measured positions and raw metadata to clean signals with both presets, each summed with its places as weights."""
+    from wavecohort.functions import arrays as A
+    meta = V.subjects(spark, sf).select(F.concat(F.lit("P"), "custkey").alias("key"), "grade_text", "sex_text", "subtype_text")
+    meta = prepare.clean_metadata(meta, "grade_text", "sex_text", "subtype_text")
+    out = prepare.prepare_signals(measured(spark, sf), meta, "probe", "position", "file", "row_id", "key")
+    weighted = lambda c: A.array_sum(F.transform(c, lambda v, i: v * (i + 1)))
+    return out.select("dedup_key", "session", "row_id", "grade", "sex", "subtype", "local_index",
+                      *[r6(weighted(c)).alias(f"{c}_sum") for c in ("raw", "pp1", "pp2")])
+
+
 @register("first_meta_row", """SELECT diss_id, arg_min(position, signal_id) AS position, arg_min(label, signal_id) AS label, min(signal_id) AS signal_id
     FROM {positions} GROUP BY diss_id""")
 def first_meta_row(spark, sf):
