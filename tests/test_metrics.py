@@ -142,3 +142,15 @@ def test_replicates_of_one_class_or_no_rows(spark):
     df = spark.createDataFrame([(k, True, 1.0) for k in range(5)], "id long, hit boolean, s double")
     assert {r.auc for r in M.auc_replicates(df, ["id"], "s", F.col("hit"), 4).collect()} == {None}
     assert M.auc_replicates(df.limit(0), ["id"], "s", F.col("hit"), 4).collect() == []
+
+
+def test_equal_means_tie_in_any_order(spark):
+    """Scores whose floating sums fall on either side of one half."""
+    scores = [k / 100 * 10 for k in (7, 3, 6, 4, 8, 2, 1, 9, 0, 10, 3, 7)]
+    orders = [np.random.default_rng(g).permutation(scores).tolist() for g in range(12)]
+    flat = [(g, 3, s) for g, own in enumerate(orders) for s in own] + [(12, 3, 0.500000001), (13, 3, float("nan")), (13, 3, 1.0), (14, 3, None)]
+    df = spark.createDataFrame(flat, "group_id long, y_true long, score double").coalesce(1)
+    got = {r.group_id: r.y_pred for r in M.mean_posterior_rollup(df, [], "group_id").collect()}
+    assert {g for g, p in got.items() if p == 3} == {12}
+    rounded = M.mean_posterior_rollup(df, [], "group_id", exact=False).where("group_id < 12 and y_pred = 3")
+    assert rounded.count() > 0

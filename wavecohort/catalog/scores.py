@@ -188,8 +188,9 @@ def vote_rollup_conf(spark, sf):
     return doubles(votes(spark, sf))
 
 
-@register("mean_posterior_rollup", f"""WITH {VOTE} SELECT group_id, true_label AS y_true, {R('mean_p_low', 'p_low')}, {R('mean_p_high', 'p_high')},
-    CAST(CASE WHEN mean_p_high > mean_p_low THEN 3 ELSE 1 END AS BIGINT) AS y_pred FROM w""")
+@register("mean_posterior_rollup", f"""WITH {VOTE}, t AS (SELECT fold, group_id, 2 * sum(CAST(score AS DECIMAL(18,12))) > count(score) AS more FROM {{preds}} GROUP BY fold, group_id)
+    SELECT group_id, true_label AS y_true, {R('mean_p_low', 'p_low')}, {R('mean_p_high', 'p_high')},
+    CAST(CASE WHEN more THEN 3 ELSE 1 END AS BIGINT) AS y_pred FROM w JOIN t USING (fold, group_id)""")
 def mean_posterior_rollup(spark, sf):
     return doubles(M.mean_posterior_rollup(V.preds(spark, sf), [], "group_id"))
 

@@ -262,14 +262,20 @@ def vote_rollup(preds: DataFrame, keys: Sequence[str], group: str, low=1, high=3
 
 
 def mean_posterior_rollup(preds: DataFrame, keys: Sequence[str], group: str, low=1, high=3, score: str = "score",
-                          true: str = "y_true") -> DataFrame:
-    """Label with the larger mean probability, the first on ties."""
+                          true: str = "y_true", exact: bool = True) -> DataFrame:
+    """Label with the larger mean probability, the first on ties.
+
+    The means are compared as exact sums of the scores at 12 decimals, so that
+    equal means tie in whatever order the rows are added.  Without ``exact`` the
+    means are compared as they were rounded.
+    """
+    total = F.sum(F.col(score).try_cast("decimal(18,12)"))
     mean = preds.groupBy(*keys, group).agg(
-        majority(true, [low, high]).cast("long").alias("y_true"), F.avg(1.0 - F.col(score)).alias("p_low"), F.avg(score).alias("p_high")
-    )
-    return mean.withColumn(
-        "y_pred", F.when(F.col("p_high") > F.col("p_low"), F.lit(high)).otherwise(F.lit(low)).cast("long")
+        majority(true, [low, high]).cast("long").alias("y_true"), F.avg(1.0 - F.col(score)).alias("p_low"), F.avg(score).alias("p_high"),
+        (2 * total > F.count(score)).alias("_more"),
     )
+    more = F.col("_more") & ~F.isnan("p_high") if exact else F.col("p_high") > F.col("p_low")
+    return mean.withColumn("y_pred", F.when(more, F.lit(high)).otherwise(F.lit(low)).cast("long")).drop("_more")
 
 
 def binary_counts(preds: DataFrame, keys: Sequence[str], positive, true: str = "y_true", pred: str = "y_pred") -> DataFrame:
@@ -342,7 +348,7 @@ def compare_rollups(preds: DataFrame, group: str, low=1, high=3, score: str = "s
     """Accuracy, sensitivity and specificity of vote and mean-probability roll-ups, and their differences."""
     scored = preds.withColumn("scores", F.array(1.0 - F.col(score), F.col(score)))
     vote = binary_metrics_npv(group_rollup(scored, [], group, [low, high]), [], high)
-    mean = binary_metrics_npv(mean_posterior_rollup(preds, [], group, low, high, score), [], high)
+    mean = binary_metrics_npv(mean_posterior_rollup(preds, [], group, low, high, score, exact=False), [], high)
     names = ["accuracy", "sensitivity", "specificity"]
     v = vote.select(F.lit(0).alias("_k"), *[F.col(n).alias(f"vote_{n}") for n in names])
     m = mean.select(F.lit(0).alias("_k"), *[F.col(n).alias(f"mean_{n}") for n in names])
