@@ -72,6 +72,20 @@ def test_leaves_hold_enough_rows():
     assert (f.left >= 0).sum() <= 200 / 40
 
 
+def test_best_cut_equals_the_plain_search():
+    """Three weighted classes, empty bins and small nodes; the first of equal cuts wins."""
+    rng = np.random.default_rng(5)
+    hist, weight = rng.integers(0, 4, (3, 50, shared.BINS)) * rng.integers(0, 2, (3, 50, shared.BINS)), np.array([1.0, 2.5, 0.5])
+    gain, at = shared._best_cut(hist, hist.sum(2).T, weight, 12)
+    for m in range(50):
+        cuts = []
+        for b in range(shared.BINS - 1):
+            sides = [hist[:, m, :b + 1].sum(1), hist[:, m, b + 1:].sum(1)]
+            ok = min(s.sum() for s in sides) >= 12
+            cuts.append(sum(((s * weight) ** 2).sum() / (s * weight).sum() for s in sides) if ok else -1.0)
+        assert at[m] == int(np.argmax(cuts)) and abs(gain[m] - max(cuts)) < 1e-9
+
+
 def signals(spark, n=240):
     x, y = rings(n)
     rows = [(k, k // 2, k // 6, int(y[k]), x[k].tolist()) for k in range(n)]
