@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,18 +87,19 @@ def fold_predictions(rows: DataFrame, variants: Sequence, label: str, classes: S
     train = chosen.select(keys.alias("_k"), F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)).alias("_y"), "folds", "_x")
     train = train.where(F.get("folds", F.col("_k.repeat") - 1) != F.col("_k.fold")).select("_k.repeat", "_k.fold", "_y", "_x")
 
-    def fit(key, table):
+    def fit(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeat, fold = (k.as_py() for k in key)
+        table = pa.Table.from_batches(list(batches))
         x, y = features_matrix(table.column("_x").combine_chunks()), table.column("_y").to_numpy() - 1
         order = np.lexsort((*x.T[:4], y))  # the same fit in whatever order the rows come
         x, y = x[order], y[order]
-        out = []
         for code in recipes[(repeat, fold)]:
             values = fitted(repeat, fold, code).kernel(x)
-            for i, (name, own) in enumerate(shared.items()):
-                out.append((repeat, fold, code, i, pickle.dumps(vars(_fit(name, own, values, y, classes)))))
-        return pa.table(dict(zip(("repeat", "fold", "recipe", "part", "model"), map(list, zip(*out)))),
-                        schema=pa.schema([("repeat", pa.int32()), ("fold", pa.int32()), ("recipe", pa.string()), ("part", pa.int32()), ("model", pa.binary())]))
+            for i, (name, own) in enumerate(shared.items()):  # a model leaves before the next is fitted
+                body = pickle.dumps(vars(_fit(name, own, values, y, classes)), pickle.HIGHEST_PROTOCOL)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([repeat], pa.int32()), pa.array([fold], pa.int32()), pa.array([code]), pa.array([i], pa.int32()), pa.array([body], pa.binary())],
+                    ["repeat", "fold", "recipe", "part", "model"])
 
     # A number of its own, so that small tables are not put back into one task.
     train = train.repartition(2 * len(recipes), "repeat", "fold")
@@ -111,14 +112,15 @@ def fold_predictions(rows: DataFrame, variants: Sequence, label: str, classes: S
     names, n_keep = [f.name for f in schema.fields], len(keep)
     narrow = rows.select(*keep, F.col(label).alias("_y"), "folds", "_x")
 
-    def scored(block) -> DataFrame:
+    def of_folds(pairs: Sequence[tuple], test) -> Column:
+        return reduce(lambda a, b: a | b, [test(r, f) for r, f in dict.fromkeys(p[:2] for p in pairs)])
+
+    def scored(block, pairs: Sequence[tuple]) -> DataFrame:
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = {}
             parts = list(shared.items())
             for repeat, fold, code, part, body in block.value:
-                model = object.__new__(KernelMachine if parts[part][0][0] == "SVM-RBF" else Forest)
-                vars(model).update(pickle.loads(body))
-                found.setdefault((repeat, fold), []).append((code, part, model))
+                found.setdefault((repeat, fold), []).append((code, part, body))
             for b in batches:
                 x, folds = features_matrix(b.column(n_keep + 2)), features_matrix(b.column(n_keep + 1))
                 lookup = pa.array(classes, type=b.column(n_keep).type)
@@ -128,14 +130,16 @@ def fold_predictions(rows: DataFrame, variants: Sequence, label: str, classes: S
                         continue
                     at, m = pa.array(idx), len(idx)
                     ids, true = [b.column(i).take(at) for i in range(n_keep)], b.column(n_keep).take(at)
-                    for code, part, model in own:
+                    for code, part, body in own:  # unpacked one at a time
+                        model = object.__new__(KernelMachine if parts[part][0][0] == "SVM-RBF" else Forest)
+                        vars(model).update(pickle.loads(body))
                         values = fitted(repeat, fold, code).kernel(x[idx])
                         for v, (best, prob) in zip(parts[part][1], _predict(parts[part][0], parts[part][1], model, values)):
                             yield pa.RecordBatch.from_arrays(
                                 [pa.repeat(code, m), pa.repeat(v.name, m), pa.array(np.full(m, repeat)), pa.array(np.full(m, fold)), *ids, true,
                                  lookup.take(pa.array(best)), list_array(prob)], names=names)
 
-        return narrow.mapInArrow(score, schema)
+        return narrow.where(of_folds(pairs, lambda r, f: F.get("folds", F.lit(r - 1)) == f)).mapInArrow(score, schema)
 
     # Blocks of models by size; the sizes come first, so that no more than a block is at the driver.
     sizes = models.select("repeat", "fold", "recipe", "part", F.octet_length("model").alias("size")).orderBy("repeat", "fold", "recipe", "part").collect()
@@ -143,8 +147,9 @@ def fold_predictions(rows: DataFrame, variants: Sequence, label: str, classes: S
     out = []
     for k in sorted(set(number.tolist())):
         names_of = [(r["repeat"], r["fold"], r["recipe"], r["part"]) for r, own in zip(sizes, number) if own == k]
-        chosen_models = models.join(F.broadcast(rows.sparkSession.createDataFrame(names_of, "repeat int, fold int, recipe string, part int")),
+        files = models.where(of_folds(names_of, lambda r, f: (F.col("repeat") == r) & (F.col("fold") == f)))  # skips the other folds' files
+        chosen_models = files.join(F.broadcast(rows.sparkSession.createDataFrame(names_of, "repeat int, fold int, recipe string, part int")),
                                     ["repeat", "fold", "recipe", "part"])
         block = [tuple(r) for r in chosen_models.select("repeat", "fold", "recipe", "part", "model").collect()]
-        out.append(scored(rows.sparkSession.sparkContext.broadcast(block)))
+        out.append(scored(rows.sparkSession.sparkContext.broadcast(block), names_of))
     return reduce(DataFrame.unionByName, out)
