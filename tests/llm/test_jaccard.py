@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -76,3 +77,28 @@ def test_tries_link_all_pairs_at_any_distance(spark, distance):
     signed = [v - (1 << 64) if v >= 1 << 63 else v for v in values]
     got = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), 4, distance).collect()
     assert {frozenset((r.a, r.b)) for r in got} == {frozenset(p) for p in zip(signed[::2], signed[1::2])}
+
+
+def test_parities_keep_every_similar_pair_and_blocks_meet_all(spark, monkeypatch):
+    """A band of many texts that are not similar: few pairs leave the tasks, and every similar one is among them."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 500, 120)
+    texts = []
+    for _ in range(60):
+        t = base.copy()
+        at = rng.choice(120, rng.integers(0, 9), replace=False)
+        t[at] = rng.integers(0, 500, len(at))
+        texts.append(" ".join(f"w{v}" for v in t))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = jaccard.banded(docs, "text").dropDuplicates(["fp"])
+    sets = {t: set(s.tolist()) for t, s in zip(texts, jaccard._sets(pa.array(texts)))}
+    name = {t: r.fp for t, r in zip(texts, jaccard.named(docs.coalesce(1), ["text"]).collect())}
+    alike = {tuple(sorted((name[x], name[y]))) for x in texts for y in texts
+             if name[x] < name[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])}
+    assert {r.n for r in rows.collect()} <= {len(v) for v in sets.values()}
+    monkeypatch.setattr(jaccard, "MEMBERS", 16)
+    members = rows.selectExpr("1L AS key", "60L AS size", "fp", "fp AS root", "n", "bits")
+    met = {(r.a, r.b) for r in jaccard.met_in_blocks(members, 0.8).collect()}
+    assert alike and alike <= met and len(met) < len(name) * (len(name) - 1) / 4
+    pairs = spark.createDataFrame([tuple(sorted((a, b))) for a in name.values() for b in name.values() if a < b], "a long, b long")
+    assert {(r.a, r.b) for r in jaccard.possible(pairs, rows, 0.8).collect()} == met

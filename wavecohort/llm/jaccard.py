@@ -11,13 +11,18 @@ the whole shingle sets, and components follow in Spark.
 
 No band emits all pairs of its texts.  Each text first meets the star of its
 band, which differs from band to band; what verifies is connected.  Then texts
-of one band meet in pairs only if they are in different components still.
-Equal results follow, since a pair inside one component changes nothing.
+of one band are compared in blocks, only if they are in different components
+still, and only pairs that could be similar leave the task: texts carry the
+parities of their shingle set by hash, and two sets differ by at least as many
+shingles as parities.  Equal results follow, since a pair inside one component
+changes nothing and the bound drops no similar pair.
 Texts with equal words are one text from the start.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,6 +39,8 @@ from wavecohort.llm.stored import scratch, stored
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+WORDS = 16  # longs of parities of a text
+MEMBERS = 2048  # texts of a band in one block
 PAIRS = 128  # pairs whose shingles are held at a time
 FACTORS = X.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -60,6 +67,24 @@ def bands(s: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return keys
 
 
+def parities(s: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingles, parities of their number by hash as ``WORDS`` longs) of each text that has a shingle."""
+    sizes = np.diff(cut)
+    who = np.repeat(np.arange((sizes > 0).sum()), sizes[sizes > 0])
+    order = np.lexsort((s, who))
+    s, who = s[order], who[order]
+    first = np.append(True, (s[1:] != s[:-1]) | (who[1:] != who[:-1]))[:len(s)]
+    s, who = X.mix(s[first]), who[first]
+    bits = np.zeros((int((sizes > 0).sum()), WORDS), np.uint64)
+    np.bitwise_xor.at(bits, (who, ((s >> np.uint64(6)) % np.uint64(WORDS)).astype(np.int64)), np.uint64(1) << (s & np.uint64(63)))
+    return np.bincount(who, minlength=len(bits)), bits
+
+
+def most_apart(size, similarity: float):
+    """Shingles in which two sets of ``size`` together may differ at most; for numbers and columns."""
+    return size * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def _texts(column):
     """Slices of a column in lower case: (first row, end row, word hashes, first word of each text and the total)."""
     for low, high, data, offsets in X.slices(pc.utf8_lower(X.plain(column))):
@@ -84,18 +109,54 @@ def named(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame
 
 
 def banded(docs: DataFrame, text_col: str) -> DataFrame:
-    """(fp, keys array<long>) of every text with a word, once in each task."""
+    """(fp, keys array<long>, n, bits array<long>) of every text with a word, once in each task."""
     def run(batches):
         seen: set[int] = set()
         for b in batches:
             for _, _, h, first in _texts(b.column(0)):
                 fp = _names(h, first)[np.diff(first) > 0]
-                keys = bands(*shingles(h, first)).view(np.int64)
+                found = shingles(h, first)
+                keys, (n, bits) = bands(*found).view(np.int64), parities(*found)
                 new = [k for k, x in enumerate(fp.tolist()) if not (x in seen or seen.add(x))]
-                ends = pa.array(np.arange(len(new) + 1, dtype=np.int32) * BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(fp[new]), pa.ListArray.from_arrays(ends, pa.array(keys[new].ravel()))], ["fp", "keys"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32) * v.shape[1]), pa.array(v[new].ravel()))
+                         for v in (keys, bits.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(fp[new]), lists[0], pa.array(n[new]), lists[1]], ["fp", "keys", "n", "bits"])
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "fp long, keys array<long>, n long, bits array<long>")
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "fp long, keys array<long>")
+
+def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) that the parities of both do not rule out."""
+    side = lambda c: sketches.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(apart <= most_apart(F.col("na") + F.col("nb"), similarity)).select("a", "b")
+
+
+def met_in_blocks(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b, of texts with a key in common and different roots that the parities do not rule out.
+
+    ``members``: key, size (texts with the key, at least), fp, root, n, bits.  A key with more than ``MEMBERS``
+    texts is cut into parts by hash, and every two of its parts meet in a task of their own.
+    """
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        fp, root, n, part = (table.column(c).to_numpy() for c in ("fp", "root", "n", "part"))
+        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(fp), -1)
+        low, high = key[1].as_py(), key[2].as_py()
+        own, other = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        for k in own.tolist():
+            rest = other[(root[other] != root[k]) & ((fp[other] > fp[k]) if low == high else True)]
+            apart = np.bitwise_count(bits[rest] ^ bits[k]).sum(1, dtype=np.int64)
+            near = fp[rest[apart <= most_apart(n[rest] + n[k], similarity)]]
+            if len(near):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(near, fp[k])), pa.array(np.maximum(near, fp[k]))], ["a", "b"])
+
+    parts = F.ceil(F.col("size") / MEMBERS).cast("int")
+    placed = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "fp", "root", "n", "bits", "part")
+    return cells.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _sets(texts) -> list[np.ndarray]:
@@ -158,20 +219,20 @@ def trie_pairs(docs: DataFrame, text_col: str) -> DataFrame:
 
 def links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of every text (by the hash of its words) that is similar to another one."""
-    keyed = stored(banded(docs, text_col).dropDuplicates(["fp"]), "bands").select("fp", F.explode("keys").alias("key"))
+    sketches = stored(banded(docs, text_col).dropDuplicates(["fp"]), "bands")
+    keyed = sketches.select("fp", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.min_by("fp", F.xxhash64("fp", "key")).alias("star"), F.count("*").alias("size")).filter("size > 1")
     members = stored(keyed.join(met, "key"), "members")
     stars = members.filter("fp != star").select(F.least("fp", "star").alias("a"), F.greatest("fp", "star").alias("b")).distinct()
     stars = stored(stars.union(trie_pairs(docs, text_col)).distinct(), "stars")
-    edges = stored(verified(stars, docs, text_col, similarity), "edges")
+    hopeful = stored(possible(stars, sketches, similarity), "hopeful")
+    edges = stored(verified(hopeful, docs, text_col, similarity), "edges")
     part = components(edges)
-    open_ = members.filter("size > 2").select("key", "fp").join(part.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    open_ = members.filter("size > 2").select("key", "size", "fp").join(part.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     open_ = stored(open_, "open")
     mixed = open_.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("key")
-    left = open_.join(mixed, "key")
-    right = left.select("key", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    rest = left.join(right, "key").filter((F.col("fp") < F.col("fp2")) & (F.col("root") != F.col("root2")))
-    rest = stored(rest.select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
+    left = open_.join(mixed, "key").join(sketches.select("fp", "n", "bits"), "fp")
+    rest = stored(met_in_blocks(left, similarity).join(stars, ["a", "b"], "left_anti"), "rest")
     if rest.take(1):
         part = components(stored(edges.union(verified(rest, docs, text_col, similarity)), "edges"))
     return part
