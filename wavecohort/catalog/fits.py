@@ -324,8 +324,8 @@ LINE_FOLDS = f"""{LINES}, gc AS (SELECT group_id, y, count(*) AS n FROM l GROUP
         exp(-abs(fit-2))/(exp(-abs(fit-1))+exp(-abs(fit-2))) AS score FROM sc)"""
 
 
-def line_cv(spark, sf):
-    return cv.cv_grid(lines(spark, sf), ["10200X"], ["PCA-LDA", "PLS-DA"], "y", V.CLASSES, keep=LINE_KEEP, k=3, repeats=2)
+def line_cv(spark, sf, keep=LINE_KEEP):
+    return cv.cv_grid(lines(spark, sf), ["10200X"], ["PCA-LDA", "PLS-DA"], "y", V.CLASSES, keep=keep, k=3, repeats=2)
 
 
 @register("cv_grid_lines", f"WITH {LINE_FOLDS} SELECT classifier, repeat, fold, order_id, line_no, y_true, y_pred, {R('score', 'score')} FROM pr")
@@ -342,7 +342,7 @@ LINE_SUMMARY = f"""{LINE_FOLDS}, p2 AS (SELECT '10200X' AS recipe, pr.* FROM pr)
 @register("cv_summary_lines", f"WITH {LINE_SUMMARY} SELECT level, recipe, classifier, {', '.join(R(c, c) for c in STAT_NAMES)} FROM su")
 def cv_summary_lines(spark, sf):
     """Folds, fits, predictions, roll-up and summary, checked from end to end."""
-    return doubles(S.summarize(S.fold_metrics(cut_lineage(line_cv(spark, sf)), V.CLASSES)))
+    return doubles(S.summarize(S.fold_metrics(cut_lineage(line_cv(spark, sf, ["group_id"])), V.CLASSES)))
 
 
 def embedding_cv(spark, sf, recipes=("10200X", "10210X", "10220X", "11220X"), repeats=2):
