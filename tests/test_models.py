@@ -309,3 +309,12 @@ def test_models_read_back_predict_the_same(spark, tmp_path):
         assert got == want and len(got) == 60
         with pytest.raises(Exception):
             store.save_model(spark, model, path)
+
+
+def test_line_summary_stores_no_row_ids(spark, sf, monkeypatch):
+    from wavecohort.catalog import fits
+
+    stored = []
+    monkeypatch.setattr(fits, "cut_lineage", lambda df, *name: stored.append(df.columns) or df)
+    fits.cv_summary_lines(spark, sf)
+    assert stored == [["recipe", "classifier", "repeat", "fold", "group_id", "y_true", "y_pred", "scores"]]
