@@ -1,10 +1,11 @@
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 
 from tests.llm import fixtures as D
-from wavecohort.llm import queries, simple8b, tokenfiles
+from wavecohort.llm import queries, simple8b, text, tokenfiles
 from wavecohort.llm.stored import stored
 from wavecohort.session import scratch_path
 
@@ -98,3 +99,28 @@ def test_odd_rows_and_many_files(spark, tokenizer, monkeypatch):
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == want([(r[0], r[1]) for r in D.ROWS], tokenizer)
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
     assert tokenfiles.token_files(D.empty(spark), queries.tokenizer_path()).collect() == []
+
+
+def test_a_worker_takes_little_memory_for_a_file(spark):
+    ids = np.random.default_rng(1).integers(0, 50_257, 2_000_000).astype("<u4")
+    body = simple8b.pack(np.array([len(ids)]), ids, 0)
+    tracemalloc.start()
+    try:
+        _, found, _ = simple8b.unpack(body, np.dtype("<u4"))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (found == ids).all()
+    # 8 MB of ids, the words of the file once, and the arrays of some blocks.
+    assert peak < 3 * found.nbytes + len(body)
+    text._powers.clear()
+    text.powers(text.BASE, 1000)
+    assert len(text._powers[text.BASE][0]) <= text.STEP + 1
+
+
+def test_rows_without_ids_are_those_with_ids(spark):
+    docs = spark.createDataFrame([(3, "a b"), (1, None), (2, "c d e")], "doc_id long, text string")
+    whole = tokenfiles.token_files(docs, queries.tokenizer_path()).drop("ids")
+    short = tokenfiles.token_files(docs, queries.tokenizer_path(), with_ids=False)
+    assert short.columns == whole.columns and sorted(short.collect()) == sorted(whole.collect())
+    assert tokenfiles.token_files(docs.limit(0), queries.tokenizer_path(), with_ids=False).columns == short.columns

@@ -66,7 +66,7 @@ def tokenizer_path() -> str:
 @register
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files written."""
-    return tokenfiles.token_files(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+    return tokenfiles.token_files(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
 @register

@@ -19,7 +19,7 @@ LAYOUT = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
 ZEROS = 240
 ESCAPE = 15
 BLOCK = 4096
-CHUNK = 256  # blocks encoded at a time
+CHUNK = 64  # blocks encoded at a time
 MAGIC = b"S8B1"
 
 
@@ -99,8 +99,18 @@ def _fits(bits_of: np.ndarray, bits: int, count: int, block: int) -> np.ndarray:
     return np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
-    """The ``n`` values of consecutive blocks."""
+def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK, kind: type = np.uint64) -> np.ndarray:
+    """The ``n`` values of consecutive blocks, as unsigned numbers of a type that holds them; some blocks at a time."""
+    out = np.zeros(n, kind)
+    for lo in range(0, len(offsets) - 1, CHUNK):
+        own = offsets[lo : lo + CHUNK + 1]
+        a, z = lo * block, min(n, (lo + CHUNK) * block)
+        out[a:z] = _decode(words[own[0] : own[-1]], own - own[0], z - a, block)
+    return out
+
+
+def _decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int) -> np.ndarray:
+    """As ``decode``, all at once."""
     out = np.zeros(n, np.uint64)
     if not n:
         return out
@@ -144,8 +154,8 @@ def pack(doc_counts: np.ndarray, ids: np.ndarray, start: int) -> bytes:
     return b"".join([head, count_offsets.astype("<i8").tobytes(), counts.astype("<u8").tobytes(), offsets.astype("<i8").tobytes(), words.astype("<u8").tobytes()])
 
 
-def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """(ids per document, ids, start) of one file."""
+def unpack(body: bytes, id_kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ids per document, ids as ``id_kind``, start) of one file."""
     magic, docs, n, start, block, n_counts, n_words = struct.unpack_from("<4sqqqqqq", body)
     if magic != MAGIC:
         raise ValueError("not a Simple-8b token file")
@@ -154,4 +164,4 @@ def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     for size, kind in ((-(-docs // block) + 1, "<i8"), (n_counts, "<u8"), (-(-n // block) + 1, "<i8"), (n_words, "<u8")):
         arrays.append(np.frombuffer(body, kind, size, at).astype(kind[1:]))
         at += 8 * size
-    return decode(arrays[1], arrays[0], docs, block).astype(np.int64), decode(arrays[3], arrays[2], n, block), start
+    return decode(arrays[1], arrays[0], docs, block).astype(np.int64), decode(arrays[3], arrays[2], n, block, id_kind), start

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 21
+STEP = 1 << 19  # tables of powers grow by so many
 BASE = 0x9E3779B97F4A7C15
 BASE2 = 0xD6E8FEB86659FD93
 
@@ -30,7 +31,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of an odd base and of its inverse, modulo 2^64."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, SLICE) + 1
+        size = -(-max(n - 1, 1) // STEP) * STEP + 1
         up = np.full(size, base, np.uint64)
         down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1

@@ -32,7 +32,7 @@ CACHE = 500_000  # pieces a task keeps
 LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
 STOP = np.array([chr(b) in ",.;:!?" for b in range(256)])
 SPACE_LEAD = np.array([9 <= b <= 13 or 28 <= b <= 32 or b in (0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
-SLICE = 1 << 21  # bytes of text handled at a time
+SLICE = 1 << 19  # bytes of text handled at a time; a worker takes some 150 times as much while it encodes
 TEXTS = 64  # strings given to the tokenizer at a time
 JOINED = 256  # pieces in one string
 
@@ -254,32 +254,35 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     return stored(ordered.mapInArrow(run, "part int, file string, n_docs long, n_ids long"), "manifest")
 
 
-def read(spark: SparkSession, folder: str, manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def read(spark: SparkSession, folder: str, manifest: DataFrame, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """(id_col, start, n_tokens, ids array<long>, ids_crc32) of every document in the files of ``manifest``.
 
+    Without ``with_ids`` the column ids is left out; the files are read and decoded all the same.
+
     ``start`` counts the ids of all documents before; ``ids_crc32`` is taken
     over the ids as little-endian unsigned 32-bit integers.
     """
+    columns = ["part", id_col, "at", "n_tokens", "ids_crc32", *["ids"] * with_ids]
+
     def run(batches):
         for b in batches:
             for path, body in zip(b.column(0).to_pylist(), b.column(1)):
-                body = body.as_buffer().to_pybytes()
+                body = body.as_buffer()
                 n = int(np.frombuffer(body, "<i8", 1)[0])
                 names = np.frombuffer(body, "<i8", n, 8)
                 null = np.unpackbits(np.frombuffer(body, np.uint8, -(-n // 8), 8 + 8 * n), count=n).astype(bool)
-                counts, ids, start = simple8b.unpack(body[8 + 8 * n + -(-n // 8):])
-                ids = ids.astype("<u4")
+                counts, ids, start = simple8b.unpack(memoryview(body)[8 + 8 * n + -(-n // 8):], np.dtype("<u4"))
                 ends = np.cumsum(counts)
                 crc = [zlib.crc32(ids[z - c : z].tobytes()) for z, c in zip(ends.tolist(), counts.tolist())]
                 part = int(path.rsplit("part-", 1)[1][:8])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part, np.int32)), pa.array(names, mask=null), pa.array(start + ends - counts), pa.array(counts),
-                     pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int64))), pa.array(crc, pa.int64())],
-                    ["part", id_col, "at", "n_tokens", "ids", "ids_crc32"])
+                found = [pa.array(np.full(n, part, np.int32)), pa.array(names, mask=null), pa.array(start + ends - counts), pa.array(counts), pa.array(crc, pa.int64())]
+                if with_ids:
+                    found.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int64))))
+                yield pa.RecordBatch.from_arrays(found, columns)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").schema(
         "path string, modificationTime timestamp, length long, content binary").load(folder).select("path", "content")
-    rows = files.mapInArrow(run, f"part int, `{id_col}` long, at long, n_tokens long, ids array<long>, ids_crc32 long")
+    rows = files.mapInArrow(run, f"part int, `{id_col}` long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
     # One number for each partition of the sort.
     total, starts = 0, []
@@ -287,15 +290,15 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, id_col: str = "d
         starts.append((r["part"], total))
         total += r["n"]
     offsets = spark.createDataFrame(starts, "part int, offset long")
-    return rows.join(offsets, "part").select(id_col, (F.col("at") + F.col("offset")).alias("start"), "n_tokens", "ids", "ids_crc32")
+    return rows.join(offsets, "part").select(id_col, (F.col("at") + F.col("offset")).alias("start"), "n_tokens", *["ids"] * with_ids, "ids_crc32")
 
 
 def token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-                end_id: int | None = END_ID, folder: str | None = None) -> DataFrame:
-    """Write the files (to a new shared folder unless one is named) and read them back."""
+                end_id: int | None = END_ID, folder: str | None = None, with_ids: bool = True) -> DataFrame:
+    """Write the files (to a new shared folder unless one is named) and read them back, see ``read``."""
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
     manifest = write(docs, folder, tokenizer, id_col, text_col, end_id)
     if not manifest.take(1):
-        return spark.createDataFrame([], f"`{id_col}` long, start long, n_tokens long, ids array<long>, ids_crc32 long")
-    return read(spark, folder, manifest, id_col)
+        return spark.createDataFrame([], f"`{id_col}` long, start long, n_tokens long, " + "ids array<long>, " * with_ids + "ids_crc32 long")
+    return read(spark, folder, manifest, id_col, with_ids)
