@@ -115,3 +115,24 @@ def test_parities_bound_the_difference():
         p = setjoin.parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
         bits = sum((int(x) ^ int(y)).bit_count() if (int(x) ^ int(y)) >= 0 else ((int(x) ^ int(y)) & (2**64 - 1)).bit_count() for x, y in zip(*p))
         assert 0 < bits <= len(np.setxor1d(a, b))
+
+
+def test_sketches_bound_the_difference_of_large_sets():
+    """Large sets that share a passage and little else are told apart, which 256 parity bits cannot; similar ones never are."""
+    rng = np.random.default_rng(4)
+    for n in (1, 63, 200, 1500, 20_000):
+        a = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        near = np.unique(np.concatenate([a[rng.random(len(a)) > 0.05], rng.integers(0, 1 << 60, n // 20).astype(np.uint64)]))
+        far = np.unique(np.concatenate([a[: n // 20], rng.integers(0, 1 << 60, n - n // 20).astype(np.uint64)]))
+        for b in (near, far):
+            assert setjoin.sketched_apart(setjoin.sketch(a), setjoin.sketch(b)) <= len(np.setxor1d(a, b))
+        room = len(a) + len(far) - 2 * setjoin.needed(len(a), len(far))
+        if n >= 1500:
+            assert setjoin.sketched_apart(setjoin.sketch(a), setjoin.sketch(far)) > room
+            assert len(setjoin.sketch(a)) <= n // 16
+
+
+def test_lists_keep_sets_that_meet_another_once(spark):
+    rows = [(5, 9, 1, 0), (5, 9, 1, 0), (7, 4, 2, 1), (5, 9, 2, 1), (5, 9, 2, 1), (-3, 8, 2, 0)]
+    got = setjoin._members(spark.createDataFrame(rows, "node long, n long, token long, at long")).collect()
+    assert sorted((r.token, r.node, r.n, r.at, r.star, r.star_n) for r in got) == [(2, -3, 8, 0, -3, 8), (2, 5, 9, 1, -3, 8), (2, 7, 4, 1, -3, 8)]

@@ -15,14 +15,17 @@ are merged with a heap, sets that reach T less the number of long lists are
 probed in the long ones by bisection, and those with T occurrences stay.
 
 Sets are distinct (equal texts are one set).  No list emits all its pairs:
-first every set of a list meets one star, the set with the least hash; what
+first every set of a list meets one star, the set with the least name; what
 links is connected.  Then sets of one list meet in pairs only if they lie in
 different components still, and if their sizes and places in the lists leave
 room for T common shingles.  A pair inside one component changes nothing.
 
 Every set has 256 parity bits, one shingle flipping one of them.  Two sets that
 differ in d shingles differ in at most d bits, so pairs with more such bits than
-n + m - 2 T are no candidates.  This settles most near misses in the join.
+n + m - 2 T are no candidates.  This settles most near misses in the join.  In
+large sets any two differ in about half of 256 bits, which settles nothing;
+there a sketch with a bit for two to four shingles does, by the same bound, and
+only pairs that it leaves open are joined with their sets.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from math import log2
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +54,7 @@ SMALL = 500_000  # pairs that are broadcast at most, 16 bytes each
 BATCH = 128  # sets that meet a query at a time
 BITS = 1 << 23  # of the map of wanted sets: 1 MB
 PARITY = 4  # words of 64 parity bits
+SHARE = 2  # a sketch has a bit for so many shingles at least
 MU = 0.0085  # share of the cost of a probe in the choice of the long lists
 
 
@@ -89,18 +93,31 @@ def parities(s: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view("<i8").reshape(texts, PARITY)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The parity of a set's shingles by hash: a power of two of bits, of which one stands for ``SHARE`` shingles at least, and 64 or more in all."""
+    bits = max(64, 1 << max(1, len(s) // SHARE).bit_length() - 1)
+    return np.packbits(np.bincount((X.mix(s) % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def sketched_apart(a: bytes, b: bytes) -> int:
+    """In how many shingles the sets of two sketches differ at least; the longer one is folded, since a bit's place is a hash modulo their number."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)))).sum(dtype=np.int64))
+
+
 def _named(docs: DataFrame, kind: T.DataType, size: int) -> DataFrame:
-    """(id, n, node, parities) of every row; node is the hash of its set, null for an empty one."""
-    names = ["n", "node", *PARITIES]
+    """(id, n, node, parities, sketch) of every row; node is the hash of its set, null for an empty one."""
+    names = ["n", "node", *PARITIES, "sketch"]
 
     def run(batches):
         for b in batches:
             for low, high, s, cut, node in _sets(b.column(1), size):
                 n = np.diff(cut)
                 bits = [pa.array(np.ascontiguousarray(c)) for c in parities(s, cut).T]
+                bits.append(pa.array([sketch(s[a:z]) for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.array(n), pa.array(node, mask=n == 0), *bits], ["id", *names])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField("id", kind), *[T.StructField(c, T.LongType()) for c in names]]))
+    return docs.mapInArrow(run, T.StructType([T.StructField("id", kind), *[T.StructField(c, T.LongType()) for c in names[:-1]], T.StructField("sketch", T.BinaryType())]))
 
 
 def _bucket(s: np.ndarray) -> np.ndarray:
@@ -136,7 +153,7 @@ def _counted(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _short_lists(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
-    """(node, n, token, at): the rarest shingles of every set, by rarity from 0, once in each task."""
+    """(node, n, token, at): the rarest shingles of every set, by rarity from 0, once in each task; tasks can share a set."""
     def run(batches):
         seen: set[int] = set()
         for b in batches:
@@ -178,9 +195,23 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCEN
     return out
 
 
-def _searched(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _hopeful(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) whose sketches leave room for enough common shingles."""
+    def run(batches):
+        for b in batches:
+            n = b.column(2).to_numpy() + b.column(3).to_numpy()
+            room = n - 2 * (-(-percent * n // (100 + percent)))
+            keep = [sketched_apart(x.as_py(), y.as_py()) <= r for x, y, r in zip(b.column(4), b.column(5), room.tolist())]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: known.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "sa", "sb")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _searched(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b) of those pairs whose sets are similar enough; a is the query."""
-    pairs = stored(pairs, "pairs")
+    pairs = stored(_hopeful(pairs, known, percent), "pairs")
     wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
     small = pairs.count() <= SMALL
     marks = np.zeros(BITS, bool)
@@ -226,18 +257,27 @@ def _needed(percent: int):
     return F.expr(f"({percent} * (n + n2) + {99 + percent}) div {100 + percent}")
 
 
-def _links(spark: SparkSession, docs: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, root) of every set that is similar to another one; ``known`` has node and parities."""
+def _members(lists: DataFrame) -> DataFrame:
+    """(token, size, node, n, at, star, star_n) of the lists with two sets or more: each set once, star is the least one.
+
+    Most lists hold one set. The lists move once, by shingle, and such end there.
+    """
+    whole = Window.partitionBy("token").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = lists.withColumns({"star": F.first("node").over(whole), "star_n": F.first("n").over(whole), "_last": F.last("node").over(whole), "size": F.count("*").over(whole)})
+    return own.filter("star < _last").dropDuplicates(["token", "node"]).select("token", "size", "node", "n", "at", "star", "star_n")
+
+
+def _links(spark: SparkSession, docs: DataFrame, named: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, root) of every set that is similar to another one; ``named`` has node, n, parities and sketch."""
+    known = named.select("node", *PARITIES)
     other = known.select(F.col("node").alias("node2"), *[F.col(p).alias(p.replace("p", "q")) for p in PARITIES])
     counts = spark.sparkContext.broadcast(_counted(docs, size))
-    lists = stored(_short_lists(docs, size, percent, counts).dropDuplicates(["node", "token"]), "lists")
-    met = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("star"), F.count("*").alias("size")).filter("size > 1")
-    members = stored(lists.join(met.select("token", "size", "star.node", "star.n").toDF("token", "size", "star", "star_n"), "token"), "members")
+    members = stored(_members(_short_lists(docs, size, percent, counts)), "members")
     stars = members.filter((F.col("node") != F.col("star")) & (100 * F.least("n", "star_n") >= percent * F.greatest("n", "star_n"))).select(
         "node", "n", F.col("star").alias("node2"), F.col("star_n").alias("n2")).distinct()
     stars = stars.join(known, "node").join(other, "node2").filter(_fits(percent))
     stars = stored(stars.select(F.col("node2").alias("a"), F.col("node").alias("b")), "stars")
-    edges = stored(_searched(stars, docs, size, percent), "edges")
+    edges = stored(_searched(stars, docs, named, size, percent), "edges")
     part = components(edges)
     open_ = members.filter("size > 2").select("token", "node", "n", "at").join(part, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = stored(open_, "open")
@@ -253,7 +293,7 @@ def _links(spark: SparkSession, docs: DataFrame, known: DataFrame, size: int, pe
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if rest.take(1):
-        part = components(stored(edges.union(_searched(rest, docs, size, percent)), "edges"))
+        part = components(stored(edges.union(_searched(rest, docs, named, size, percent)), "edges"))
     return part
 
 
@@ -271,8 +311,8 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = stored(_named(narrow, docs.schema[id_col].dataType, size), "names")
-    known = stored(rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), *[F.first(p).alias(p) for p in PARITIES]), "known")
-    found = _links(spark, narrow, known.select("node", *PARITIES), size, percent)
+    known = stored(rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), *[F.first(p).alias(p) for p in ("n", *PARITIES)], F.first("sketch").alias("sketch")), "known")
+    found = _links(spark, narrow, known.select("node", "n", *PARITIES, "sketch"), size, percent)
     part = stored(known.select("node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     names = part.groupBy("root").agg(F.min("least").alias("component_id"))
     named = part.join(names, "root").select("node", "component_id")
