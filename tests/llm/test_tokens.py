@@ -118,6 +118,27 @@ def test_a_worker_takes_little_memory_for_a_file(spark):
     assert len(text._powers[text.BASE][0]) <= text.STEP + 1
 
 
+def test_a_file_is_packed_in_parts_with_the_words_in_memory_and_not_the_ids():
+    parts = np.random.default_rng(3).integers(0, 50_257, (40, 100_001)).astype("<u4")
+    whole = parts.ravel()
+    counts = np.full(40, parts.shape[1])
+    body = simple8b.pack(counts, whole, 7)
+    tracemalloc.start()
+    try:
+        packer = simple8b.Packer()
+        for p in parts:
+            packer.add(p.copy())
+        crc = 0
+        for piece in packer.parts(counts, 7):
+            crc = zlib.crc32(piece, crc)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert packer.n == len(whole) and crc == zlib.crc32(body)
+    # The words once, and the arrays of one chunk, here 21 MB; ids and whole files took twice as much.
+    assert peak < len(body) + 25e6
+
+
 def test_rows_without_ids_are_those_with_ids(spark):
     docs = spark.createDataFrame([(3, "a b"), (1, None), (2, "c d e")], "doc_id long, text string")
     whole = tokenfiles.token_files(docs, queries.tokenizer_path()).drop("ids")

@@ -200,7 +200,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                      *(pa.array([f[k] for f in found], pa.int64()) for k in (2, 3, 4))],
                     [id_col, item_col, "start_token", "end_token", "n_equal"])
 
-        out = out.union(narrow.mapInArrow(run, schema))
+        out = out.union(narrow.mapInArrow(X.trimmed(run), schema))
     return out
 
 
@@ -219,5 +219,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                     keep[[low + r for r, *_ in own.hits(h, first)]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(X.trimmed(run), docs.schema)
     return docs

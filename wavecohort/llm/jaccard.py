@@ -105,7 +105,7 @@ def named(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(fp))], [*keep, "fp"])
 
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(X.trimmed(run), schema)
 
 
 def banded(docs: DataFrame, text_col: str) -> DataFrame:
@@ -122,7 +122,7 @@ def banded(docs: DataFrame, text_col: str) -> DataFrame:
                          for v in (keys, bits.view(np.int64))]
                 yield pa.RecordBatch.from_arrays([pa.array(fp[new]), lists[0], pa.array(n[new]), lists[1]], ["fp", "keys", "n", "bits"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "fp long, keys array<long>, n long, bits array<long>")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(X.trimmed(run), "fp long, keys array<long>, n long, bits array<long>")
 
 
 def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -188,10 +188,10 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col: str, similarity: float
                 yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("n")).union(pairs.select(F.col("b").alias("n"))).distinct()
-    texts = docs.select(F.col(text_col).cast("string")).mapInArrow(once, "n long, t string").join(wanted, "n", "left_semi")
+    texts = docs.select(F.col(text_col).cast("string")).mapInArrow(X.trimmed(once), "n long, t string").join(wanted, "n", "left_semi")
     texts = stored(texts.groupBy("n").agg(F.min("t").alias("t")), "texts")
     both = pairs.join(texts.select(F.col("n").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("n").alias("b"), F.col("t").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(X.trimmed(verify), "a long, b long")
 
 
 def trie_pairs(docs: DataFrame, text_col: str) -> DataFrame:
@@ -206,7 +206,7 @@ def trie_pairs(docs: DataFrame, text_col: str) -> DataFrame:
                 fp = np.array([fingerprint(column[low + k].as_buffer().to_pybytes(), SHINGLE) for k in new], np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in new], pa.int64()), pa.array(fp.view(np.int64))], ["node", "fp"])
 
-    marked = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "node long, fp long")
+    marked = docs.select(F.col(text_col).cast("string")).mapInArrow(X.trimmed(run), "node long, fp long")
     marked = stored(marked.distinct(), "marked")
     known = stored(marked.groupBy("fp").agg(F.min("node").alias("least")), "marks")
     top = max(4, int(np.ceil(np.log2(max(1, known.count()) / simhash.LEAVES))))

@@ -105,7 +105,7 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(
-        run, f"id {kind}, x array<float>")
+        X.trimmed(run), f"id {kind}, x array<float>")
 
 
 def _sums(train: DataFrame, fn, size: int) -> np.ndarray:
@@ -118,7 +118,7 @@ def _sums(train: DataFrame, fn, size: int) -> np.ndarray:
                 total += fn(x, b.column(1).to_numpy(zero_copy_only=False).astype(np.float64))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["i", "v"])
 
-    rows = train.select("x", "positive").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    rows = train.select("x", "positive").mapInArrow(X.trimmed(run), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(size)
     for r in rows:
         out[r["i"]] = r["v"]
@@ -216,7 +216,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out_col:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(f, -500, 500))))], [*kept, out_col])
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(out_col, T.DoubleType())])
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(X.trimmed(run), schema)
 
 
 def good_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:

@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", size:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], [*keep, "fp"])
 
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(X.trimmed(run), schema)
 
 
 # --- one cell ------------------------------------------------------------------------
@@ -219,7 +219,7 @@ def links(distinct: DataFrame, top: int, distance: int = DISTANCE) -> DataFrame:
         back = _turned(values, trie).view(np.int64)
         return pa.table({"a": pa.array(back[moved]), "b": pa.array(back[up[moved]])})
 
-    return distinct.select("fp").mapInArrow(spread, "cell long, fp long").groupBy("cell").applyInArrow(join, "a long, b long")
+    return distinct.select("fp").mapInArrow(X.trimmed(spread), "cell long, fp long").groupBy("cell").applyInArrow(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4,

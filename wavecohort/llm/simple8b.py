@@ -11,6 +11,7 @@ once.  The last word of a block is filled up with zeros.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -143,15 +144,44 @@ def _decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int) -> np.nd
     return out
 
 
-def pack(doc_counts: np.ndarray, ids: np.ndarray, start: int) -> bytes:
-    """One file: magic, header, ids per document, block index and words, all little-endian.
+class Packer:
+    """One file whose ids come in parts: whole chunks of blocks are encoded at once, so that words are held and not ids."""
 
-    ``start``: ids before the first document of the file, in its partition.
-    """
-    words, offsets = encode(ids)
-    counts, count_offsets = encode(doc_counts)
-    head = struct.pack("<4sqqqqqq", MAGIC, len(doc_counts), len(ids), start, BLOCK, len(counts), len(words))
-    return b"".join([head, count_offsets.astype("<i8").tobytes(), counts.astype("<u8").tobytes(), offsets.astype("<i8").tobytes(), words.astype("<u8").tobytes()])
+    def __init__(self):
+        self.n, self.open, self.n_open = 0, [], 0
+        self.words, self.offsets = [], [np.zeros(1, np.int64)]
+
+    def add(self, ids: np.ndarray) -> None:
+        self.n += len(ids)
+        self.n_open += len(ids)
+        self.open.append(ids)
+        if self.n_open >= CHUNK * BLOCK:
+            self._encode(self.n_open // (CHUNK * BLOCK) * CHUNK * BLOCK)
+
+    def _encode(self, upto: int) -> None:
+        ids = np.concatenate(self.open)
+        words, offsets = encode(ids[:upto])
+        self.words.append(words.astype("<u8", copy=False))
+        self.offsets.append(self.offsets[-1][-1] + offsets[1:])
+        self.open, self.n_open = [ids[upto:].copy()], len(ids) - upto
+
+    def parts(self, doc_counts: np.ndarray, start: int) -> Iterator[bytes | np.ndarray]:
+        """Magic, header, ids per document, block index and words, all little-endian.
+
+        ``start``: ids before the first document of the file, in its partition.
+        """
+        if self.n_open:
+            self._encode(self.n_open)
+        counts, count_offsets = encode(doc_counts)
+        yield struct.pack("<4sqqqqqq", MAGIC, len(doc_counts), self.n, start, BLOCK, len(counts), sum(map(len, self.words)))
+        yield from (count_offsets.astype("<i8"), counts.astype("<u8"), np.concatenate(self.offsets).astype("<i8"), *self.words)
+
+
+def pack(doc_counts: np.ndarray, ids: np.ndarray, start: int) -> bytes:
+    """One file of ids that are all there."""
+    packer = Packer()
+    packer.add(ids)
+    return b"".join(packer.parts(doc_counts, start))
 
 
 def unpack(body: bytes, id_kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray, int]:

@@ -7,7 +7,9 @@ hashes are of UTF-8 bytes and the same in every task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,23 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def trimmed(run: Callable) -> Callable:
+    """``run``, a function for ``mapInArrow``, after which the worker gives free memory back to the system.
+
+    Workers outlive their tasks, several of them a core; what the allocators
+    keep would add up with the work of the next stages.
+    """
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return own
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all bits (a bijection)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

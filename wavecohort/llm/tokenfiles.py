@@ -184,7 +184,7 @@ def frequent_pieces(docs: DataFrame, tokenizer: str) -> dict[str, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([k for k in KNOWN]), pa.array([getattr(encoder, k).tobytes() for k in KNOWN])], ["name", "value"])
 
     kinds = {k: v.dtype for k, v in zip(KNOWN, [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.uint32)])}
-    rows = docs.select("_text").limit(SAMPLE).coalesce(1).mapInArrow(run, "name string, value binary").collect()
+    rows = docs.select("_text").limit(SAMPLE).coalesce(1).mapInArrow(X.trimmed(run), "name string, value binary").collect()
     return {r["name"]: np.frombuffer(r["value"], kinds[r["name"]]) for r in rows}
 
 
@@ -211,24 +211,24 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
         vars(encoder).update(known.value)
         fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
-        ids, counts, names, nulls = [], [], [], []
-        held = before = made = 0
+        packer, counts, names, nulls = simple8b.Packer(), [], [], []
+        before = made = 0
 
         def flush():
-            nonlocal ids, counts, names, nulls, held, before, made
-            flat = np.concatenate(ids)
+            nonlocal packer, counts, names, nulls, before, made
             n_docs = len(names)
-            body = simple8b.pack(np.array(counts), flat, before)
             key = np.array(names, "<i8").tobytes() + np.packbits(np.array(nulls, bool)).tobytes()
             name = f"part-{part:08d}-{made:06d}.s8b"
             temporary = f"{root}/_{name}.{TaskContext.get().taskAttemptId()}"
             with fs.open_output_stream(temporary) as f:
-                f.write(np.array([n_docs], "<i8").tobytes() + key + body)
+                f.write(np.array([n_docs], "<i8").tobytes() + key)
+                for body in packer.parts(np.array(counts), before):
+                    f.write(body)
             fs.move(temporary, f"{root}/{name}")
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": [n_docs], "n_ids": [len(flat)]})
-            before += len(flat)
+            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": [n_docs], "n_ids": [packer.n]})
+            before += packer.n
             made += 1
-            ids, counts, names, nulls, held = [], [], [], [], 0
+            packer, counts, names, nulls = simple8b.Packer(), [], [], []
             return row
 
         for b in batches:
@@ -238,12 +238,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
                 if end_id is not None:
                     flat = np.insert(flat, np.cumsum(n), end_id)
                     n = n + 1
-                ids.append(flat)
+                packer.add(flat)
                 counts += n.tolist()
                 names += own.fill_null(0).to_pylist()
                 nulls += own.is_null().to_pylist()
-                held += len(flat)
-                if held >= file_ids:
+                if packer.n >= file_ids:
                     yield flush()
         if names:
             yield flush()
@@ -251,7 +250,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     narrow = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     known = docs.sparkSession.sparkContext.broadcast(frequent_pieces(narrow, tokenizer))
     ordered = narrow.repartitionByRange("_id").sortWithinPartitions("_id", "_text")
-    return stored(ordered.mapInArrow(run, "part int, file string, n_docs long, n_ids long"), "manifest")
+    return stored(ordered.mapInArrow(X.trimmed(run), "part int, file string, n_docs long, n_ids long"), "manifest")
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
@@ -282,7 +281,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, id_col: str = "d
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").schema(
         "path string, modificationTime timestamp, length long, content binary").load(folder).select("path", "content")
-    rows = files.mapInArrow(run, f"part int, `{id_col}` long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    rows = files.mapInArrow(X.trimmed(run), f"part int, `{id_col}` long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
     # One number for each partition of the sort.
     total, starts = 0, []
