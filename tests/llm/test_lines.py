@@ -1,7 +1,10 @@
+from pathlib import Path
+
 import numpy as np
 
 from tests.llm import fixtures as D
 from wavecohort.llm import lines, text
+from wavecohort.session import checkpoint_dir
 
 
 def levenshtein(a, b):
@@ -127,3 +130,18 @@ def test_keys_with_many_near_classes_equal_brute_force(spark, monkeypatch):
         rows.append((k, " ".join(parts)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(lines.deduplicate(df)) == brute(rows)
+
+
+def test_texts_move_once_for_all_pairs_and_tables_are_gone_before_the_result(spark, monkeypatch):
+    for name, value in (("HOT", 4), ("PAIRS", 1), ("ROWS", 8)):
+        monkeypatch.setattr(lines, name, value)
+    made, plain = [], lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df, name: made.append(name) or plain(df, name))
+    base = [f"{w}{k}" for k, w in enumerate("alpha beta gamma delta epsilon zeta eta theta iota kappa".split() * 3)]
+    rows = [(k, " ".join([*base[:k % 30], f"other{k % 7}", *base[k % 30:]])) for k in range(40)]
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    out = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "rest" in made and made.count("texts") == 1 and "lines" in made
+    assert [p.name.split("-")[0] for p in set(folder.iterdir()) - before] == ["dropped"]
+    assert found(out) == brute(rows)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from wavecohort.llm import text as X
 from wavecohort.llm.components import components
 from wavecohort.llm.contamination import LETTER
-from wavecohort.llm.stored import stored
+from wavecohort.llm.stored import kept, scratch, stored
 
 DISTANCE = 3
 SIMILARITY = 0.8
@@ -336,9 +336,9 @@ def distance(a: list, b: list) -> int:
     return score
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of those pairs whose first lines, with their digits, are similar enough; whole lines are compared."""
-    wanted = pairs.select(F.col("a").alias("n")).union(pairs.select(F.col("b").alias("n"))).distinct()
+def _texts(met: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """(n, t): the first line, as written, of every class in a pair or an open key; documents move once for both."""
+    wanted = met.select(F.col("a").alias("n")).union(met.filter("m is null").select(F.col("b").alias("n"))).distinct()
     places = wanted.join(distinct, "n").groupBy("id").agg(F.collect_list(F.struct("line", "n")).alias("lines"))
 
     def run(batches):
@@ -356,7 +356,11 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, similarity
             right = np.concatenate(found).view(np.int64) == np.array(ns, np.int64) if found else np.empty(0, bool)
             yield pa.RecordBatch.from_arrays([pa.array(ns, pa.int64()), pa.array(texts, pa.string())], ["n", "t"]).filter(pa.array(right, pa.bool_()))
 
-    texts = stored(docs.join(places, "id").select("text", "lines").mapInArrow(run, "n long, t string").groupBy("n").agg(F.min("t").alias("t")), "lines")
+    return docs.join(places, "id").select("text", "lines").mapInArrow(run, "n long, t string").groupBy("n").agg(F.min("t").alias("t"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of those pairs whose first lines, with their digits, are similar enough; whole lines are compared."""
     both = pairs.join(texts.select(F.col("n").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("n").alias("b"), F.col("t").alias("tb")), "b")
 
     def verify(batches):
@@ -367,19 +371,8 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, similarity
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE,
-                similarity: float = SIMILARITY) -> DataFrame:
-    """(id_col, n_lines, n_removed, kept) of every row: the text without the lines that repeat an earlier one.
-
-    Lines end at line breaks.  Lines without a word (blank, rules) are always
-    kept and group with nothing.  A null text is empty: one line, kept.  Rows
-    with a null id are left as they are and are no source.  Rows of one id
-    share their line numbers, so equal rows lose the same lines.  An empty
-    table gives an empty result.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = rows.filter("id is not null")
+def _gone(known: DataFrame, kind: str, distance: int, similarity: float) -> DataFrame:
+    """(id, gone): the numbers of the lines that each row loses."""
     lines = stored(line_table(known, kind), "lines")
     place = F.struct("id", "line")
     # Copies of one class are folded by a plain minimum on the map side; then the first place of each.
@@ -389,20 +382,39 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     masks = block_masks(distance, distinct.count())
     met = stored(_meet(distinct, distance, masks), "met")
     near = met.filter("m is null").select("a", "b")
-    edges = stored(_verified(near, distinct, known, similarity), "edges")
+    texts = stored(_texts(met, distinct, known), "texts")
+    edges = stored(_verified(near, texts, similarity), "edges")
     part = components(edges)
     open_ = met.filter("m is not null")
     if open_.take(1):
         rest = stored(_rest(open_, part, distance, masks).join(near, ["a", "b"], "left_anti"), "rest")
-        edges = stored(edges.union(_verified(rest, distinct, known, similarity)), "edges")
+        edges = stored(edges.union(_verified(rest, texts, similarity)), "edges")
         part = components(edges)
     # The first place of every group, and all lines elsewhere.
     groups = distinct.join(part.withColumnRenamed("node", "n"), "n", "left").select("n", "id", "line", F.coalesce("root", "n").alias("root"))
     groups = stored(groups, "groups")
-    kept = groups.groupBy("root").agg(F.min(place).alias("first"))
-    where = groups.select("n", "root").join(kept, "root").select("n", "first")
+    first = groups.groupBy("root").agg(F.min(place).alias("first"))
+    where = groups.select("n", "root").join(first, "root").select("n", "first")
     dropped = lines.join(where, "n").filter((F.col("id") != F.col("first.id")) | (F.col("line") != F.col("first.line")))
-    gone = stored(dropped.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("gone")), "dropped")
+    return dropped.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE,
+                similarity: float = SIMILARITY) -> DataFrame:
+    """(id_col, n_lines, n_removed, kept) of every row: the text without the lines that repeat an earlier one.
+
+    Lines end at line breaks.  Lines without a word (blank, rules) are always
+    kept and group with nothing.  A null text is empty: one line, kept.  Rows
+    with a null id are left as they are and are no source.  Rows of one id
+    share their line numbers, so equal rows lose the same lines.  An empty
+    table gives an empty result.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    known = rows.filter("id is not null")
+    # The tables behind it are gone before texts move for the result.
+    with scratch(docs.sparkSession):
+        gone = kept(_gone(known, kind, distance, similarity), "dropped")
 
     def run(batches):
         for b in batches:
