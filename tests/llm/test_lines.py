@@ -145,3 +145,56 @@ def test_texts_move_once_for_all_pairs_and_tables_are_gone_before_the_result(spa
     assert "rest" in made and made.count("texts") == 1 and "lines" in made
     assert [p.name.split("-")[0] for p in set(folder.iterdir()) - before] == ["dropped"]
     assert found(out) == brute(rows)
+
+
+def test_pairs_whose_lengths_rule_similarity_out_do_not_go_on(spark, monkeypatch):
+    masks = lines.block_masks(3, 4)
+    rows = [(1, 5, 100), (2, 5, 120), (3, 5, 300)]
+    classes = spark.createDataFrame(rows, "n long, sim long, chars int")
+    pairs = lambda: sorted((r.a, r.b) for r in lines._meet(classes, 3, masks).filter("m is null").collect())
+    assert pairs() == [(1, 2)]
+    monkeypatch.setattr(lines, "HOT", 2)
+    met = lines._meet(classes, 3, masks)
+    part = spark.createDataFrame([], "node long, root long")
+    rest = lines._rest(met.filter("m is not null"), part, 3, masks)
+    assert set(pairs()) <= {(1, 2)} and [(r.a, r.b) for r in rest.collect()] == [(1, 2)]
+
+
+def test_characters_of_a_class_are_those_of_its_written_lines(spark):
+    texts = ["  The number, 7 of the Ärger -- pages\n42 17,19 é\n\n...\nX", "ß 日本 e1\tf"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r.id, r.line): r.chars for r in lines.line_table(df, "bigint").collect()}
+    want = {(i, k): len(lines.written(x.lower().encode())) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n"))}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_votes_of_lines_of_any_length_are_the_majority():
+    rng = np.random.default_rng(5)
+    sizes = [0, 1, 2, 3, 254, 0, 255, 256, 257, 300, 1000, 5, 0]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    h = rng.integers(0, 2**64, first[-1], dtype=np.uint64) | rng.integers(0, 2**64, first[-1], dtype=np.uint64)
+    for a, z, got in zip(first[:-1].tolist(), first[1:].tolist(), lines.simhashes(h, first).tolist()):
+        own = h[a:z].tolist()
+        assert got == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in own) > len(own))
+
+
+def test_common_subsequence_equals_the_plain_table():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a, b = (list(rng.choice(list("abcd"), int(rng.integers(0, 90)))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for c in a:
+            new = [0]
+            for j, d in enumerate(b):
+                new.append(row[j] + 1 if c == d else max(row[j + 1], new[-1]))
+            row = new
+        assert lines.common(a, b) == row[-1]
+
+
+def test_only_rows_whose_ids_are_wanted_move(spark):
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(5000)] + [(None, "none")], "id long, text string")
+    wanted = spark.createDataFrame([(k,) for k in range(0, 5000, 50)], "id long")
+    some, none = lines.split(docs, wanted)
+    moved, stay = [r.id for r in some.collect()], [r.id for r in none.collect()]
+    assert set(range(0, 5000, 50)) <= set(moved) and len(moved) < 150
+    assert sorted(map(str, moved + stay)) == sorted(map(str, [*range(5000), None]))

@@ -13,7 +13,8 @@ meet in a join on block keys; pairs that meet are verified by edit similarity,
 and of every connected group one occurrence is kept, the first.
 
 Rows of a key are sorted next to each other and compared as arrays of bits; a
-pair counts only at the first key it agrees on.  A key with more near pairs
+pair counts only at the first key it agrees on, and only if the lengths of its
+lines, which a class fixes, leave room for the similarity.  A key with more near pairs
 than ``PAIRS`` for each class emits one pair a class, that with the first
 near class, and a key of more than ``HOT`` classes the pairs with its first
 class.  Once these are verified and connected, the classes of such keys are
@@ -42,7 +43,9 @@ from wavecohort.llm.stored import kept, scratch, stored
 
 DISTANCE = 3
 SIMILARITY = 0.8
-CHUNK = 1 << 17  # words whose bits are counted at a time
+CHUNK = 1 << 17  # words of long lines whose bits are counted at a time
+LANES = np.uint64(0x0101010101010101)
+SIEVE = 1 << 24  # bits that tell which ids a join can leave out
 DIGITS = 5  # one digit in so many characters still leaves lines that differ in digits similar
 HOT = 4096  # classes of one key that a task compares at once
 PAIRS = 1  # near pairs a key emits for each of its classes at once
@@ -59,24 +62,33 @@ FOLD = _digits()
 
 
 def simhashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Majority bits of the word hashes of each line; 0 for a line without words."""
+    """Majority bits of the word hashes of each line; 0 for a line without words.
+
+    Every eighth bit is counted at a time, each in a byte of its own; lines of
+    more words than a byte counts are done apart.
+    """
     out = np.zeros(len(first) - 1, np.uint64)
-    some = np.flatnonzero(np.diff(first) > 0)
-    lo = 0
-    while lo < len(some):
-        hi = max(lo + 1, int(np.searchsorted(first[some], first[some[lo]] + CHUNK)))
-        own = some[lo:hi]
-        a, z = first[own[0]], first[own[-1] + 1]
-        bits = np.unpackbits(h[a:z].byteswap().view(np.uint8).reshape(-1, 8), axis=1)
-        votes = np.add.reduceat(bits, first[own] - a, axis=0, dtype=np.int32)
-        size = (first[own + 1] - first[own])[:, None]
-        out[own] = np.packbits(2 * votes > size, axis=1).view(">u8").ravel().astype(np.uint64)
-        lo = hi
+    size = np.diff(first)
+    some = np.flatnonzero(size > 0)
+    if not len(some):
+        return out
+    h, at, half = h[: first[-1]], first[some], np.minimum(size[some] // 2, 255).astype(np.uint8)[:, None]
+    bits = np.zeros(len(some), np.uint64)
+    for k in range(8):
+        votes = np.add.reduceat((h >> np.uint64(k)) & LANES, at).astype("<u8", copy=False)
+        bits |= (votes.view(np.uint8).reshape(-1, 8) > half).view("<u8").ravel() << np.uint64(k)
+    out[some] = bits
+    for own in some[size[some] > 255]:
+        votes = np.zeros(64, np.int64)
+        for lo in range(first[own], first[own + 1], CHUNK):
+            part = h[lo : min(lo + CHUNK, first[own + 1])]
+            votes += np.unpackbits(part.byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        out[own] = np.packbits(2 * votes > size[own]).view(">u8")[0]
     return out
 
 
 def _lines(column):
-    """Slices: (first row, line starts, lines before each row and the total, class names, word hashes, words before each line)."""
+    """Slices: (first row, line starts, lines before each row and the total, class names, word hashes, words before each line, characters of each written line)."""
     for low, _, data, offsets in X.slices(pc.utf8_lower(X.plain(column))):
         cuts = np.flatnonzero(data == 10)
         row_start = offsets[:-1]
@@ -95,7 +107,7 @@ def _lines(column):
         if digits[few].any():
             data = np.where(np.repeat(few, np.diff(bounds)), FOLD[data], data)
         h = X.span_hashes(data, w, z)
-        yield low, start, row_line, X.span_hashes(h, first[:-1], first[1:]), h, first
+        yield low, start, row_line, X.span_hashes(h, first[:-1], first[1:]), h, first, chars
 
 
 def class_name(line: str) -> str:
@@ -110,18 +122,18 @@ def written(line: bytes) -> str:
 
 
 def line_table(docs: DataFrame, kind: str) -> DataFrame:
-    """(id, line, n, sim) of every line that has a word; n is the hash of its class, sim the SimHash of that."""
+    """(id, line, n, sim, chars) of every line that has a word; n is the hash of its class, sim the SimHash and chars the characters of that."""
     def run(batches):
         for b in batches:
-            for low, start, row_line, n, h, first in _lines(b.column(1)):
+            for low, start, row_line, n, h, first, chars in _lines(b.column(1)):
                 sim, keep = simhashes(h, first), np.diff(first) > 0
                 row = np.repeat(np.arange(len(row_line) - 1), np.diff(row_line))
                 no = np.arange(len(start)) - row_line[row]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(low + row[keep])), pa.array(no[keep].astype(np.int64)), pa.array(n[keep].view(np.int64)),
-                     pa.array(sim[keep].view(np.int64))], ["id", "line", "n", "sim"])
+                     pa.array(sim[keep].view(np.int64)), pa.array(chars[keep].astype(np.int32))], ["id", "line", "n", "sim", "chars"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, line long, n long, sim long")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, line long, n long, sim long, chars int")
 
 
 def block_masks(distance: int, rows: int) -> list[int]:
@@ -172,15 +184,26 @@ def near_pairs(group: np.ndarray, m: np.ndarray, sim: np.ndarray, distance: int,
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
 
 
-def _meet(classes: DataFrame, distance: int, masks: list[int]) -> DataFrame:
-    """(a, b, m): near pairs with m null; of keys that have too many, some pairs, and all classes a of the key m (b is the SimHash)."""
+def long_enough(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether lines of so many characters can be similar, by the first rule of ``similar``."""
+    return np.abs(x - y) <= (1 - similarity) * np.maximum(x, y) + 1e-9
+
+
+def _meet(classes: DataFrame, distance: int, masks: list[int], similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b, m): near pairs with m null; of keys that have too many, some pairs, and all classes a of the key m (b is the SimHash).
+
+    The mask's number stands in the low byte of m, the characters of the class above; without a column chars, lengths are not compared.
+    """
     table = np.array(masks, np.uint64)
     signed = F.array(*[F.lit(_signed(m)) for m in masks])
-    keyed = classes.select("n", "sim", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("m"))
-    key = F.col("sim").bitwiseAND(F.get(signed, F.col("m")))
+    chars = F.col("chars") if "chars" in classes.columns else F.lit(0)
+    keyed = classes.select("n", "sim", chars.cast("long").alias("chars"), F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("m"))
+    keyed = keyed.select("n", "sim", (F.shiftleft("chars", 8) + F.col("m")).alias("m"))
+    mask = F.col("m").bitwiseAND(F.lit(255)).cast("int")
+    key = F.col("sim").bitwiseAND(F.get(signed, mask))
 
     def out(a, b, m=None):
-        m = pa.nulls(len(a), pa.int32()) if m is None else pa.array(m.astype(np.int32))
+        m = pa.nulls(len(a), pa.int64()) if m is None else pa.array(m)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), m], ["a", "b", "m"])
 
     def whole(n, sim, m, key):
@@ -188,7 +211,9 @@ def _meet(classes: DataFrame, distance: int, masks: list[int]) -> DataFrame:
         change = np.ones(len(n), bool)
         change[1:] = key[1:] != key[:-1]
         group = np.cumsum(change) - 1
-        i, j = near_pairs(group, m, sim, distance, table)
+        i, j = near_pairs(group, m & 255, sim, distance, table)
+        room = long_enough(m[i] >> 8, m[j] >> 8, similarity)
+        i, j = i[room], j[room]
         size = np.bincount(group)
         heavy = np.bincount(group[i], minlength=len(size)) > PAIRS * size
         if heavy.any():
@@ -204,7 +229,7 @@ def _meet(classes: DataFrame, distance: int, masks: list[int]) -> DataFrame:
         held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)]
         star = None  # the first class of a hot key that goes on
         for b in batches:
-            new = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy()]
+            new = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(), b.column(3).to_numpy()]
             if star is not None:
                 same = new[3] == star[3]
                 k = len(same) if same.all() else int(np.argmin(same))
@@ -228,7 +253,7 @@ def _meet(classes: DataFrame, distance: int, masks: list[int]) -> DataFrame:
 
     def hot(star, n, sim, m, key):
         """Classes of a hot key meet its first class; the rest follows in blocks."""
-        near = (bit_counts(sim ^ star[1]) <= distance) & (n != star[0])
+        near = (bit_counts(sim ^ star[1]) <= distance) & (n != star[0]) & long_enough(m >> 8, star[2] >> 8, similarity)
         yield out(np.full(int(near.sum()), star[0]), n[near])
         yield out(n, sim.view(np.int64), m)
 
@@ -239,33 +264,34 @@ def _meet(classes: DataFrame, distance: int, masks: list[int]) -> DataFrame:
         large = np.diff(at) > HOT
         for k in np.flatnonzero(large):
             own = slice(at[k], at[k + 1])
-            yield from hot((n[at[k]], sim[at[k]]), n[own], sim[own], m[own], key[own])
+            yield from hot((n[at[k]], sim[at[k]], m[at[k]]), n[own], sim[own], m[own], key[own])
         rest = ~np.repeat(large, np.diff(at))
         if rest.any():
             yield from whole(n[rest], sim[rest], m[rest], key[rest])
 
     # One number is the key to both, so that rows are sorted by their prefixes.
-    placed = keyed.repartition(F.xxhash64("m", key)).withColumn("key", F.xxhash64("m", key)).sortWithinPartitions("key")
-    return placed.select("n", "sim", "m", "key").mapInArrow(run, "a long, b long, m int")
+    placed = keyed.repartition(F.xxhash64(mask, key)).withColumn("key", F.xxhash64(mask, key)).sortWithinPartitions("key")
+    return placed.select("n", "sim", "m", "key").mapInArrow(run, "a long, b long, m long")
 
 
-def _rest(open_: DataFrame, part: DataFrame, distance: int, masks: list[int]) -> DataFrame:
+def _rest(open_: DataFrame, part: DataFrame, distance: int, masks: list[int], similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): near pairs of open keys whose classes are in different components; keys are compared in blocks of ``HOT`` classes.
 
     Block x meets block y in a group of its own, so a class travels once for each block of its key.
     """
     table = np.array(masks, np.uint64)
     signed = F.array(*[F.lit(_signed(m)) for m in masks])
-    rows = open_.select(F.col("a").alias("n"), F.col("b").alias("sim"), "m").withColumn("key", F.col("sim").bitwiseAND(F.get(signed, F.col("m"))))
+    rows = open_.select(F.col("a").alias("n"), F.col("b").alias("sim"), F.col("m").bitwiseAND(F.lit(255)).cast("int").alias("m"), F.shiftright("m", 8).alias("chars"))
+    rows = rows.withColumn("key", F.col("sim").bitwiseAND(F.get(signed, F.col("m"))))
     rows = rows.join(part.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
     keys = rows.groupBy("m", "key").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("blocks"), F.min("root").alias("r0"), F.max("root").alias("r1"))
     rows = rows.join(keys.where("r0 < r1"), ["m", "key"]).withColumn("x", F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int"))
     met = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "n", "sim", "root", "m", "key", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "x")
+        "n", "sim", "root", "m", "key", "chars", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "x")
     schema = "a long, b long"
 
     def run(batch: pa.Table) -> pa.Table:
-        n, root, x = (batch.column(c).to_numpy() for c in ("n", "root", "x"))
+        n, root, x, chars = (batch.column(c).to_numpy() for c in ("n", "root", "x", "chars"))
         sim, m = batch.column("sim").to_numpy().view(np.uint64), batch.column("m")[0].as_py()
         one = len(x) > 0 and batch.column("lo")[0].as_py() == batch.column("hi")[0].as_py()
         low = np.flatnonzero(x == batch.column("lo")[0].as_py())
@@ -273,7 +299,7 @@ def _rest(open_: DataFrame, part: DataFrame, distance: int, masks: list[int]) ->
         left, right = [], []
         for i in low:
             d = sim[high] ^ sim[i]
-            ok = (bit_counts(d) <= distance) & (root[high] != root[i])
+            ok = (bit_counts(d) <= distance) & (root[high] != root[i]) & long_enough(chars[high], chars[i], similarity)
             if one:
                 ok &= n[high] > n[i]
             for mask in table[:m]:
@@ -292,8 +318,10 @@ def similar(a: str, b: str, similarity: float) -> bool:
     What both begin and end with is left out.  The rest can always be
     overwritten, and characters that one side has more often have to go: these
     bounds settle most pairs.  Then word edits bound the character edits from
-    above: one costs at most the longest word and a space.  Else characters are
-    compared.
+    above: one costs at most the longest word and a space.  Else the longest
+    common subsequence bounds them: what the longer one has besides is edited,
+    and what both have besides is edited at most.  Only what all this leaves
+    open is compared by the full rule.
     """
     allowed = (1 - similarity) * max(len(a), len(b)) + 1e-9
     if abs(len(a) - len(b)) > allowed:
@@ -311,35 +339,82 @@ def similar(a: str, b: str, similarity: float) -> bool:
     more = np.bincount(x & 255, minlength=256) - np.bincount(y & 255, minlength=256)
     if max(more[more > 0].sum(), -more[more < 0].sum()) > allowed:
         return False
-    left, right = a.split(" "), b.split(" ")
+    left, right = trim(a.split(" "), b.split(" "))
     if distance(left, right) * (1 + max(map(len, left + right))) <= allowed:
         return True
-    return distance(x.tolist(), y.tolist()) <= allowed
+    x, y = x.tolist(), y.tolist()
+    both = common(x, y)
+    if max(len(x), len(y)) - both > allowed:
+        return False
+    return len(x) + len(y) - 2 * both <= allowed or distance(x, y) <= allowed
+
+
+def trim(a: list, b: list) -> tuple[list, list]:
+    """Both without what they begin and end with alike."""
+    n, low = min(len(a), len(b)), 0
+    while low < n and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < n - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    return a[low : len(a) - high], b[low : len(b) - high]
+
+
+def places(a: list) -> dict:
+    """The places of each item, as bits of an integer."""
+    found, bit = {}, 1
+    for c in a:
+        found[c] = found.get(c, 0) | bit
+        bit <<= 1
+    return found
+
+
+def common(a: list, b: list) -> int:
+    """Length of the longest common subsequence: one pass over ``b`` with the places of ``a`` as bits of an integer (Hyyro, 2004)."""
+    at, full = places(a), (1 << len(a)) - 1
+    v = full
+    for c in b:
+        u = v & at.get(c, 0)
+        if u:
+            v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
 
 
 def distance(a: list, b: list) -> int:
     """Edit distance of two sequences: one pass over ``b`` with the places of ``a`` as bits of an integer (Myers, 1999)."""
     if not a or not b:
         return len(a) + len(b)
-    m, places = len(a), {}
-    for k, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << k
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    up, down, score = full, 0, m  # bits: the column grows, or shrinks, by one from place to place
+    at, full = places(a), (1 << len(a)) - 1
+    up, down = full, 0  # bits: the column grows, or shrinks, by one from place to place
     for c in b:
-        at = places.get(c, 0)
-        level = (((at & up) + up) ^ up) | at | down
-        more, less = down | (full & ~(level | up)), up & level
-        score += bool(more & top) - bool(less & top)
-        more = (more << 1 | 1) & full
-        up, down = (less << 1 & full) | (full & ~(level | more)), more & level
-    return score
+        m = at.get(c, 0)
+        level = (((m & up) + up) ^ up) | m | down
+        more = (down | (full & ~(level | up))) << 1 | 1
+        less = (up & level) << 1
+        up, down = (less | ~(level | more)) & full, more & level & full
+    return len(b) + up.bit_count() - down.bit_count()
+
+
+def split(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose id may be in ``ids``, and rows whose id is not, so that only the first have to move for a join.
+
+    Hashes of all ids are held as a bitmap of ``SIEVE`` bits (2 MB), in pieces
+    that every task gets; more ids make it let more rows through.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(SIEVE)) + 1
+    at = ids.select(F.bitmap_bucket_number(place).alias("_piece"), F.bitmap_bit_position(place).alias("bit")).repartition("_piece")
+    pieces = at.groupBy("_piece").agg(F.bitmap_construct_agg("bit").alias("_bits"))
+    rows = docs.join(F.broadcast(pieces), F.bitmap_bucket_number(place) == F.col("_piece"), "left")
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    return rows.filter(there).select(*docs.columns), rows.filter(~there).select(*docs.columns)
 
 
 def _texts(met: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """(n, t): the first line, as written, of every class in a pair or an open key; documents move once for both."""
+    """(n, t): the first line, as written, of every class in a pair or an open key; documents with such a line move once for both."""
     wanted = met.select(F.col("a").alias("n")).union(met.filter("m is null").select(F.col("b").alias("n"))).distinct()
-    places = wanted.join(distinct, "n").groupBy("id").agg(F.collect_list(F.struct("line", "n")).alias("lines"))
+    places = stored(wanted.join(distinct, "n").groupBy("id").agg(F.collect_list(F.struct("line", "n")).alias("lines")), "places")
 
     def run(batches):
         for b in batches:
@@ -352,11 +427,12 @@ def _texts(met: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
                         ns.append(x["n"])
                         texts.append(written(parts[x["line"]]))
             # Rows of one id can differ; only a line of the wanted class counts.
-            found = [n for _, _, _, n, _, _ in _lines(pa.array(texts, pa.string()))]
+            found = [n for _, _, _, n, _, _, _ in _lines(pa.array(texts, pa.string()))]
             right = np.concatenate(found).view(np.int64) == np.array(ns, np.int64) if found else np.empty(0, bool)
             yield pa.RecordBatch.from_arrays([pa.array(ns, pa.int64()), pa.array(texts, pa.string())], ["n", "t"]).filter(pa.array(right, pa.bool_()))
 
-    return docs.join(places, "id").select("text", "lines").mapInArrow(run, "n long, t string").groupBy("n").agg(F.min("t").alias("t"))
+    # Merged at every size, so that what moves grows with the documents and no table is sent to all tasks.
+    return split(docs, places)[0].join(places.hint("merge"), "id").select("text", "lines").mapInArrow(run, "n long, t string").groupBy("n").agg(F.min("t").alias("t"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -376,25 +452,25 @@ def _gone(known: DataFrame, kind: str, distance: int, similarity: float) -> Data
     lines = stored(line_table(known, kind), "lines")
     place = F.struct("id", "line")
     # Copies of one class are folded by a plain minimum on the map side; then the first place of each.
-    ids = lines.groupBy("n").agg(F.min("id").alias("id"), F.min("sim").alias("sim"))
+    ids = lines.groupBy("n").agg(F.min("id").alias("id"), F.min("sim").alias("sim"), F.min("chars").alias("chars"), F.count(F.lit(1)).alias("copies"))
     first_line = lines.groupBy("n", "id").agg(F.min("line").alias("line"))
     distinct = stored(ids.join(first_line, ["n", "id"]), "distinct")
     masks = block_masks(distance, distinct.count())
-    met = stored(_meet(distinct, distance, masks), "met")
+    met = stored(_meet(distinct, distance, masks, similarity), "met")
     near = met.filter("m is null").select("a", "b")
     texts = stored(_texts(met, distinct, known), "texts")
     edges = stored(_verified(near, texts, similarity), "edges")
     part = components(edges)
     open_ = met.filter("m is not null")
     if open_.take(1):
-        rest = stored(_rest(open_, part, distance, masks).join(near, ["a", "b"], "left_anti"), "rest")
+        rest = stored(_rest(open_, part, distance, masks, similarity).join(near, ["a", "b"], "left_anti"), "rest")
         edges = stored(edges.union(_verified(rest, texts, similarity)), "edges")
         part = components(edges)
-    # The first place of every group, and all lines elsewhere.
-    groups = distinct.join(part.withColumnRenamed("node", "n"), "n", "left").select("n", "id", "line", F.coalesce("root", "n").alias("root"))
-    groups = stored(groups, "groups")
+    # The first place of every group of classes; a class outside of them has its own, and lines to lose only if it has several.
+    groups = stored(distinct.select("n", "id", "line").join(part.withColumnRenamed("node", "n"), "n"), "groups")
     first = groups.groupBy("root").agg(F.min(place).alias("first"))
-    where = groups.select("n", "root").join(first, "root").select("n", "first")
+    moved = groups.select("n", "root").join(first, "root").select("n", "first")
+    where = distinct.join(moved, "n", "left").filter("copies > 1 or first is not null").select("n", F.coalesce("first", place).alias("first"))
     dropped = lines.join(where, "n").filter((F.col("id") != F.col("first.id")) | (F.col("line") != F.col("first.line")))
     return dropped.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
@@ -415,6 +491,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The tables behind it are gone before texts move for the result.
     with scratch(docs.sparkSession):
         gone = kept(_gone(known, kind, distance, similarity), "dropped")
+    some, none = split(rows, gone)
 
     def run(batches):
         for b in batches:
@@ -428,5 +505,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
                                              [id_col, "n_lines", "n_removed", "kept"])
 
-    return rows.join(gone, "id", "left").select("id", "text", "gone").mapInArrow(
+    lost = some.join(gone.hint("merge"), "id", "left").select("id", "text", "gone").mapInArrow(
         run, f"`{id_col}` {kind}, n_lines long, n_removed long, kept string")
+    text = F.coalesce("text", F.lit(""))
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return lost.union(none.select(F.col("id").alias(id_col), (breaks + 1).cast("long"), F.lit(0).cast("long"), text))
