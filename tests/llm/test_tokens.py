@@ -1,3 +1,4 @@
+import sys
 import tracemalloc
 import zlib
 
@@ -145,3 +146,48 @@ def test_rows_without_ids_are_those_with_ids(spark):
     short = tokenfiles.token_files(docs, queries.tokenizer_path(), with_ids=False)
     assert short.columns == whole.columns and sorted(short.collect()) == sorted(whole.collect())
     assert tokenfiles.token_files(docs.limit(0), queries.tokenizer_path(), with_ids=False).columns == short.columns
+
+
+def greedy(values, block):
+    """Words one after the other: the selector that holds most of the next values, up to the end of the block."""
+    words, offsets = [], []
+    for lo in range(0, len(values), block):
+        offsets.append(len(words))
+        own, at = values[lo:lo + block], 0
+        while at < len(own):
+            for selector, (count, bits) in [(0, (240, 0)), *enumerate(simple8b.LAYOUT, 1)]:
+                part = own[at:at + count]
+                if all(v >> bits == 0 for v in part):
+                    words.append(selector << 60 | sum(v << bits * k for k, v in enumerate(part)))
+                    break
+            else:
+                part = own[at:at + 1]
+                words += [15 << 60, part[0]]
+            at += len(part)
+    return words, [*offsets, len(words)]
+
+
+def test_words_are_those_of_the_greedy_rule():
+    rng = np.random.default_rng(8)
+    for trial in range(60):
+        n = int(rng.integers(1, 700))
+        values = np.where(rng.random(n) < rng.random(), 0, rng.integers(0, 2**64, n, dtype=np.uint64) >> rng.integers(0, 64, n).astype(np.uint64)).astype(np.uint64)
+        block = int(rng.choice([1, 7, 64, 256, 4096]))
+        words, offsets = simple8b.encode(values, block)
+        assert (words.tolist(), offsets.tolist()) == greedy(values.tolist(), block)
+
+
+def test_a_chunk_is_encoded_in_calls_for_its_values_together():
+    values = np.random.default_rng(9).integers(0, 50_257, 64 * simple8b.BLOCK).astype("<u4")
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "c_call"
+
+    sys.setprofile(count)
+    try:
+        simple8b.encode(values)
+    finally:
+        sys.setprofile(None)
+    assert calls < 1000  # thousands when blocks move forward word by word

@@ -22,6 +22,7 @@ ESCAPE = 15
 BLOCK = 4096
 CHUNK = 64  # blocks encoded at a time
 MAGIC = b"S8B1"
+SMALL = np.frexp(np.arange(1 << 16, dtype=np.float32))[1].astype(np.uint8)  # bits of small values
 
 
 def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -37,67 +38,67 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
 def _encode(values: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """As ``encode``, all at once.
 
-    Every word takes the selector that holds most of the next values; all
-    blocks move forward together, one word at a time.
+    Every word takes the selector that holds most of the next values; a word
+    ends with its block at the latest, and the next one follows it.
     """
     values = np.asarray(values, np.uint64)
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    # choice[i]: selector of a word that starts at value i, as the greedy rule picks it.
-    choice = np.full(n, ESCAPE, np.int8)
-    high, low = (values >> np.uint64(32)).astype(np.float64), (values & np.uint64(0xFFFFFFFF)).astype(np.float64)
-    bits_of = np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1]).astype(np.uint8)
-    for selector in range(len(LAYOUT), 0, -1):
-        choice[_fits(bits_of, *LAYOUT[selector - 1][::-1], block)] = selector
-    choice[_fits(bits_of, 0, ZEROS, block)] = 0
-    taken = np.array([ZEROS, *(c for c, _ in LAYOUT), 1])
-    at = np.arange(0, n, block)
-    starts = []
-    end = np.minimum(at + block, n)
-    while True:
-        live = at < end
-        if not live.any():
-            break
-        starts.append(at[live])
-        at = np.where(live, at + taken[choice[np.minimum(at, n - 1)]], at)
-    first = np.sort(np.concatenate(starts))
-    kind = choice[first]
-    width = 1 + (kind == ESCAPE)
+    choice = _choices(_bits(values), block)
+    taken = np.array([ZEROS, *(c for c, _ in LAYOUT), 1], np.uint8)
+    left = np.minimum(np.arange(block, 0, -1), ZEROS).astype(np.uint8)
+    step = np.minimum(taken[choice], left).tobytes()  # bytes, since a loop reads them fastest
+    begins, at = bytearray(n), 0
+    while at < n:
+        begins[at] = 1
+        at += step[at]
+    first = np.flatnonzero(np.frombuffer(begins, np.uint8))
+    kind = choice.reshape(-1)[first]
+    size = np.diff(first, append=n)
+    bits = np.array([0, *(b for _, b in LAYOUT), 0])[kind]
+    # Every value moves to its place in its word; the values of a word are joined.
+    shift = np.arange(n) * np.repeat(bits, size) - np.repeat(bits * first, size)
+    joined = np.bitwise_or.reduceat(values << shift.view(np.uint64), first)
+    escape = kind == ESCAPE
+    width = 1 + escape
     place = np.cumsum(width) - width
     words = np.zeros(int(width.sum()), np.uint64)
-    words[place] = kind.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([values, np.zeros(ZEROS, np.uint64)])
-    stop = np.minimum((first // block + 1) * block, n)
-    for selector in range(1, len(LAYOUT) + 1):
-        count, bits = LAYOUT[selector - 1]
-        own = np.flatnonzero(kind == selector)
-        for k in range(count if len(own) else 0):
-            value = np.where(first[own] + k < stop[own], padded[first[own] + k], np.uint64(0))
-            words[place[own]] |= value << np.uint64(bits * k)
-    own = np.flatnonzero(kind == ESCAPE)
-    words[place[own] + 1] = values[first[own]]
+    words[place] = kind.astype(np.uint64) << np.uint64(60) | np.where(escape, np.uint64(0), joined)
+    words[place[escape] + 1] = joined[escape]
     offsets = np.append(place[np.searchsorted(first, np.arange(0, n, block))], len(words))
     return words, offsets.astype(np.int64)
 
 
-def _fits(bits_of: np.ndarray, bits: int, count: int, block: int) -> np.ndarray:
-    """Positions from which ``count`` values, or all up to the end of the block, have at most ``bits`` bits."""
-    n = len(bits_of)
-    narrow = np.zeros(n + 2, bool)
-    narrow[1:-1] = bits_of <= bits
-    edge = narrow[1:] != narrow[:-1]
-    cut = edge.copy()
-    cut[:n:block] = True
-    cut[n] = True
-    places = np.flatnonzero(cut)
-    low, high = places[:-1], places[1:]
-    inside = narrow[1 + low]
-    low, high = low[inside], high[inside]
-    last = np.where((high % block == 0) | (high == n), high, high - count + 1)
-    some = last > low
-    low, size = low[some], (last - low)[some]
-    return np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+def _bits(values: np.ndarray) -> np.ndarray:
+    """The bits that each value takes."""
+    if values.max() < len(SMALL):
+        return SMALL[values]
+    high, low = (values >> np.uint64(32)).astype(np.float64), (values & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    return np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1]).astype(np.uint8)
+
+
+def _choices(bits_of: np.ndarray, block: int) -> np.ndarray:
+    """The selector of a word that starts at each value, by block: the one that holds most of the next values of the block.
+
+    The widest of the next c values is the wider of two shorter stretches that
+    cover them; behind the end of a block stand values without bits.
+    """
+    n, rows = len(bits_of), -(-len(bits_of) // block)
+    wide = np.zeros((rows, block + ZEROS), np.uint8)
+    full = n // block
+    wide[:full, :block] = bits_of[: full * block].reshape(full, block)
+    if full < rows:
+        wide[full, : n - full * block] = bits_of[full * block :]
+    choice = np.full((rows, block), ESCAPE, np.uint8)
+    have = 1
+    for selector, (count, bits) in sorted([*enumerate(LAYOUT, 1), (0, (ZEROS, 0))], key=lambda x: x[1][0]):
+        while have < count:
+            step = min(have, count - have)
+            wide[:, :-step] = np.maximum(wide[:, :-step], wide[:, step:])
+            have += step
+        np.copyto(choice, np.uint8(selector), where=wide[:, :block] <= bits)
+    return choice
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK, kind: type = np.uint64) -> np.ndarray:
