@@ -125,3 +125,41 @@ def test_a_block_gets_only_the_rows_of_its_folds(spark, monkeypatch):
     got = cv.cv_grid(signals(spark), ["10200X"], ["SVM-RBF"], "y", [0, 1], k=3)
     plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("mapinarrow") >= 3 and plan.count("folds") > 2 * plan.count("mapinarrow") and "filter" in plan
+
+
+def test_fits_take_all_rows(spark):
+    """24,000 rows: the predictions are those of models fitted here on every row outside the fold."""
+    n = 24_000
+    df = signals(spark, n)
+    config = {"rf_ntrees": 2, "rf_max_depth": 6, "svm_features": 16}
+    got = cv.cv_grid(df, ["10000X"], ["SVM-RBF", "RandomForest"], "y", [0, 1], config, k=2).toPandas()
+    assert len(got) == 2 * n
+    x, y = rings(n)
+    fold = got.drop_duplicates("signal_id").set_index("signal_id").fold.loc[range(n)].to_numpy()
+    for f in (1, 2):
+        own = np.flatnonzero(fold != f)
+        own = own[np.lexsort((*x[own].T[:4], y[own]))]  # the order of the fits
+        forest = shared.Forest(x[own], y[own], 2, np.ones(2), 2, 6, 1, 42)
+        machine = shared.KernelMachine(x[own], np.where(y[own] == 1, 1.0, -1.0), np.ones(len(own)), "auto", [1.0], 16, 42)
+        for name, score in (("RandomForest", lambda x: forest.scores(x, [(2, 6)])[0][:, 1]), ("SVM-RBF", lambda x: 1.0 / (1.0 + np.exp(-2.0 * machine.decision(x)[:, 0])))):
+            mine = got[(got.classifier == name) & (got.fold == f)].sort_values("signal_id")
+            assert np.allclose(np.stack(mine.scores)[:, 1], score(x[mine.signal_id]), atol=1e-9)
+
+
+def test_a_forest_in_parts_scores_like_a_whole_one(monkeypatch):
+    monkeypatch.setattr(shared, "CELLS", 900)
+    x, y = rings(300)
+    fit = (x, y, 2, np.ones(2), 10, 8, 2, 5)
+    points = [(10, 8), (4, 8), (7, 2)]
+    parts = list(shared.Forest.parts(*fit))
+    assert [p.trees for p in parts] == [3, 3, 3, 1]
+    assert all((a == b).all() for a, b in zip(shared.mean_shares(parts, x, points), shared.Forest(*fit).scores(x, points)))
+
+
+def test_kernel_machine_is_the_same_in_blocks_of_rows(monkeypatch):
+    x, y = rings(300)
+    fit = (x, 2.0 * y - 1, np.where(y == 1, 3.0, 1.0), "auto", [0.1, 10.0], 64, 7)
+    whole = shared.KernelMachine(*fit)
+    monkeypatch.setattr(shared, "MAPPED", 64)
+    monkeypatch.setattr(shared, "HELD", 0)
+    assert np.allclose(shared.KernelMachine(*fit).decision(x), whole.decision(x), atol=1e-8)
